@@ -191,6 +191,7 @@ def parse_ts(c: ColumnOrName) -> Column:
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
         F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")),
+        F.try_to_timestamp(t, F.lit("yyyy-MM-dd")),
     )
 
 
@@ -322,19 +323,25 @@ DV1_WEIGHTS = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 DV2_WEIGHTS = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
 
 
-def _dv(digits: Column, weights: list[int]) -> Column:
-    arr = F.transform(F.split(digits, ""), lambda x: x.cast("int"))
-    w = F.array(*[F.lit(x) for x in weights])
-    s = F.aggregate(F.zip_with(arr, w, lambda a, b: a * b), F.lit(0), lambda acc, x: acc + x)
-    r = F.pmod(s, F.lit(11))
+def _mod11(total: Column) -> Column:
+    r = F.pmod(total, F.lit(11))
     return F.when(r < 2, F.lit(0)).otherwise(F.lit(11) - r)
 
 
 def check_digits(base12: ColumnOrName) -> Column:
-    """The two check digits ('dd') of a 12-digit company id base."""
+    """The two check digits ('dd') of a 12-digit company id base: weighted
+    digit sums mod 11, as plain arithmetic (whole-stage codegen, no
+    lambdas); the second digit reuses the first."""
     b = _c(base12)
-    d1 = _dv(b, DV1_WEIGHTS)
-    d2 = _dv(F.concat(b, d1.cast("string")), DV2_WEIGHTS)
+    dig = [F.substring(b, i + 1, 1).cast("int") for i in range(12)]
+    s1 = F.lit(0)
+    for w, d in zip(DV1_WEIGHTS, dig):
+        s1 = s1 + d * w
+    d1 = _mod11(s1)
+    s2 = d1 * DV2_WEIGHTS[12]
+    for w, d in zip(DV2_WEIGHTS[:12], dig):
+        s2 = s2 + d * w
+    d2 = _mod11(s2)
     return F.when(b.rlike(r"^\d{12}$"), F.concat(d1.cast("string"), d2.cast("string")))
 
 

@@ -18,8 +18,16 @@ def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
 
     The probe reads at most ``max_rows + 1`` rows (``limit`` stops the scan
     early), so a large side is never pulled into memory to find out."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    key = (df.semanticHash(), max_rows)
+    ok = _SMALL.get(key)
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        _SMALL[key] = ok
+    return F.broadcast(df) if ok else df
+
+
+# probe results per (plan, bound): a dimension is probed once per process
+_SMALL: dict[tuple[int, int], bool] = {}
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -78,3 +78,33 @@ class Inputs:
     def inactive_view(self) -> DataFrame:
         return R.search_view_inactive(self.companies, self.establishments, self.municipios,
                                       self.cnaes, self.naturezas)
+
+    # funding -----------------------------------------------------------
+    def funding(self, source: str) -> DataFrame:
+        from tessera.operators import funding as FU
+        return FU.read_funding_sheet(P.raw_funding(self.spark, self.sf_dir, source), source)
+
+    def disbursements(self, source: str) -> DataFrame:
+        from tessera.operators import funding as FU
+        return FU.read_disbursements(P.raw_disbursement(self.spark, self.sf_dir, source), source)
+
+    @cached_property
+    def records(self) -> DataFrame:
+        """SET-1 + JOIN-7: enriched project records."""
+        from tessera.operators import funding as FU
+        recs = FU.project_records(self.funding("direct"), self.funding("credit"),
+                                  self.funding("equity"), self.funding("audiovisual"))
+        return FU.enrich_records(recs, self.active_view, self.inactive_view)
+
+    @cached_property
+    def geo_muni(self) -> DataFrame:
+        return P.geo_muni(self.spark, self.sf_dir)
+
+    @cached_property
+    def geo_state(self) -> DataFrame:
+        return P.geo_state(self.spark, self.sf_dir)
+
+    @cached_property
+    def by_municipality(self) -> DataFrame:
+        from tessera.operators import funding as FU
+        return FU.funding_by_municipality(self.records, self.geo_muni)

@@ -50,13 +50,14 @@ def dt2(c: str) -> str:
 
 
 def dv_sql(base: str) -> str:
-    """Two mod-11 check digits of a 12-char digit string, as SQL."""
+    """Two mod-11 check digits of a 12-char digit string, as SQL (the second
+    digit reuses the first: sum over the 12 base digits + 2 * d1)."""
     w1 = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
-    w2 = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
-    s1 = " + ".join(f"{w} * CAST(SUBSTR({base}, {i + 1}, 1) AS INTEGER)" for i, w in enumerate(w1))
+    w2 = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3]
+    dig = [f"CAST(SUBSTR({base}, {i + 1}, 1) AS INTEGER)" for i in range(12)]
+    s1 = " + ".join(f"{w} * {d}" for w, d in zip(w1, dig))
     d1 = f"(CASE WHEN ({s1}) % 11 < 2 THEN 0 ELSE 11 - ({s1}) % 11 END)"
-    b2 = f"({base} || CAST({d1} AS VARCHAR))"
-    s2 = " + ".join(f"{w} * CAST(SUBSTR({b2}, {i + 1}, 1) AS INTEGER)" for i, w in enumerate(w2))
+    s2 = " + ".join(f"{w} * {d}" for w, d in zip(w2, dig)) + f" + 2 * {d1}"
     d2 = f"(CASE WHEN ({s2}) % 11 < 2 THEN 0 ELSE 11 - ({s2}) % 11 END)"
     return f"(CAST({d1} AS VARCHAR) || CAST({d2} AS VARCHAR))"
 
@@ -267,10 +268,19 @@ CTES["mv_active"] = _sv(True)
 CTES["mv_inactive"] = _sv(False)
 
 
+# prelude tables read by several others: computed once per query
+MATERIALIZE = {"raw_estab", "empresa", "estab", "socio", "mv_active", "mv_inactive", "fbase", "f_records0",
+               "f_company", "f_records", "f_by_muni"}
+
+
 def with_prelude(body: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` every prelude table (DuckDB only evaluates the ones used)."""
     ctes = dict(CTES)
     if extra:
         ctes.update(extra)
-    parts = ",\n".join(f"{name} AS ({sql})" for name, sql in ctes.items())
+    parts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in MATERIALIZE else ''}({sql})"
+                        for name, sql in ctes.items())
+    head = body.lstrip()
+    if head[:5].upper() == "WITH ":
+        return f"WITH {parts},\n{head[5:]}"
     return f"WITH {parts}\n{body}"

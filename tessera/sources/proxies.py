@@ -198,3 +198,144 @@ def raw_lookup(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     if kind == "qualificacoes":
         return n.select(_s(nk * 2).alias("c0"), F.concat(F.lit("Qualificação "), nn).alias("c1"))
     raise ValueError(kind)
+
+
+# --------------------------------------------------------------------------
+# funding sheets (one lineitem = one project row; the four sheets split the
+# whole table by (returnflag, linestatus))
+# --------------------------------------------------------------------------
+
+FUNDING_SPLIT = {
+    "direct": "l_returnflag = 'R'",
+    "credit": "l_returnflag = 'A' AND l_linestatus = 'F'",
+    "equity": "l_returnflag = 'A' AND l_linestatus = 'O'",
+    "audiovisual": "l_returnflag = 'N'",
+}
+
+
+def _funding_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.functions.columns import check_digits, format_id
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_discount",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # the head-office id is a per-company value: computed on the customer
+    # rows, before the join, so the expression is evaluated once per company
+    base = F.concat(F.lpad(_s(F.col("c_custkey")), 8, "0"), F.lit("0001"))
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey",
+        F.concat(base, check_digits(base)).alias("_full"))
+    n = table(spark, sf_dir, "nation")
+    df = (li.join(o, li.l_orderkey == o.o_orderkey)
+          .join(c, F.col("o_custkey") == F.col("c_custkey"))
+          .join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")))
+    full = F.col("_full")
+    pk = F.col("l_partkey")
+    return df.select(
+        "*",
+        F.when(F.col("l_orderkey") % 97 == 0, F.lit(None).cast("string"))
+         .when(F.col("l_linestatus") == "O", F.lit("Subvenção"))
+         .otherwise(F.lit("Reembolsável")).alias("f_instrument"),
+        _s(F.col("l_orderkey")).alias("f_contract"),
+        _s(F.col("l_linenumber")).alias("f_ref"),
+        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("f_signed"),
+        F.concat(F.lit("Projeto "), _s(F.col("l_orderkey")), F.lit("-"), _s(F.col("l_linenumber"))).alias("f_title"),
+        F.when(pk % 50 == 0, F.lit("")).otherwise(format_id(full)).alias("f_cnpj"),
+        F.when(pk % 7 == 0, F.lit(None).cast("string"))
+         .otherwise(F.concat(F.lit(" "), muni_name(F.col("n_nationkey"), F.col("n_name")), F.lit("  "))).alias("f_city"),
+        F.when(pk % 11 == 0, F.lit(None).cast("string")).otherwise(_uf_of_region(F.col("n_regionkey"))).alias("f_uf"),
+        F.col("l_extendedprice").cast("decimal(15,2)").alias("f_approved"),
+        F.round(F.col("l_extendedprice").cast("decimal(15,2)")
+                * (1 - F.col("l_discount").cast("decimal(15,2)")), 2).cast("decimal(15,2)").alias("f_paid"),
+        F.when(F.col("l_returnflag") == "R", F.lit("Concluído")).otherwise(F.lit("Em execução")).alias("f_status"),
+        F.when(pk % 3 == 0, F.lit("Sim")).when(pk % 3 == 1, F.lit("Não")).otherwise(F.lit("")).alias("f_flag"),
+    )
+
+
+def raw_funding(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Sheet rows of one funding source as positional text/number cells
+    (header already removed), in the sheet's own column order."""
+    b = _funding_base(spark, sf_dir).filter(FUNDING_SPLIT[source])
+    e = F.lit(None).cast("string")
+    if source == "direct":
+        cols = ["f_instrument", F.concat(F.lit("Chamada "), _s(F.col("l_partkey") % 20)), "f_ref", "f_contract",
+                "f_signed", "f_signed", "f_signed", "f_title", "c_name", "f_cnpj", "c_name", "f_cnpj",
+                "f_city", "f_uf", "f_approved", "f_status", F.lit(0.0), F.lit(0.0), "f_paid", e,
+                F.lit(0.0), F.lit(0.0), "f_title"]
+    elif source == "credit":
+        cols = ["f_signed", "f_contract", "c_name", "f_cnpj", "f_uf", "f_approved", "f_paid",
+                F.lit(0.0), F.lit(0.0), F.lit("Banco Parceiro")]
+    elif source == "equity":
+        cols = ["f_ref", "f_contract", "f_cnpj", "c_name", "f_signed", e, F.lit(None).cast("double"),
+                "f_approved", "f_paid", "f_flag", "f_flag", e, F.lit(None).cast("double"),
+                F.lit(None).cast("double"), "f_flag", e, F.lit(None).cast("double"),
+                F.lit(0.1), F.lit(1.5)]
+    else:  # audiovisual
+        cols = ["f_instrument", F.concat(F.lit("Chamada "), _s(F.col("l_partkey") % 20)), "f_ref", "f_contract",
+                "f_signed", "f_signed", "f_title", "c_name", "f_cnpj", "c_name", "f_city", "f_uf",
+                "f_approved", "f_status", F.lit(0.0), F.lit(0.0), "f_paid", e, F.lit(0.0), F.lit(0.0)]
+    return b.select(*[(F.col(x) if isinstance(x, str) else x).alias(f"c{i}") for i, x in enumerate(cols)])
+
+
+def raw_disbursement(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Disbursement sheet rows: one per project row, released value split
+    in two instalments for even line numbers."""
+    b = _funding_base(spark, sf_dir).filter(FUNDING_SPLIT[source])
+    inst = F.explode(F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit(1), F.lit(2)))
+                     .otherwise(F.array(F.lit(1))))
+    b = b.select("*", inst.alias("instalment"))
+    # second instalment (even lines) releases the rest of the approved value
+    value = F.when(F.col("instalment") == 1, F.col("f_paid")).otherwise(
+        (F.col("f_approved") - F.col("f_paid")).cast("decimal(15,2)"))
+    dt = F.date_format(F.date_add(F.col("l_shipdate").cast("date"), F.col("instalment") * 30), "yyyy-MM-dd")
+    e = F.lit(None).cast("string")
+    if source == "credit":
+        contract_num = F.col("l_orderkey").cast("double")
+        cols = [e, contract_num, e, "f_cnpj", e, e, e, e, e, F.col("instalment").cast("double"), dt, value]
+    else:
+        cols = [e, e, "f_ref", "f_contract"] + [e] * 10 + [
+            F.col("instalment").cast("double"), _s(F.col("instalment")), dt, value]
+    return b.select(*[(F.col(x) if isinstance(x, str) else x).alias(f"c{i}") for i, x in enumerate(cols)])
+
+
+# --------------------------------------------------------------------------
+# geography: one municipality per nation, one state per region; polygons
+# are axis-aligned boxes (lon 2k..2k+2 - 70, lat 4r..4r+4 - 30)
+# --------------------------------------------------------------------------
+
+def _uf_code_of_uf(c):
+    expr = None
+    for k, v in UF_CODE.items():
+        expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
+    return expr
+
+
+def geo_muni(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """National municipalities: 7-digit code, state, name (mixed case with
+    accents), box polygon ring and its centre."""
+    n = table(spark, sf_dir, "nation")
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    uf = _uf_of_region(r)
+    x0 = (k * 2 - 70).cast("double")
+    y0 = (r * 4 - 30).cast("double")
+    ring = F.array(*[F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y"))
+                     for dx, dy in [(0, 0), (2, 0), (2, 4), (0, 4), (0, 0)]])
+    return n.select(
+        F.concat(_uf_code_of_uf(uf), F.lpad(_s(k + 1), 5, "0")).alias("codigo"),
+        uf.alias("uf"), _uf_code_of_uf(uf).alias("codigo_uf"),
+        muni_name(k, F.initcap(F.col("n_name"))).alias("nome"),
+        F.array(ring).alias("rings"),
+        (y0 + 2).alias("latitude"), (x0 + 1).alias("longitude"))
+
+
+def geo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region")
+    uf = _uf_of_region(F.col("r_regionkey"))
+    name = None
+    for k, v in UF_NAME.items():
+        name = F.when(uf == k, F.lit(v)) if name is None else name.when(uf == k, F.lit(v))
+    y0 = (F.col("r_regionkey") * 4 - 30).cast("double")
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), (y0 + dy).alias("y"))
+                     for x, dy in [(-70, 0), (-20, 0), (-20, 4), (-70, 4), (-70, 0)]])
+    return r.select(_uf_code_of_uf(uf).alias("codigo"), uf.alias("uf"), name.alias("nome"),
+                    F.array(ring).alias("rings"))
