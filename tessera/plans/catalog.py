@@ -31,4 +31,4 @@ def register(key: str, sql: str | None = None, extra: dict[str, str] | None = No
 
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
-    from tessera.plans import q_funding, q_registry  # noqa: F401
+    from tessera.plans import q_funding, q_patents, q_registry  # noqa: F401

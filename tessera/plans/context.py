@@ -104,6 +104,35 @@ class Inputs:
     def geo_state(self) -> DataFrame:
         return P.geo_state(self.spark, self.sf_dir)
 
+    # patents -----------------------------------------------------------
+    SNAPSHOT = "2024-01-31"
+
+    def raw_patent(self, name: str) -> DataFrame:
+        return P.raw_patent(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def patents(self) -> DataFrame:
+        from tessera.operators import patents as PT
+        return PT.clean_patents(self.raw_patent("bibliografia"), self.SNAPSHOT)
+
+    def patent_part(self, name: str) -> DataFrame:
+        from tessera.operators import patents as PT
+        fn = {"conteudo": PT.clean_patent_content, "inventores": PT.clean_inventors,
+              "depositantes": PT.clean_depositors, "ipc": PT.clean_ipc, "despachos": PT.clean_dispatches,
+              "procuradores": PT.clean_attorneys, "prioridades": PT.clean_priorities,
+              "vinculos": PT.clean_links, "renumeracoes": PT.clean_renumberings}[name]
+        return fn(self.raw_patent(name), self.patents)
+
+    @cached_property
+    def ipc_dim(self) -> DataFrame:
+        return P.raw_ipc_dim(self.spark, self.sf_dir)
+
+    @cached_property
+    def patent_view(self) -> DataFrame:
+        from tessera.operators import patents as PT
+        return PT.patent_search_view(self.patents, self.patent_part("conteudo"), self.patent_part("inventores"),
+                                     self.patent_part("depositantes"), self.patent_part("ipc"))
+
     @cached_property
     def by_municipality(self) -> DataFrame:
         from tessera.operators import funding as FU

@@ -339,3 +339,117 @@ def geo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
                      for x, dy in [(-70, 0), (-20, 0), (-20, 4), (-70, 4), (-70, 0)]])
     return r.select(_uf_code_of_uf(uf).alias("codigo"), uf.alias("uf"), name.alias("nome"),
                     F.array(ring).alias("rings"))
+
+
+# --------------------------------------------------------------------------
+# patents: ten header CSV tables, all text, with a file-order row number
+# --------------------------------------------------------------------------
+
+ALPHA = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _dmy(days_from_2000):
+    return F.date_format(F.date_add(F.to_date(F.lit("2000-01-01")), days_from_2000.cast("int")), "dd/MM/yyyy")
+
+
+def _letter(idx):
+    return F.substr(F.lit(ALPHA), (idx % 26 + 1).cast("int"), F.lit(1))
+
+
+def raw_patent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    pk = F.col("p_partkey")
+    if name == "bibliografia":
+        prefix = (F.when(F.col("p_size") % 3 == 0, F.lit("PI")).when(F.col("p_size") % 3 == 1, F.lit("MU"))
+                  .otherwise(F.lit("BR10")))
+        base = p.select(
+            pk, (pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+            F.concat(prefix, F.lpad(_s(pk), 7, "0")).alias("numero_inpi"),
+            F.when(pk % 37 == 0, F.lit("31/02/2010")).otherwise(_dmy(pk)).alias("data_deposito"),
+            _dmy(pk + 30).alias("data_protocolo"),
+            _dmy(pk + 540).alias("data_publicacao"),
+            F.when(pk % 4 == 0, _dmy(pk + 2000)).otherwise(F.lit("")).alias("data_concessao"),
+            F.lit("").alias("data_fase_nacional"),
+            F.lit("").alias("numero_pct"), F.lit("").alias("numero_wo"),
+            F.when(pk % 13 == 0, F.lit("1.0")).otherwise(F.lit("0")).alias("sigilo"))
+        dup = base.filter(pk % 41 == 0).select(
+            pk, (pk * 2 + 1).alias("_row"), "codigo_interno",
+            F.concat(F.lit("DUP"), F.col("numero_inpi")).alias("numero_inpi"), "data_deposito",
+            "data_protocolo", "data_publicacao", "data_concessao", "data_fase_nacional", "numero_pct",
+            "numero_wo", "sigilo")
+        return base.unionByName(dup).drop("p_partkey")
+    if name == "conteudo":
+        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.when(pk % 17 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("titulo"),
+                        F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("resumo"))
+    if name == "ipc":
+        brand = F.substring_index(F.col("p_brand"), "#", -1).cast("int")
+        sym = F.concat(_letter(brand % 8), F.lpad(_s(F.col("p_size") % 100), 2, "0"), _letter(pk),
+                       F.lit(" 1/00"))
+        sym2 = F.concat(_letter(brand % 8), F.lpad(_s(F.col("p_size") % 100), 2, "0"), _letter(pk + 1),
+                        F.lit(" 2/00"))
+        one = p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"), F.lit("1").alias("ordem"),
+                       sym.alias("simbolo"), F.lit("2024.01").alias("versao"))
+        two = p.filter(pk % 3 == 0).select((pk * 2 + 1).alias("_row"), _s(pk).alias("codigo_interno"),
+                                           F.lit("2").alias("ordem"), sym2.alias("simbolo"),
+                                           F.lit("2024.01").alias("versao"))
+        return one.unionByName(two)
+    if name == "procuradores":
+        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.concat(F.lit("Procurador "), _s(pk % 50)).alias("procurador"),
+                        F.when(pk % 4 == 0, F.concat(F.lpad(_s(pk % 1500), 8, "0"), F.lit("000100")))
+                         .otherwise(F.lit("")).alias("cgccpfprocurador"),
+                        F.when(pk % 4 == 0, F.lit("Pessoa Jurídica")).otherwise(F.lit("Pessoa Física"))
+                         .alias("tipopessoaprocurador"))
+    if name == "prioridades":
+        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.when(pk % 4 == 0, F.lit("US")).otherwise(F.lit("")).alias("pais_prioridade"),
+                        F.when(pk % 4 == 0, F.concat(F.lit("US"), _s(pk))).otherwise(F.lit(""))
+                         .alias("numero_prioridade"),
+                        F.when(pk % 4 == 0, _dmy(pk - 200)).otherwise(F.lit("")).alias("data_prioridade"))
+    if name == "vinculos":
+        return p.filter(pk > 0).select(
+            (pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+            F.when(pk % 9 == 1, _s(pk + 10000000)).otherwise(_s(F.floor(pk / 2))).alias("codigo_interno_vinculado"),
+            F.when(pk % 2 == 0, F.lit("A")).otherwise(F.lit("I")).alias("tipo_vinculo"))
+    if name == "renumeracoes":
+        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.when(pk % 5 == 0, F.concat(F.lit("OLD"), _s(pk))).otherwise(F.lit(""))
+                         .alias("numero_original"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                 "l_returnflag", "l_linestatus", "l_shipdate")
+    row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_row")
+    if name == "inventores":
+        return li.select(row, _s(F.col("l_partkey")).alias("codigo_interno"),
+                         _s(F.col("l_linenumber")).alias("ordem"),
+                         F.concat(F.lit("Inventor "), _s(F.col("l_suppkey"))).alias("autor"),
+                         F.lit("BR").alias("pais"), F.lit("SP").alias("estado"))
+    if name == "depositantes":
+        s = F.col("l_suppkey")
+        return li.select(row, _s(F.col("l_partkey")).alias("codigo_interno"),
+                         _s(F.col("l_linenumber")).alias("ordem"),
+                         F.concat(F.lit("Depositante "), _s(s)).alias("depositante"),
+                         F.when(s % 2 == 0, F.concat(F.lpad(_s(s * 13 % 1500), 8, "0"), F.lit("000100")))
+                          .otherwise(F.concat(F.lit("***"), F.lpad(_s(s * 7919 % 1000000), 6, "0"), F.lit("**")))
+                          .alias("cgccpfdepositante"),
+                         F.when(s % 2 == 0, F.lit("Pessoa Jurídica")).when(s % 3 == 0, F.lit("pessoa física"))
+                          .otherwise(F.lit("Pessoa Física")).alias("tipopessoadepositante"),
+                         F.lit("BR").alias("pais"), F.lit("SP").alias("uf"))
+    if name == "despachos":
+        return li.select(row, _s(F.col("l_partkey")).alias("codigo_interno"),
+                         _s(F.col("l_orderkey") % 3000).alias("numero_rpi"),
+                         F.date_format(F.col("l_shipdate"), "dd/MM/yyyy").alias("data_rpi"),
+                         F.concat(F.col("l_returnflag"), F.lit("."), _s(F.col("l_linenumber"))).alias("codigo_despacho"),
+                         F.col("l_linestatus").alias("complemento"))
+    raise ValueError(name)
+
+
+def raw_ipc_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPC subclass dimension: distinct 4-char groups of the part symbols,
+    one group (the last alphabetically) left without a row."""
+    ipc = raw_patent(spark, sf_dir, "ipc").select(F.left(F.col("simbolo"), F.lit(4)).alias("simbolo")).distinct()
+    last = ipc.agg(F.max("simbolo").alias("_mx"))
+    from tessera.operators.common import attach_scalars
+    return attach_scalars(ipc, last).filter(F.col("simbolo") != F.col("_mx")).select(
+        "simbolo", F.left(F.col("simbolo"), F.lit(1)).alias("secao"), F.left(F.col("simbolo"), F.lit(3)).alias("classe"),
+        F.concat(F.lit("Title of "), F.col("simbolo")).alias("titulo_en"), F.lit("2024.01").alias("edition"))
