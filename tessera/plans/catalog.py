@@ -11,7 +11,7 @@ from tessera.plans.context import Inputs
 from tessera.plans.oracle_base import with_prelude
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_BODIES: dict[str, tuple[str, dict[str, str] | None]] = {}
 
 
 def register(key: str, sql: str | None = None, extra: dict[str, str] | None = None):
@@ -23,12 +23,19 @@ def register(key: str, sql: str | None = None, extra: dict[str, str] | None = No
             raise KeyError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if sql is not None:
-            ORACLE[key] = with_prelude(sql, extra)
+            _BODIES[key] = (sql, extra)
         return fn
 
     return deco
 
 
+def oracle() -> dict[str, str]:
+    """Oracle SQL per key, composed after every prelude table is known."""
+    load_all()
+    return {k: with_prelude(sql, extra) for k, (sql, extra) in _BODIES.items()}
+
+
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
-    from tessera.plans import q_funding, q_patents, q_registry  # noqa: F401
+    from tessera.plans import oracle_funding, oracle_graph, oracle_patents  # noqa: F401
+    from tessera.plans import q_funding, q_graph, q_patents, q_registry  # noqa: F401

@@ -66,7 +66,7 @@ CTES["pt_content"] = semi(first(f"""(SELECT p_partkey * 2 AS _row, {code('CAST(p
   {norm("CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_name END")} AS titulo,
   {norm("p_type || ' ' || p_name")} AS resumo FROM part) c""", "codigo_interno"))
 
-_ROW = "(l_orderkey * 8 + l_linenumber)"
+_ROW = "((l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey)"
 
 CTES["pt_inventors"] = semi(first(f"""(SELECT {_ROW} AS _row, l_partkey AS codigo_interno, l_linenumber AS ordem,
   'Inventor ' || CAST(l_suppkey AS VARCHAR) AS autor, 'BR' AS pais, 'SP' AS estado FROM lineitem) i""",

@@ -418,7 +418,8 @@ def raw_patent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                          .alias("numero_original"))
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                  "l_returnflag", "l_linestatus", "l_shipdate")
-    row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("_row")
+    # file position: unique even where the source repeats (order, line)
+    row = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")).alias("_row")
     if name == "inventores":
         return li.select(row, _s(F.col("l_partkey")).alias("codigo_interno"),
                          _s(F.col("l_linenumber")).alias("ordem"),
