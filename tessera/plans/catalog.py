@@ -37,5 +37,5 @@ def oracle() -> dict[str, str]:
 
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
-    from tessera.plans import oracle_funding, oracle_graph, oracle_patents  # noqa: F401
-    from tessera.plans import q_funding, q_graph, q_patents, q_registry  # noqa: F401
+    from tessera.plans import oracle_funding, oracle_graph, oracle_orgs, oracle_patents  # noqa: F401
+    from tessera.plans import q_funding, q_geo, q_graph, q_patents, q_registry  # noqa: F401
