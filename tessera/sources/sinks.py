@@ -91,6 +91,18 @@ def replace_partition(target: DataFrame, rows: DataFrame, col: str, value) -> Da
         rows.withColumn(col, F.lit(value).cast(target.schema[col].dataType)).select(*target.columns))
 
 
+def ensure_stage(spark: SparkSession, path: str, build) -> DataFrame:
+    """SNK-10: reuse a stage output that exists and reads back; otherwise
+    (missing, no ``_SUCCESS``, unreadable) build and write it again."""
+    try:
+        df = spark.read.parquet(path)
+        df.limit(1).count()
+        return df
+    except Exception:  # noqa: BLE001  (missing or corrupt output: rebuild)
+        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path)
+
+
 def reload_snapshot(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """SNK-7: full-snapshot reload; duplicate keys keep the first row."""
     from tessera.operators.common import first_by
