@@ -54,12 +54,13 @@ def with_total(df: DataFrame, name: str = "total") -> DataFrame:
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    An equi-join on a constant key against a broadcast single row: a
-    BroadcastHashJoin, never a cartesian product, and no single-partition
-    window."""
-    return (df.withColumn("_one", F.lit(1))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")
-            .drop("_one"))
+    Each column becomes a scalar subquery (evaluated once, merged with its
+    siblings by the optimizer, its value inlined into the projection): no
+    join of any kind and no single-partition window."""
+    out = df
+    for c in one_row.columns:
+        out = out.withColumn(c, one_row.select(c).scalar())
+    return out
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
