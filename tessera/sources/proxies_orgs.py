@@ -22,8 +22,13 @@ def raw_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
     coll = None
     for k, v in COLLECTIONS.items():
         coll = F.when(F.col("event_type") == k, F.lit(v)) if coll is None else coll.when(F.col("event_type") == k, F.lit(v))
-    base = F.concat(F.lpad(_s(u % 1500), 8, "0"), F.lit("0001"))
-    cnpj = F.when(u % 7 == 0, F.lit("")).otherwise(format_id(F.concat(base, check_digits(base))))
+    # the formatted id is a per-organization value: computed once per id on
+    # the distinct ids and joined back (keeps the per-event stage small)
+    ids = ev.select((u % 1500).alias("_idk")).distinct()
+    base = F.concat(F.lpad(_s(F.col("_idk")), 8, "0"), F.lit("0001"))
+    ids = ids.select("_idk", format_id(F.concat(base, check_digits(base))).alias("_fmt"))
+    df = df.withColumn("_idk", u % 1500).join(ids, "_idk")
+    cnpj = F.when(u % 7 == 0, F.lit("")).otherwise(F.col("_fmt"))
     city = muni_name(F.col("n_nationkey"), F.initcap(F.col("n_name")))
     city = F.when(u % 5 == 0, F.translate(city, "ãíÃÍ", "aiAI")).otherwise(city)
     uf = _uf_of_region(F.col("n_regionkey"))
