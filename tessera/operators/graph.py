@@ -124,7 +124,11 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int, checkpoint: bool = True
     adj = (edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
            .unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr")))
            .distinct())
+    if checkpoint and hops > 0:
+        adj = _checkpoint(adj)
     reached = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    if checkpoint and hops > 0:
+        reached = _checkpoint(reached)
     frontier = reached
     for _ in range(hops):
         nxt = (frontier.join(adj, "node").select("seed", F.col("nbr").alias("node")).distinct()
@@ -148,8 +152,11 @@ def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int = MAX_EDGE
     are kept and ``truncated`` says whether more existed. Each reached node
     first keeps its own first ``limit + 1`` incident edges: the global
     first ``limit + 1`` of a seed are among them, so the cut is exact."""
-    near = reach(seeds, edges, hops - 1, checkpoint)
     e = edges.select("type", "src", "dst", "reference_month")
+    if checkpoint:
+        # the edge table feeds every hop and both incidence joins: built once
+        e = _checkpoint(e)
+    near = reach(seeds, e, hops - 1, checkpoint)
     inc = (near.join(e.withColumnRenamed("src", "node").withColumn("src", F.col("node")), "node")
            .unionByName(near.join(e.withColumnRenamed("dst", "node").withColumn("dst", F.col("node")), "node"),
                         allowMissingColumns=False))

@@ -94,7 +94,12 @@ class Inputs:
         from tessera.operators import funding as FU
         recs = FU.project_records(self.funding("direct"), self.funding("credit"),
                                   self.funding("equity"), self.funding("audiovisual"))
-        return FU.enrich_records(recs, self.active_view, self.inactive_view)
+        # the enriched records feed several aggregates of one request (and
+        # scalar subqueries of the overview): materialised once in the shared
+        # checkpoint directory, lineage cut
+        from tessera.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        return FU.enrich_records(recs, self.active_view, self.inactive_view).checkpoint(eager=True)
 
     @cached_property
     def geo_muni(self) -> DataFrame:
