@@ -182,22 +182,29 @@ def clean_date_iso(c: ColumnOrName) -> Column:
     return F.date_format(clean_date(c), "yyyy-MM-dd")
 
 
+# Each format is only tried on values of its shape: a failed parse is an
+# exception inside the parser, far costlier than a regex test.
+_DMY = r"^\d{2}/\d{2}/\d{4}$"
+_YMD = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def date_dayfirst(c: ColumnOrName) -> Column:
     """FN-24: day-first date, ISO accepted, bad -> NULL."""
     t = strip_quotes(c)
-    return F.coalesce(F.try_to_date(t, "dd/MM/yyyy"), F.try_to_date(t, "yyyy-MM-dd"))
+    return (F.when(t.rlike(_DMY), F.try_to_date(t, "dd/MM/yyyy"))
+            .when(t.rlike(_YMD), F.try_to_date(t, "yyyy-MM-dd")))
 
 
 def parse_ts(c: ColumnOrName) -> Column:
     """FN-27: dd/MM/yyyy (UTC midnight) or ISO-8601 with optional Z."""
     t = strip_quotes(c)
-    return F.coalesce(
-        F.try_to_timestamp(t, F.lit("dd/MM/yyyy")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd")),
-    )
+    return (F.when(t.rlike(_DMY), F.try_to_timestamp(t, F.lit("dd/MM/yyyy")))
+            .when(t.rlike(_YMD), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")))
+            .when(t.rlike(r"^\d{4}-\d{2}-\d{2}T.*(Z|[+-]\d{2}:?\d{2})$"),
+                  F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")))
+            .when(t.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")))
+            .when(t.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+                  F.try_to_timestamp(t, F.lit("yyyy-MM-dd HH:mm:ss"))))
 
 
 def parse_date(c: ColumnOrName) -> Column:

@@ -17,6 +17,7 @@ def get_session(master: str | None = None, app: str = "tessera",
     * CSV column pruning off: DROPMALFORMED must see every field to drop
       short/long rows consistently (a pruned read keeps bad rows).
     * UI off: no server is opened by these jobs.
+    * whole-stage code capped at the JIT's method-size limit (see configure).
     """
     cores = os.cpu_count() or 8
     builder = (
@@ -26,6 +27,7 @@ def get_session(master: str | None = None, app: str = "tessera",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.csv.parser.columnPruning.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
@@ -45,6 +47,10 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A whole-stage method above 8000 bytes of bytecode is never JIT-compiled
+    # by HotSpot and runs interpreted; the wide cleaning projections cross
+    # that size, so such stages fall back to split (JIT-able) code.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     ensure_checkpoint_dir(spark)
     return spark
 
