@@ -38,4 +38,4 @@ def oracle() -> dict[str, str]:
 def load_all() -> None:
     """Import every query module so their ``register`` calls run."""
     from tessera.plans import oracle_funding, oracle_graph, oracle_orgs, oracle_patents  # noqa: F401
-    from tessera.plans import q_extra, q_funding, q_geo, q_graph, q_io, q_patents, q_quality, q_registry, q_topics  # noqa: F401
+    from tessera.plans import q_extra, q_funding, q_geo, q_graph, q_io, q_orgrel, q_patents, q_quality, q_registry, q_topics  # noqa: F401
