@@ -182,23 +182,30 @@ LOOKUP_COLS = ["cnpj_14", "razao_social", "nome_fantasia", "situacao_cadastral",
                "reference_month"]
 
 
-def lookup_company(ids: DataFrame, active: DataFrame, inactive: DataFrame) -> DataFrame:
+def lookup_company(ids: DataFrame, active: DataFrame, inactive: DataFrame,
+                   tiered: DataFrame | None = None) -> DataFrame:
     """JOIN-7: each 14-digit id from the active view, else the inactive one,
-    tagged with ``match_source``. ``ids`` has one column ``cnpj_14``."""
+    tagged with ``match_source``. ``ids`` has one column ``cnpj_14``.
+    ``tiered`` (both views from one join, see ``search_view_tiered``)
+    replaces the union of the two views when given."""
     # no broadcast hint: the id set grows with the funding data; AQE turns
     # the semi join into a broadcast at runtime when it is small
     wanted = ids.select("cnpj_14").filter(F.length("cnpj_14") == 14).distinct()
-    both = (active.select(*LOOKUP_COLS, F.lit("active").alias("match_source"), F.lit(0).alias("_tier"))
-            .unionByName(inactive.select(*LOOKUP_COLS, F.lit("inactive").alias("match_source"),
-                                         F.lit(1).alias("_tier")))
-            .join(wanted, "cnpj_14", "left_semi"))
+    if tiered is not None:
+        both = tiered.select(*LOOKUP_COLS, "match_source", "_tier")
+    else:
+        both = (active.select(*LOOKUP_COLS, F.lit("active").alias("match_source"), F.lit(0).alias("_tier"))
+                .unionByName(inactive.select(*LOOKUP_COLS, F.lit("inactive").alias("match_source"),
+                                             F.lit(1).alias("_tier"))))
+    both = both.join(wanted, "cnpj_14", "left_semi")
     return first_by(both, ["cnpj_14"], [F.col("_tier")]).drop("_tier")
 
 
-def enrich_records(records: DataFrame, active: DataFrame, inactive: DataFrame) -> DataFrame:
+def enrich_records(records: DataFrame, active: DataFrame, inactive: DataFrame,
+                   tiered: DataFrame | None = None) -> DataFrame:
     """Records with the company attributes (prefixed ``company_``); missing
     state and city are filled from the company."""
-    comp = lookup_company(records, active, inactive)
+    comp = lookup_company(records, active, inactive, tiered)
     comp = comp.select([F.col(c).alias("company_" + c) for c in comp.columns])
     out = records.join(comp, records.cnpj_14 == comp.company_cnpj_14, "left")
     return (out.withColumn("uf", F.when(F.coalesce(F.col("uf"), F.lit("")) == "", F.col("company_uf"))

@@ -144,11 +144,12 @@ SEARCH_VIEW_COLUMNS = [
 
 
 def _search_view(companies: DataFrame, establishments: DataFrame, municipios: DataFrame,
-                 cnaes: DataFrame, naturezas: DataFrame, active: bool) -> DataFrame:
+                 cnaes: DataFrame, naturezas: DataFrame, active: bool | None) -> DataFrame:
     status = F.col("situacao_cadastral")
     # NULL status is in neither view: plain three-valued comparisons.
-    est = establishments.filter((F.col("identificador_matriz_filial") == 1)
-                                & ((status == "02") if active else (status != "02")))
+    # active=None: both views in one pass (status present).
+    keep = status.isNotNull() if active is None else ((status == "02") if active else (status != "02"))
+    est = establishments.filter((F.col("identificador_matriz_filial") == 1) & keep)
     est = est.select("cnpj_basico", "nome_fantasia", "cnpj_ordem", "cnpj_dv", "situacao_cadastral",
                      "codigo_municipio", "uf", "cnae_fiscal_principal", "data_inicio_atividade",
                      "correio_eletronico")
@@ -178,6 +179,16 @@ def search_view_inactive(companies, establishments, municipios, cnaes, naturezas
     return _search_view(companies, establishments, municipios, cnaes, naturezas, False)
 
 
+def search_view_tiered(companies, establishments, municipios, cnaes, naturezas) -> DataFrame:
+    """Both search views from one join: every head office with a status,
+    tagged ``match_source`` (active / inactive) and ``_tier`` (0 / 1).
+    Equal to ``active ∪ inactive`` with the tags, at the cost of one view."""
+    v = _search_view(companies, establishments, municipios, cnaes, naturezas, None)
+    act = F.col("situacao_cadastral") == "02"
+    return (v.withColumn("match_source", F.when(act, F.lit("active")).otherwise(F.lit("inactive")))
+            .withColumn("_tier", F.when(act, F.lit(0)).otherwise(F.lit(1))))
+
+
 def establishment_full(establishments: DataFrame, companies: DataFrame) -> DataFrame:
     """JOIN-3: establishment with its 14-digit id and company attributes."""
     emp = companies.select("cnpj_basico", "razao_social", "capital_social", "porte_empresa")

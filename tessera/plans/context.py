@@ -99,7 +99,13 @@ class Inputs:
         # checkpoint directory, lineage cut
         from tessera.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(self.spark)
-        return FU.enrich_records(recs, self.active_view, self.inactive_view).checkpoint(eager=True)
+        return FU.enrich_records(recs, self.active_view, self.inactive_view,
+                                 self.tiered_view).checkpoint(eager=True)
+
+    @cached_property
+    def tiered_view(self) -> DataFrame:
+        return R.search_view_tiered(self.companies, self.establishments, self.municipios,
+                                    self.cnaes, self.naturezas)
 
     @cached_property
     def geo_muni(self) -> DataFrame:
