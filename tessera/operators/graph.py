@@ -134,10 +134,10 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int, checkpoint: bool = True
         nxt = (frontier.join(adj, "node").select("seed", F.col("nbr").alias("node")).distinct()
                .join(reached, ["seed", "node"], "left_anti"))
         if checkpoint:
+            # one write per hop: the new frontier; ``reached`` stays a union
+            # of checkpointed pieces, so its lineage is one scan per hop
             nxt = _checkpoint(nxt)
         reached = reached.unionByName(nxt)
-        if checkpoint:
-            reached = _checkpoint(reached)
         frontier = nxt
     return reached
 
