@@ -1,33 +1,17 @@
-"""Shared DataFrame helpers: size-checked broadcast, first-per-key, paging."""
+"""Shared DataFrame helpers: first-per-key, paging, totals."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Dimension tables (lookups, geography, IPC) are broadcast only when a
-# bounded probe confirms they are small; otherwise the join stays a
-# shuffle join and AQE decides at runtime.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows (``limit`` stops the scan
-    early), so a large side is never pulled into memory to find out."""
-    key = (df.semanticHash(), max_rows)
-    ok = _SMALL.get(key)
-    if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
-        _SMALL[key] = ok
-    return F.broadcast(df) if ok else df
-
-
-# probe results per (plan, bound): a dimension is probed once per process
-_SMALL: dict[tuple[int, int], bool] = {}
+def strip_accents_upper(text: str) -> str:
+    """A typed search text as the names are stored: upper case, no accents."""
+    parts = unicodedata.normalize("NFD", text.strip().upper())
+    return "".join(ch for ch in parts if unicodedata.category(ch) != "Mn")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,10 +22,11 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 def page(df: DataFrame, order: Sequence[Column], page_no: int = 1, size: int = 20,
          max_size: int = 100) -> DataFrame:
-    """SRT-1: one page after a total order; page size capped at 100."""
-    size = max(1, min(size, max_size))
-    offset = (max(page_no, 1) - 1) * size
-    return df.orderBy(*order).offset(offset).limit(size)
+    """SRT-1: one page after a total order. A page number below 1 or a size
+    outside 1 to ``max_size`` is an error, never changed silently."""
+    if page_no < 1 or not 1 <= size <= max_size:
+        raise ValueError(f"page {page_no} of {size} rows: pages start at 1 and hold 1 to {max_size} rows")
+    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
 
 
 def with_total(df: DataFrame, name: str = "total") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.common import attach_scalars, first_by, small
+from tessera.operators.common import attach_scalars, first_by
 
 MONEY = "decimal(20,2)"
 
@@ -283,7 +283,7 @@ def resolve_geo(records: DataFrame, geo_muni: DataFrame) -> DataFrame:
     accent-free upper name). The registry-code path cannot fire in the
     source platform (the company lookup does not carry that code), so it is
     not taken here either."""
-    g = small(geo_muni.select(F.col("uf").alias("_guf"), C.city_key("nome").alias("_gkey"),
+    g = (geo_muni.select(F.col("uf").alias("_guf"), C.city_key("nome").alias("_gkey"),
                               F.col("codigo").alias("geo_codigo"), F.col("nome").alias("geo_nome"),
                               F.col("latitude").alias("geo_latitude"), F.col("longitude").alias("geo_longitude")))
     g = first_by(g, ["_guf", "_gkey"], [F.col("geo_codigo")])

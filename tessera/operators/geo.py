@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.common import first_by, small
+from tessera.operators.common import first_by
 
 EARTH_RADIUS_KM = 6371.0088
 CELL_DEG = 1.0
@@ -139,7 +139,7 @@ def build_crosswalk(registry_munis: DataFrame, inferred: DataFrame, national: Da
     not_found (none), no_state (state not inferable)."""
     r = registry_munis.select(F.col("codigo").alias("codigo_municipio"), F.col("nome").alias("nome_rf")) \
         .join(inferred, "codigo_municipio", "left").withColumn("k", C.name_key("nome_rf"))
-    n = small(national.select(F.col("codigo").alias("codigo_ibge"), F.col("uf").alias("n_uf"),
+    n = (national.select(F.col("codigo").alias("codigo_ibge"), F.col("uf").alias("n_uf"),
                               C.name_key("nome").alias("k")))
     j = r.join(n, (r.k == n.k) & (r.uf_inferida == n.n_uf), "left").drop(n.k)
     w = Window.partitionBy("codigo_municipio")

@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.common import first_by
+from tessera.operators.common import first_by, strip_accents_upper
 
-MAX_EDGES = 200
-MAX_DEPTH = 3
 STUB_NAME = "EMPRESA NAO ENCONTRADA NA BASE"
 
 
@@ -142,15 +140,16 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int, checkpoint: bool = True
     return reached
 
 
-def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int = MAX_EDGES,
+def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = None,
             checkpoint: bool = True) -> DataFrame:
     """Distinct edges on undirected paths of 1..``hops`` hops from each seed.
 
     An edge lies on such a path iff one of its ends is within ``hops - 1``
     hops of the seed, so the edge set is the edges incident to the reached
-    nodes. Per seed the first ``limit`` edges by (type, src, dst, month)
-    are kept and ``truncated`` says whether more existed. Each reached node
-    first keeps its own first ``limit + 1`` incident edges: the global
+    nodes. The whole network is returned unless the caller asks for a
+    ``limit``: then per seed the first ``limit`` edges by (type, src, dst,
+    month) are kept and ``truncated`` says whether more existed. Each reached
+    node first keeps its own first ``limit + 1`` incident edges: the global
     first ``limit + 1`` of a seed are among them, so the cut is exact."""
     e = edges.select("type", "src", "dst", "reference_month")
     if checkpoint:
@@ -160,6 +159,9 @@ def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int = MAX_EDGE
     inc = (near.join(e.withColumnRenamed("src", "node").withColumn("src", F.col("node")), "node")
            .unionByName(near.join(e.withColumnRenamed("dst", "node").withColumn("dst", F.col("node")), "node"),
                         allowMissingColumns=False))
+    if limit is None:
+        return inc.drop("node").dropDuplicates(["seed", "type", "src", "dst", "reference_month"]).withColumn(
+            "truncated", F.lit(False))
     order = [F.col("type"), F.col("src"), F.col("dst"), F.col("reference_month")]
     wn = Window.partitionBy("seed", "node").orderBy(*order)
     inc = inc.withColumn("_r", F.row_number().over(wn)).filter(F.col("_r") <= limit + 1).drop("_r", "node")
@@ -170,28 +172,35 @@ def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int = MAX_EDGE
     return ranked.filter(F.col("_rank") <= limit).join(more, "seed").drop("_rank")
 
 
+def _depth(depth: int) -> int:
+    if depth < 1:
+        raise ValueError(f"network depth {depth}: must be at least 1")
+    return depth
+
+
 def company_network(seed_ids: DataFrame, edges: DataFrame, depth: int = 1, **kw) -> DataFrame:
-    """GRA-6: company network; depth d (1..3) means 2d - 1 hops."""
-    d = max(1, min(depth, MAX_DEPTH))
+    """GRA-6: company network; depth d (from 1 on) means 2d - 1 hops."""
+    d = _depth(depth)
     seeds = seed_ids.select(F.concat(F.lit("C:"), F.col("cnpj_basico")).alias("seed"))
     return network(seeds, edges, 2 * d - 1, **kw)
 
 
 def person_network(person_ids: DataFrame, edges: DataFrame, depth: int = 1, **kw) -> DataFrame:
     """GRA-7: person network; depth d means d hops."""
-    d = max(1, min(depth, MAX_DEPTH))
+    d = _depth(depth)
     seeds = person_ids.select(F.concat(F.lit("P:"), F.col("pessoa_id")).alias("seed"))
     return network(seeds, edges, d, **kw)
 
 
-def network_metadata(net: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
-    """GRA-8: per seed: nodes, edges, relationships (+1 when truncated)."""
+def network_metadata(net: DataFrame, limit: int | None = None) -> DataFrame:
+    """GRA-8: per seed: nodes, edges, relationships (+1 when truncated) and
+    the limit asked for (null: the whole network)."""
     nodes = (net.select("seed", F.col("src").alias("n")).unionByName(net.select("seed", F.col("dst").alias("n")))
              .groupBy("seed").agg(F.count_distinct("n").alias("nodes")))
     e = net.groupBy("seed").agg(F.count(F.lit(1)).alias("edges"), F.max("truncated").alias("truncated"))
     return e.join(nodes, "seed").select(
         "seed", "nodes", "edges", (F.col("edges") + F.when(F.col("truncated"), 1).otherwise(0)).alias("relationships"),
-        "truncated", F.lit(limit).alias("limit"))
+        "truncated", F.lit(limit).cast("int").alias("limit"))
 
 
 # --------------------------------------------------------------------------
@@ -200,20 +209,27 @@ def network_metadata(net: DataFrame, limit: int = MAX_EDGES) -> DataFrame:
 
 def graph_search(company_nodes_df: DataFrame, person_nodes_df: DataFrame, edges: DataFrame, q: str,
                  k: int = 20) -> DataFrame:
-    """GRA-9 + SET-6 + SRT-5: companies by root prefix or name, persons by
-    name; rank exact id, prefix, other, then label; degree per match."""
-    digits = "".join(ch for ch in q if ch.isdigit())
-    pat = "%" + q.strip() + "%"
-    comp_cond = F.col("razao_social").ilike(pat)
+    """GRA-9 + SET-6 + SRT-5: companies whose root starts with the typed
+    digits (all of them: 14 digits match no root) or whose name contains the
+    text, persons by name; the text is upper-cased and accent-stripped, blank
+    text matches no name. Rank exact id, prefix, other, then label; degree per
+    match."""
+    digits = "".join(ch for ch in q if ch in "0123456789")
+    text = strip_accents_upper(q)
+
+    def holds(name: str):
+        return F.upper(F.coalesce(F.col(name), F.lit(""))).contains(text) if text else F.lit(False)
+
+    comp_cond = holds("razao_social")
     if digits:
-        comp_cond = comp_cond | F.col("cnpj_basico").startswith(digits[:8])
+        comp_cond = comp_cond | F.col("cnpj_basico").startswith(digits)
     comp = company_nodes_df.filter(comp_cond).select(
         F.concat(F.lit("C:"), "cnpj_basico").alias("node"), F.lit("empresa").alias("kind"),
         F.col("razao_social").alias("label"),
-        (F.when(F.lit(bool(digits)) & (F.col("cnpj_basico") == digits[:8]), 0)
-         .when(F.lit(bool(digits)) & F.col("cnpj_basico").startswith(digits[:8] or "\u0000"), 1)
+        (F.when(F.lit(bool(digits)) & (F.col("cnpj_basico") == digits), 0)
+         .when(F.lit(bool(digits)) & F.col("cnpj_basico").startswith(digits), 1)
          .otherwise(2)).alias("rank"))
-    pers = person_nodes_df.filter(F.col("nome").ilike(pat)).select(
+    pers = person_nodes_df.filter(holds("nome")).select(
         F.concat(F.lit("P:"), "pessoa_id").alias("node"), F.lit("pessoa").alias("kind"),
         F.col("nome").alias("label"), F.lit(2).alias("rank"))
     hits = comp.unionByName(pers)

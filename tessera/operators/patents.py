@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.common import first_by, small
+from tessera.operators.common import first_by
 
 
 def _code(c="codigo_interno"):
@@ -44,9 +44,9 @@ def clean_patents(raw: DataFrame, snapshot_date: str) -> DataFrame:
         C.date_dayfirst("data_deposito").alias("data_deposito"),
         C.date_dayfirst("data_protocolo").alias("data_protocolo"),
         C.date_dayfirst("data_publicacao").alias("data_publicacao"),
-        C.date_dayfirst("data_concessao").alias("data_concessao"),
-        C.date_dayfirst("data_fase_nacional").alias("data_fase_nacional"),
         C.norm("numero_pct").alias("numero_pct"), C.norm("numero_wo").alias("numero_wo"),
+        C.date_dayfirst("data_publicacao_wo").alias("data_publicacao_wo"),
+        C.date_dayfirst("data_entrada_fase_nacional").alias("data_entrada_fase_nacional"),
         C.secrecy("sigilo").alias("sigilo"),
         F.lit(snapshot_date).cast("date").alias("snapshot_date"))
     return first_by_key(df, ["codigo_interno"])
@@ -73,7 +73,9 @@ def clean_depositors(raw: DataFrame, patents: DataFrame) -> DataFrame:
                     C.norm("depositante").alias("depositante"),
                     C.norm("cgccpfdepositante").alias("cgccpfdepositante"),
                     C.norm("tipopessoadepositante").alias("tipopessoadepositante"),
-                    C.norm("pais").alias("pais"), C.norm("uf").alias("uf"))
+                    C.norm("pais").alias("pais"), C.norm("uf").alias("uf"),
+                    C.date_dayfirst("data_inicio_depositante").alias("data_inicio"),
+                    C.date_dayfirst("data_fim_depositante").alias("data_fim"))
     df = df.withColumn("cnpj_basico_resolved",
                        C.resolve_root(F.col("cgccpfdepositante"), F.col("tipopessoadepositante")))
     return with_parent(first_by_key(df, ["codigo_interno", "ordem"]), patents)
@@ -97,30 +99,33 @@ def clean_dispatches(raw: DataFrame, patents: DataFrame) -> DataFrame:
 
 
 def clean_attorneys(raw: DataFrame, patents: DataFrame) -> DataFrame:
-    """PRJ-12: attorneys with company root resolved."""
-    df = raw.select("_row", _code().alias("codigo_interno"), C.norm("procurador").alias("procurador"),
+    """PRJ-12: attorneys with company root resolved. A patent may have any
+    number of them: every row is kept under its file position as key."""
+    df = raw.select(F.col("_row").alias("id"), _code().alias("codigo_interno"), C.norm("procurador").alias("procurador"),
                     C.norm("cgccpfprocurador").alias("cgccpfprocurador"),
-                    C.norm("tipopessoaprocurador").alias("tipopessoaprocurador"))
-    df = df.withColumn("cnpj_basico_resolved",
-                       C.resolve_root(F.col("cgccpfprocurador"), F.col("tipopessoaprocurador")))
-    return with_parent(first_by_key(df, ["codigo_interno"]), patents)
+                    C.norm("tipopessoaprocurador").alias("tipopessoaprocurador"),
+                    C.date_dayfirst("data_inicio_procurador").alias("data_inicio"))
+    df = df.filter(F.col("codigo_interno").isNotNull()).withColumn(
+        "cnpj_basico_resolved", C.resolve_root(F.col("cgccpfprocurador"), F.col("tipopessoaprocurador")))
+    return with_parent(df, patents)
 
 
 def clean_priorities(raw: DataFrame, patents: DataFrame) -> DataFrame:
-    """PRJ-13: priority claims (rows without a number are blank lines)."""
+    """PRJ-13: priority claims, one per patent, country and number (rows
+    without a country or number are blank lines)."""
     df = raw.select("_row", _code().alias("codigo_interno"), C.norm("pais_prioridade").alias("pais_prioridade"),
                     C.norm("numero_prioridade").alias("numero_prioridade"),
                     C.date_dayfirst("data_prioridade").alias("data_prioridade"))
-    df = df.filter(F.col("numero_prioridade").isNotNull())
-    return with_parent(first_by_key(df, ["codigo_interno", "numero_prioridade"]), patents)
+    df = df.filter(F.col("numero_prioridade").isNotNull() & F.col("pais_prioridade").isNotNull())
+    return with_parent(first_by_key(df, ["codigo_interno", "pais_prioridade", "numero_prioridade"]), patents)
 
 
 def clean_links(raw: DataFrame, patents: DataFrame) -> DataFrame:
-    """PRJ-14: both ends must exist."""
+    """PRJ-14: one link per pair of patents and type; both ends must exist."""
     df = raw.select("_row", _code().alias("codigo_interno"),
                     _code("codigo_interno_vinculado").alias("codigo_interno_vinculado"),
-                    C.norm("tipo_vinculo").alias("tipo_vinculo"))
-    df = first_by_key(df, ["codigo_interno", "codigo_interno_vinculado"])
+                    C.norm("tipo_vinculo").alias("tipo_vinculo"), C.date_dayfirst("data_vinculo").alias("data_vinculo"))
+    df = first_by_key(df, ["codigo_interno", "codigo_interno_vinculado", "tipo_vinculo"])
     df = with_parent(df, patents)
     return with_parent(df, patents, key="codigo_interno_vinculado")
 
@@ -194,7 +199,7 @@ def patents_by_ipc(view: DataFrame, ipc_dim: DataFrame, k: int = 50) -> DataFram
     g = (view.filter(F.col("ipc_secao_classe").isNotNull()).groupBy("ipc_secao_classe")
          .agg(F.count("codigo_interno").alias("total")))
     top = g.orderBy(F.col("total").desc(), F.col("ipc_secao_classe")).limit(k)
-    dim = small(ipc_dim.select(F.col("simbolo").alias("ipc_secao_classe"), "titulo_en"))
+    dim = (ipc_dim.select(F.col("simbolo").alias("ipc_secao_classe"), "titulo_en"))
     return top.join(dim, "ipc_secao_classe", "left")
 
 
@@ -218,9 +223,9 @@ SUBTABLES = {
     "depositantes": (["depositante"], ["codigo_interno", "ordem"]),
     "ipc": (["simbolo"], ["codigo_interno", "ordem"]),
     "despachos": (["codigo_despacho", "complemento"], ["data_rpi", "id"]),
-    "procuradores": (["procurador"], ["codigo_interno"]),
-    "prioridades": (["numero_prioridade", "pais_prioridade"], ["codigo_interno", "numero_prioridade"]),
-    "vinculos": (["tipo_vinculo"], ["codigo_interno", "codigo_interno_vinculado"]),
+    "procuradores": (["procurador"], ["codigo_interno", "id"]),
+    "prioridades": (["numero_prioridade", "pais_prioridade"], ["codigo_interno", "pais_prioridade", "numero_prioridade"]),
+    "vinculos": (["tipo_vinculo"], ["codigo_interno", "codigo_interno_vinculado", "tipo_vinculo"]),
     "renumeracoes": (["numero_original"], ["codigo_interno", "numero_original"]),
     "ipc_ref": (["simbolo", "titulo_en"], ["simbolo"]),
 }
@@ -228,8 +233,8 @@ SUBTABLES = {
 
 def list_patent_part(df: DataFrame, kind: str, q: str | None = None, codigo: int | None = None,
                      date_min: str | None = None, date_max: str | None = None) -> DataFrame:
-    """FLT-6: one listing function for the nine sub-tables."""
-    fields, _order = SUBTABLES[kind]
+    """FLT-6: one listing function for the nine sub-tables, in their order."""
+    fields, order = SUBTABLES[kind]
     cond = F.lit(True)
     if q:
         ors = F.lit(False)
@@ -242,4 +247,4 @@ def list_patent_part(df: DataFrame, kind: str, q: str | None = None, codigo: int
         cond = cond & (F.col("data_rpi") >= F.lit(date_min).cast("date"))
     if date_max and kind == "despachos":
         cond = cond & (F.col("data_rpi") <= F.lit(date_max).cast("date"))
-    return df.filter(cond)
+    return df.filter(cond).orderBy(*order)

@@ -10,7 +10,6 @@ from tessera.functions import columns as C
 from tessera.operators.common import first_by
 
 EXPECTED_FILES_PER_MONTH = 37
-MESSAGE_MAX = 4000
 
 
 def mark_stage(manifest: DataFrame, events: DataFrame, keys=("reference_month", "file_name"),
@@ -198,6 +197,6 @@ def audit_check_digits(est: DataFrame) -> DataFrame:
 
 
 def finish_manifest(runs: DataFrame) -> DataFrame:
-    """DQ-8: collected -> loaded / failed; error message cut to 4000."""
+    """DQ-8: collected -> loaded / failed, with the whole error message."""
     return runs.select("manifest_id", F.when(F.col("error").isNull(), "loaded").otherwise("failed").alias("status"),
-                       F.left(F.col("error"), F.lit(MESSAGE_MAX)).alias("error_message"))
+                       F.col("error").alias("error_message"))

@@ -8,11 +8,13 @@ lookup dimensions are broadcast behind a size probe.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.common import first_by, small
+from tessera.operators.common import first_by, strip_accents_upper
 
 
 def _raw_len(c: str):
@@ -155,11 +157,11 @@ def _search_view(companies: DataFrame, establishments: DataFrame, municipios: Da
                      "correio_eletronico")
     emp = companies.select("cnpj_basico", "razao_social", "porte_empresa", "natureza_juridica",
                            "capital_social", "reference_month")
-    m = small(municipios.select(F.col("codigo").alias("codigo_municipio"),
+    m = (municipios.select(F.col("codigo").alias("codigo_municipio"),
                                 F.col("nome").alias("municipio_nome")))
-    c = small(cnaes.select(F.col("cnae_fiscal").alias("cnae_fiscal_principal"),
+    c = (cnaes.select(F.col("cnae_fiscal").alias("cnae_fiscal_principal"),
                            F.col("descricao").alias("cnae_descricao")))
-    n = small(naturezas.select(F.col("codigo").alias("natureza_juridica"),
+    n = (naturezas.select(F.col("codigo").alias("natureza_juridica"),
                                F.col("descricao").alias("natureza_juridica_descricao")))
     out = (emp.join(est, "cnpj_basico", "inner")
            .join(m, "codigo_municipio", "left")
@@ -211,9 +213,9 @@ def company_header(companies: DataFrame, establishments: DataFrame, naturezas: D
                    qualificacoes: DataFrame) -> DataFrame:
     """JOIN-4: company header with descriptions and establishment counts."""
     stats = establishment_stats(establishments)
-    nat = small(naturezas.select(F.col("codigo").alias("natureza_juridica"),
+    nat = (naturezas.select(F.col("codigo").alias("natureza_juridica"),
                                  F.col("descricao").alias("natureza_juridica_descricao")))
-    qual = small(qualificacoes.select(F.col("codigo").alias("qualificacao_responsavel"),
+    qual = (qualificacoes.select(F.col("codigo").alias("qualificacao_responsavel"),
                                       F.col("descricao").alias("qualificacao_responsavel_descricao")))
     return (companies.join(nat, "natureza_juridica", "left")
             .join(qual, "qualificacao_responsavel", "left")
@@ -229,12 +231,12 @@ def establishment_detail(establishments: DataFrame, cnaes: DataFrame, motivos: D
                          paises: DataFrame, municipios: DataFrame) -> DataFrame:
     """JOIN-5: establishments with activity, reason, country and town names,
     formatted id and phone."""
-    c = small(cnaes.select(F.col("cnae_fiscal").alias("cnae_fiscal_principal"),
+    c = (cnaes.select(F.col("cnae_fiscal").alias("cnae_fiscal_principal"),
                            F.col("descricao").alias("cnae_descricao")))
-    mo = small(motivos.select(F.col("codigo").alias("motivo_situacao_cadastral"),
+    mo = (motivos.select(F.col("codigo").alias("motivo_situacao_cadastral"),
                               F.col("descricao").alias("motivo_descricao")))
-    p = small(paises.select(F.col("codigo").alias("codigo_pais"), F.col("nome").alias("pais_nome")))
-    m = small(municipios.select(F.col("codigo").alias("codigo_municipio"),
+    p = (paises.select(F.col("codigo").alias("codigo_pais"), F.col("nome").alias("pais_nome")))
+    m = (municipios.select(F.col("codigo").alias("codigo_municipio"),
                                 F.col("nome").alias("municipio_nome")))
     return (establishments.join(c, "cnae_fiscal_principal", "left")
             .join(mo, "motivo_situacao_cadastral", "left")
@@ -317,7 +319,7 @@ def search_companies(view: DataFrame, q: str | None = None, uf: str | None = Non
             else:
                 cond = cond & F.col("cnpj_basico").startswith(digits[:8])
         else:
-            pat = "%" + _py_strip_accents(q) + "%"
+            pat = "%" + strip_accents_upper(q) + "%"
             cond = cond & (F.col("razao_social").ilike(pat)
                            | F.coalesce(F.col("nome_fantasia"), F.lit("")).ilike(pat))
     if uf:
@@ -329,12 +331,6 @@ def search_companies(view: DataFrame, q: str | None = None, uf: str | None = Non
     return view.filter(cond)
 
 
-def _py_strip_accents(text: str) -> str:
-    import unicodedata
-    return "".join(ch for ch in unicodedata.normalize("NFD", text.upper())
-                   if unicodedata.category(ch) != "Mn")
-
-
 def person_company_counts(partners: DataFrame, q: str | None = None) -> DataFrame:
     """AGG-2 / FLT-12: people (kinds 2, 3) grouped by (name, mask, age band)
     with the number of distinct companies; optional accent-stripped name
@@ -343,7 +339,7 @@ def person_company_counts(partners: DataFrame, q: str | None = None) -> DataFram
     if q is not None:
         if len(q.strip()) < 3:
             raise ValueError("person search needs at least 3 characters")
-        p = p.filter(F.col("nome_socio_razao_social").ilike("%" + _py_strip_accents(q.strip()) + "%"))
+        p = p.filter(F.col("nome_socio_razao_social").ilike("%" + strip_accents_upper(q) + "%"))
     return p.groupBy(F.col("nome_socio_razao_social").alias("nome"), "cpf_cnpj_socio", "faixa_etaria") \
         .agg(F.countDistinct("cnpj_basico").alias("total_empresas"))
 
@@ -356,9 +352,9 @@ def person_detail(partners: DataFrame, companies: DataFrame, establishments: Dat
     emp = companies.select("cnpj_basico", "razao_social")
     hq = establishments.filter(F.col("identificador_matriz_filial") == 1).select(
         "cnpj_basico", "situacao_cadastral", "uf", "codigo_municipio")
-    q = small(qualificacoes.select(F.col("codigo").alias("qualificacao_socio"),
+    q = (qualificacoes.select(F.col("codigo").alias("qualificacao_socio"),
                                    F.col("descricao").alias("qualificacao_socio_descricao")))
-    m = small(municipios.select(F.col("codigo").alias("codigo_municipio"),
+    m = (municipios.select(F.col("codigo").alias("codigo_municipio"),
                                 F.col("nome").alias("municipio_nome")))
     rows = (p.join(emp, "cnpj_basico", "inner")
             .join(q, "qualificacao_socio", "left")
@@ -391,21 +387,33 @@ def stub_companies(children: DataFrame, companies: DataFrame, month: str) -> Dat
         F.lit(month).alias("reference_month"))
 
 
+# fixed values: columns of a search hit, in order
+SEARCH_COLUMNS = [
+    "cnpj_14", "cnpj_basico", "razao_social", "nome_fantasia", "situacao_cadastral", "codigo_municipio",
+    "municipio_nome", "uf", "cnae_fiscal_principal", "cnae_descricao", "porte_empresa", "natureza_juridica",
+    "natureza_juridica_descricao", "capital_social", "data_inicio_atividade", "correio_eletronico", "reference_month"]
+
+
 def unified_search(active: DataFrame, inactive: DataFrame, q: str, k: int = 20) -> DataFrame:
     """SET-2 + FLT-10 + WIN-7: active and inactive views unioned, one row per
-    14-digit id (active first), first ``k`` by id."""
-    digits = "".join(ch for ch in q if ch.isdigit())
-    text = "%" + _py_strip_accents(q.strip()) + "%"
-    cond = F.col("razao_social").ilike(text) | F.coalesce(F.col("nome_fantasia"), F.lit("")).ilike(text)
+    14-digit id (active first), first ``k`` by id, all view columns and where
+    the match came from.
+
+    From 14 digits on the exact id or its root matches, from 8 on the root
+    (first 8) or the id's prefix, below that either prefix. Text matches the
+    names without accents; an empty query matches everything."""
+    digits = "".join(ch for ch in q if ch in "0123456789")
+    text = strip_accents_upper(q)
+    tests = []
     if len(digits) >= 14:
-        cond = cond | (F.col("cnpj_14") == digits[:14])
+        tests += [F.col("cnpj_14") == digits[:14], F.col("cnpj_basico") == digits[:8]]
     elif len(digits) >= 8:
-        cond = cond | F.col("cnpj_14").startswith(digits)
+        tests += [F.col("cnpj_14").startswith(digits), F.col("cnpj_basico") == digits[:8]]
     elif digits:
-        cond = cond | F.col("cnpj_basico").startswith(digits)
-    cols = ["cnpj_14", "cnpj_basico", "razao_social", "nome_fantasia", "uf", "municipio_nome",
-            "situacao_cadastral"]
-    both = (active.filter(cond).select(*cols, F.lit(0).alias("tier"))
-            .unionByName(inactive.filter(cond).select(*cols, F.lit(1).alias("tier"))))
-    one = first_by(both, ["cnpj_14"], [F.col("tier")])
-    return one.orderBy("cnpj_14").limit(k).drop("tier")
+        tests += [F.col("cnpj_14").startswith(digits), F.col("cnpj_basico").startswith(digits)]
+    if text:
+        tests += [F.col("razao_social").ilike(f"%{text}%"), F.coalesce(F.col("nome_fantasia"), F.lit("")).ilike(f"%{text}%")]
+    cond = reduce(lambda x, y: x | y, tests) if tests else F.lit(True)
+    both = (active.filter(cond).select(*SEARCH_COLUMNS, F.lit("active").alias("match_source"))
+            .unionByName(inactive.filter(cond).select(*SEARCH_COLUMNS, F.lit("inactive").alias("match_source"))))
+    return first_by(both, ["cnpj_14"], [F.col("match_source")]).orderBy("cnpj_14").limit(k)

@@ -95,12 +95,9 @@ class Inputs:
         recs = FU.project_records(self.funding("direct"), self.funding("credit"),
                                   self.funding("equity"), self.funding("audiovisual"))
         # the enriched records feed several aggregates of one request (and
-        # scalar subqueries of the overview): materialised once in the shared
-        # checkpoint directory, lineage cut
-        from tessera.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
-        return FU.enrich_records(recs, self.active_view, self.inactive_view,
-                                 self.tiered_view).checkpoint(eager=True)
+        # scalar subqueries of the overview): a stage table, read with pruning
+        from tessera.session import stage_table
+        return stage_table(FU.enrich_records(recs, self.active_view, self.inactive_view, self.tiered_view), "records")
 
     @cached_property
     def tiered_view(self) -> DataFrame:

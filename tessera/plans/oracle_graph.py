@@ -74,8 +74,14 @@ def reach_sql(seeds: str, hops: int) -> str:
     return sql
 
 
-def network_sql(seeds: str, hops: int, limit: int = 200) -> str:
+def network_sql(seeds: str, hops: int, limit: int | None = None) -> str:
     near = reach_sql(seeds, hops - 1)
+    if limit is None:
+        return f"""
+WITH near AS MATERIALIZED ({near})
+SELECT DISTINCT n.seed, e.type, e.src, e.dst, e.reference_month, false AS truncated
+FROM near n JOIN g_edges e ON n.node = e.src OR n.node = e.dst
+"""
     return f"""
 WITH near AS MATERIALIZED ({near}),
 inc AS (SELECT n.seed, e.type, e.src, e.dst, e.reference_month FROM near n JOIN g_edges e ON e.src = n.node

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import CTES, MATERIALIZE
+from tessera.plans.oracle_base import CTES, MATERIALIZE, nb, q
 
 A = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 
@@ -11,18 +11,16 @@ def dmy(x: str) -> str:
     return f"strftime(DATE '2000-01-01' + CAST({x} AS INTEGER), '%d/%m/%Y')"
 
 
-def norm(c: str) -> str:
-    t = f"TRIM(REPLACE(CAST({c} AS VARCHAR), '\"', ''))"
-    return f"CASE WHEN LENGTH({t}) > 0 THEN {t} END"
+norm = nb
 
 
 def dayfirst(c: str) -> str:
-    t = f"TRIM(REPLACE(CAST({c} AS VARCHAR), '\"', ''))"
-    return f"CAST(COALESCE(TRY_STRPTIME({t}, '%d/%m/%Y'), TRY_STRPTIME({t}, '%Y-%m-%d')) AS DATE)"
+    t = q(c)
+    return f"CAST(coalesce(try_strptime({t}, '%d/%m/%Y'), try_strptime({t}, '%Y-%m-%d')) AS DATE)"
 
 
 def code(c: str = "codigo_interno") -> str:
-    return f"TRY_CAST(TRY_CAST(TRIM(REPLACE(CAST({c} AS VARCHAR), '\"', '')) AS DOUBLE) AS BIGINT)"
+    return f"TRY_CAST(TRY_CAST({q(c)} AS DOUBLE) AS BIGINT)"
 
 
 def first(src: str, keys: str) -> str:
@@ -41,15 +39,18 @@ SELECT p_partkey * 2 AS _row, CAST(p_partkey AS VARCHAR) AS codigo_interno,
        {_PREFIX} || LPAD(CAST(p_partkey AS VARCHAR), 7, '0') AS numero_inpi,
        CASE WHEN p_partkey % 37 = 0 THEN '31/02/2010' ELSE {dmy('p_partkey')} END AS data_deposito,
        {dmy('p_partkey + 30')} AS data_protocolo, {dmy('p_partkey + 540')} AS data_publicacao,
-       CASE WHEN p_partkey % 4 = 0 THEN {dmy('p_partkey + 2000')} ELSE '' END AS data_concessao,
-       '' AS data_fase_nacional, '' AS numero_pct, '' AS numero_wo,
+       '' AS numero_pct, CASE WHEN p_partkey % 4 = 0 THEN 'WO' || p_partkey ELSE '' END AS numero_wo,
+       CASE WHEN p_partkey % 4 = 0 THEN {dmy('p_partkey + 2000')} ELSE '' END AS data_publicacao_wo,
+       CASE WHEN p_partkey % 6 = 0 THEN {dmy('p_partkey + 900')} ELSE '' END AS data_entrada_fase_nacional,
        CASE WHEN p_partkey % 13 = 0 THEN '1.0' ELSE '0' END AS sigilo
 FROM part
 UNION ALL
 SELECT p_partkey * 2 + 1, CAST(p_partkey AS VARCHAR), 'DUP' || {_PREFIX} || LPAD(CAST(p_partkey AS VARCHAR), 7, '0'),
        CASE WHEN p_partkey % 37 = 0 THEN '31/02/2010' ELSE {dmy('p_partkey')} END,
        {dmy('p_partkey + 30')}, {dmy('p_partkey + 540')},
-       CASE WHEN p_partkey % 4 = 0 THEN {dmy('p_partkey + 2000')} ELSE '' END, '', '', '',
+       '', CASE WHEN p_partkey % 4 = 0 THEN 'WO' || p_partkey ELSE '' END,
+       CASE WHEN p_partkey % 4 = 0 THEN {dmy('p_partkey + 2000')} ELSE '' END,
+       CASE WHEN p_partkey % 6 = 0 THEN {dmy('p_partkey + 900')} ELSE '' END,
        CASE WHEN p_partkey % 13 = 0 THEN '1.0' ELSE '0' END
 FROM part WHERE p_partkey % 41 = 0
 """
@@ -57,9 +58,9 @@ FROM part WHERE p_partkey % 41 = 0
 CTES["pt_bib"] = first(f"""(SELECT _row, {code()} AS codigo_interno, {norm('numero_inpi')} AS numero_inpi,
   NULLIF(upper(regexp_extract(trim(numero_inpi), '^([A-Za-z]+)', 1)), '') AS tipo_patente,
   {dayfirst('data_deposito')} AS data_deposito, {dayfirst('data_protocolo')} AS data_protocolo,
-  {dayfirst('data_publicacao')} AS data_publicacao, {dayfirst('data_concessao')} AS data_concessao,
-  {dayfirst('data_fase_nacional')} AS data_fase_nacional, {norm('numero_pct')} AS numero_pct,
-  {norm('numero_wo')} AS numero_wo, COALESCE(TRY_CAST(trim(sigilo) AS DOUBLE) > 0, FALSE) AS sigilo,
+  {dayfirst('data_publicacao')} AS data_publicacao, {norm('numero_pct')} AS numero_pct, {norm('numero_wo')} AS numero_wo,
+  {dayfirst('data_publicacao_wo')} AS data_publicacao_wo, {dayfirst('data_entrada_fase_nacional')} AS data_entrada_fase_nacional,
+  COALESCE(TRY_CAST(trim(sigilo) AS DOUBLE) > 0, FALSE) AS sigilo,
   DATE '2024-01-31' AS snapshot_date FROM raw_pt_bib) b""", "codigo_interno")
 
 CTES["pt_content"] = semi(first(f"""(SELECT p_partkey * 2 AS _row, {code('CAST(p_partkey AS VARCHAR)')} AS codigo_interno,
@@ -79,7 +80,8 @@ _DEP_T = ("CASE WHEN l_suppkey % 2 = 0 THEN 'Pessoa Jurídica' WHEN l_suppkey %
 
 CTES["pt_depositors"] = semi(first(f"""(SELECT {_ROW} AS _row, l_partkey AS codigo_interno, l_linenumber AS ordem,
   'Depositante ' || CAST(l_suppkey AS VARCHAR) AS depositante, {_DEP_ID} AS cgccpfdepositante,
-  {_DEP_T} AS tipopessoadepositante, 'BR' AS pais, 'SP' AS uf,
+  {_DEP_T} AS tipopessoadepositante, 'BR' AS pais, 'SP' AS uf, CAST(l_shipdate AS DATE) AS data_inicio,
+  CASE WHEN l_suppkey % 4 = 0 THEN CAST(l_shipdate AS DATE) + 365 END AS data_fim,
   CASE WHEN lower({_DEP_T}) LIKE '%jur%' AND length({_DEP_ID}) = 14 AND regexp_full_match({_DEP_ID}, '[0-9]{{14}}')
        THEN left({_DEP_ID}, 8) END AS cnpj_basico_resolved FROM lineitem) d""", "codigo_interno, ordem"))
 
@@ -113,21 +115,23 @@ CTES["pt_dispatches"] = semi(f"""SELECT l_partkey AS codigo_interno, CAST(l_orde
 _PROC_ID = "CASE WHEN p_partkey % 4 = 0 THEN LPAD(CAST(p_partkey % 1500 AS VARCHAR), 8, '0') || '000100' ELSE '' END"
 _PROC_T = "CASE WHEN p_partkey % 4 = 0 THEN 'Pessoa Jurídica' ELSE 'Pessoa Física' END"
 
-CTES["pt_attorneys"] = semi(first(f"""(SELECT p_partkey * 2 AS _row, p_partkey AS codigo_interno,
-  'Procurador ' || CAST(p_partkey % 50 AS VARCHAR) AS procurador, {norm(_PROC_ID)} AS cgccpfprocurador,
+_TURNS = "(SELECT p.*, unnest(range(p_partkey % 3 + 1)) AS t FROM part p)"
+
+CTES["pt_attorneys"] = semi(f"""SELECT p_partkey * 4 + t AS id, p_partkey AS codigo_interno,
+  'Procurador ' || ((p_partkey + t * 7) % 50) AS procurador, CASE WHEN t = 0 THEN DATE '2000-01-11' + CAST(p_partkey AS INTEGER) END AS data_inicio, {norm(_PROC_ID)} AS cgccpfprocurador,
   {_PROC_T} AS tipopessoaprocurador,
   CASE WHEN lower({_PROC_T}) LIKE '%jur%' AND length({_PROC_ID}) = 14 THEN left({_PROC_ID}, 8) END
-    AS cnpj_basico_resolved FROM part) a""", "codigo_interno"))
+    AS cnpj_basico_resolved FROM {_TURNS}""")
 
-CTES["pt_priorities"] = semi(first(f"""(SELECT p_partkey * 2 AS _row, p_partkey AS codigo_interno,
-  'US' AS pais_prioridade, 'US' || CAST(p_partkey AS VARCHAR) AS numero_prioridade,
+CTES["pt_priorities"] = semi(first(f"""(SELECT p_partkey * 4 + t AS _row, p_partkey AS codigo_interno,
+  CASE WHEN t = 1 THEN 'EP' ELSE 'US' END AS pais_prioridade, 'US' || CAST(p_partkey AS VARCHAR) AS numero_prioridade,
   CAST(DATE '2000-01-01' + CAST(p_partkey - 200 AS INTEGER) AS DATE) AS data_prioridade
-  FROM part WHERE p_partkey % 4 = 0) p""", "codigo_interno, numero_prioridade"))
+  FROM {_TURNS} WHERE p_partkey % 4 = 0) p""", "codigo_interno, pais_prioridade, numero_prioridade"))
 
-CTES["pt_links"] = f"""SELECT * FROM ({semi(first('''(SELECT p_partkey * 2 AS _row, p_partkey AS codigo_interno,
+CTES["pt_links"] = f"""SELECT * FROM ({semi(first(f'''(SELECT p_partkey * 4 + t AS _row, p_partkey AS codigo_interno,
   CASE WHEN p_partkey % 9 = 1 THEN p_partkey + 10000000 ELSE p_partkey // 2 END AS codigo_interno_vinculado,
-  CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'I' END AS tipo_vinculo FROM part WHERE p_partkey > 0) v''',
-                                             "codigo_interno, codigo_interno_vinculado"))}) l
+  CASE WHEN (p_partkey + t) % 2 = 0 THEN 'A' ELSE 'I' END AS tipo_vinculo, DATE '2000-01-01' + CAST(p_partkey + t AS INTEGER) AS data_vinculo
+  FROM {_TURNS} WHERE p_partkey > 0) v''', "codigo_interno, codigo_interno_vinculado, tipo_vinculo"))}) l
 WHERE codigo_interno_vinculado IN (SELECT codigo_interno FROM pt_bib)"""
 
 CTES["pt_renumberings"] = semi(first("""(SELECT p_partkey * 2 AS _row, p_partkey AS codigo_interno,

@@ -227,8 +227,8 @@ ORDER BY total_aprovado_finep DESC, total_projetos DESC, uf LIMIT 2 OFFSET 2
                     page_no=2, size=2).select("uf", "total_aprovado_finep"))
 
 register("order_spec", """
-SELECT source_id, uf FROM f_records ORDER BY uf DESC NULLS LAST, source_id LIMIT 50
-""")(lambda I: I.records.orderBy(F.col("uf").desc_nulls_last(), "source_id").limit(50).select("source_id", "uf"))
+SELECT source_id, uf FROM f_records ORDER BY uf DESC NULLS LAST, source_id
+""")(lambda I: I.records.orderBy(F.col("uf").desc_nulls_last(), "source_id").select("source_id", "uf"))
 
 register("top_k", """
 SELECT cnpj_14, total_aprovado_finep FROM (

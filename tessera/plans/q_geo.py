@@ -76,8 +76,8 @@ ORDER BY total DESC, cidade LIMIT 10
 register("severity_order", """
 SELECT collection, record_id, status FROM orgs_validation
 ORDER BY CASE status WHEN 'coordinates_missing' THEN 0 WHEN 'polygon_not_found' THEN 1 WHEN 'state_mismatch' THEN 2
-  WHEN 'municipality_mismatch' THEN 3 ELSE 4 END, nome NULLS LAST, record_id, collection LIMIT 25
-""")(lambda I: OR.severity_order(_validation(I)).select("collection", "record_id", "status").limit(25))
+  WHEN 'municipality_mismatch' THEN 3 ELSE 4 END, nome NULLS LAST, record_id, collection
+""")(lambda I: OR.severity_order(_validation(I)).select("collection", "record_id", "status"))
 register("page_with_total", """
 SELECT collection, record_id, total FROM (
   SELECT collection, record_id, nome, COUNT(*) OVER () AS total FROM orgs_validation WHERE is_issue) t

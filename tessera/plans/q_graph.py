@@ -41,10 +41,13 @@ register("person_network_d1", OG.network_sql("g_seed_persons", 1))(
 register("person_network_d2", OG.network_sql("g_seed_persons", 2))(
     lambda I: G.person_network(_seed_persons(I), G.ownership_edges(I.partners), 2).select(*_NET_COLS))
 
+register("company_network_limit", OG.network_sql("g_seed_companies", 1, 40))(
+    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 1, limit=40).select(*_NET_COLS))
+
 register("network_metadata", f"""
 WITH net AS ({OG.network_sql('g_seed_companies', 3)})
 SELECT e.seed, n.nodes, e.edges, e.edges + CASE WHEN e.truncated THEN 1 ELSE 0 END AS relationships,
-       e.truncated, 200 AS "limit"
+       e.truncated, CAST(NULL AS INTEGER) AS "limit"
 FROM (SELECT seed, COUNT(*) AS edges, bool_or(truncated) AS truncated FROM net GROUP BY seed) e
 JOIN (SELECT seed, COUNT(DISTINCT x) AS nodes FROM (SELECT seed, src AS x FROM net UNION ALL
       SELECT seed, dst FROM net) u GROUP BY seed) n ON n.seed = e.seed
@@ -53,10 +56,10 @@ JOIN (SELECT seed, COUNT(DISTINCT x) AS nodes FROM (SELECT seed, src AS x FROM n
 register("graph_search", """
 WITH hits AS (
   SELECT 'C:' || cnpj_basico AS node, 'empresa' AS kind, razao_social AS label,
-         CASE WHEN cnpj_basico = '11' THEN 0 WHEN cnpj_basico LIKE '11%' THEN 1 ELSE 2 END AS rank
-  FROM g_company_nodes WHERE razao_social ILIKE '%11%' OR cnpj_basico LIKE '11%'
+         CASE WHEN cnpj_basico = '11' THEN 0 WHEN starts_with(cnpj_basico, '11') THEN 1 ELSE 2 END AS rank
+  FROM g_company_nodes WHERE contains(upper(razao_social), '11') OR starts_with(cnpj_basico, '11')
   UNION ALL
-  SELECT 'P:' || pessoa_id, 'pessoa', nome, 2 FROM g_person_nodes WHERE nome ILIKE '%11%'),
+  SELECT 'P:' || pessoa_id, 'pessoa', nome, 2 FROM g_person_nodes WHERE contains(upper(nome), '11')),
 deg AS (SELECT node, COUNT(*) AS degree FROM (SELECT src AS node FROM g_edges UNION ALL SELECT dst FROM g_edges) x
         WHERE node IN (SELECT node FROM hits) GROUP BY node)
 SELECT h.node, h.kind, h.label, h.rank, COALESCE(d.degree, 0) AS degree
@@ -64,6 +67,17 @@ FROM hits h LEFT JOIN deg d ON d.node = h.node ORDER BY h.rank, h.label, h.node
 """)(lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners),
                               G.ownership_edges(I.partners), "11"))
 
+register("graph_search_accents", """
+WITH hits AS (SELECT 'P:' || pessoa_id AS node, 'pessoa' AS kind, nome AS label, 2 AS rank FROM g_person_nodes WHERE contains(upper(nome), 'SOCIO 1')
+              UNION ALL SELECT 'C:' || cnpj_basico, 'empresa', razao_social, CASE WHEN cnpj_basico = '1' THEN 0 WHEN starts_with(cnpj_basico, '1') THEN 1 ELSE 2 END
+              FROM g_company_nodes WHERE contains(upper(razao_social), 'SOCIO 1') OR starts_with(cnpj_basico, '1'))
+SELECT h.*, (SELECT count(*) FROM g_edges e WHERE e.src = h.node) + (SELECT count(*) FROM g_edges e WHERE e.dst = h.node) AS degree
+FROM hits h ORDER BY rank, label, node LIMIT 20
+""")(lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners),
+                              G.ownership_edges(I.partners), "sócio 1"))
+register("graph_search_digits14", "SELECT '' AS node, '' AS kind, '' AS label, 0 AS rank, CAST(0 AS BIGINT) AS degree WHERE false")(
+    lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners), G.ownership_edges(I.partners), "00000026000100"))
+
 # patent graph ---------------------------------------------------------------
 
 register("patent_nodes", """
@@ -217,32 +231,31 @@ GROUP BY i.grupo, f.cnpj_basico
      .groupBy("grupo", "cnpj_basico").agg(F.count(F.lit(1)).alias("patents")))
 
 
-def _link_chain_sql(max_hops: int = 5) -> str:
-    legs = []
-    for h in range(1, max_hops + 1):
-        joins = " ".join(f"JOIN pt_links l{i} ON l{i}.codigo_interno = l{i - 1}.codigo_interno_vinculado"
-                         for i in range(1, h))
-        path = ", ".join(["l0.codigo_interno"] + [f"l{i}.codigo_interno_vinculado" for i in range(h)])
-        legs.append(f"SELECT l0.codigo_interno AS start, l{h - 1}.codigo_interno_vinculado AS origem, {h} AS hops, "
-                    f"[{path}] AS path FROM pt_links l0 {joins}")
-    return "\nUNION ALL\n".join(legs)
-
-
+_LINK_CHAIN = """
+WITH RECURSIVE link AS (SELECT DISTINCT codigo_interno AS a, codigo_interno_vinculado AS b FROM pt_links),
+walk AS (SELECT a AS start, b AS origem, 1 AS hops, [a, b] AS path, [a || '>' || b] AS used FROM link
+  UNION ALL SELECT start, link.b, hops + 1, list_append(path, link.b), list_append(used, a || '>' || link.b)
+  FROM walk JOIN link ON link.a = origem WHERE hops < 5 AND NOT list_contains(used, a || '>' || link.b))
+SELECT start, origem, hops, path FROM walk
+"""
 
 
 def _link_chain(I, max_hops: int = 5):
-    """Patent derivation chains of 1..5 links: one join per extra hop, the
-    path kept as an array."""
+    """Patent derivation chains of 1..5 links, none of them twice: one join
+    per extra hop, the path kept as an array."""
     links = G.patent_link_edges(I.patent_part("vinculos"), I.patents).select(
-        F.col("codigo_interno").alias("a"), F.col("codigo_interno_vinculado").alias("b"))
+        F.col("codigo_interno").alias("a"), F.col("codigo_interno_vinculado").alias("b")).distinct()
     cur = links.select(F.col("a").alias("start"), F.col("b").alias("origem"), F.lit(1).alias("hops"),
                        F.array("a", "b").alias("path"))
     out = cur
     for h in range(2, max_hops + 1):
-        cur = cur.join(links, cur.origem == links.a).select(
+        # a path takes a link once: the step (origem, b) must not be on it yet
+        steps = F.zip_with(F.slice("path", 1, h - 1), F.slice("path", 2, h - 1), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+        cur = cur.join(links, cur.origem == links.a).filter(
+            ~F.array_contains(steps, F.struct(F.col("origem").alias("a"), F.col("b").alias("b")))).select(
             "start", F.col("b").alias("origem"), F.lit(h).alias("hops"), F.concat("path", F.array("b")).alias("path"))
         out = out.unionByName(cur)
     return out
 
 
-register("gq_link_chain", _link_chain_sql())(_link_chain)
+register("gq_link_chain", _LINK_CHAIN)(_link_chain)

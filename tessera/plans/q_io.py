@@ -1,5 +1,5 @@
-"""Source, sink and stream round trips (rows-only checks: they go through
-files). Scratch data lives under the session's checkpoint directory, the
+"""Source, sink and stream round trips through files; what comes back is
+checked against the tables that went in. Scratch data lives under the session's checkpoint directory, the
 shared folder a cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
@@ -26,15 +26,19 @@ def _dump_round_trip(I, raw, kind: str, clean):
     return clean(RD.read_dump(I.spark, path, kind))
 
 
-register("src_company_csv")(lambda I: _dump_round_trip(I, P.raw_company(I.spark, I.sf_dir), "empresas",
+register("src_company_csv", "SELECT * EXCLUDE (reference_month) FROM empresa")(lambda I: _dump_round_trip(I, P.raw_company(I.spark, I.sf_dir), "empresas",
                                                        R.clean_companies))
-register("src_establishment_csv")(lambda I: _dump_round_trip(I, P.raw_estab(I.spark, I.sf_dir), "estabelecimentos",
+register("src_establishment_csv", "SELECT * EXCLUDE (reference_month) FROM estab")(lambda I: _dump_round_trip(I, P.raw_estab(I.spark, I.sf_dir), "estabelecimentos",
                                                              R.clean_establishments))
-register("src_partner_csv")(lambda I: _dump_round_trip(I, P.raw_partner(I.spark, I.sf_dir), "socios",
+register("src_partner_csv", "SELECT * EXCLUDE (reference_month) FROM socio")(lambda I: _dump_round_trip(I, P.raw_partner(I.spark, I.sf_dir), "socios",
                                                        R.clean_partners))
-register("src_tax_csv")(lambda I: _dump_round_trip(I, P.raw_tax(I.spark, I.sf_dir), "simples", R.clean_tax_regime))
-register("src_lookup_csv")(lambda I: _dump_round_trip(I, P.raw_lookup(I.spark, I.sf_dir, "municipios"), "lookup",
-                                                      lambda d: R.clean_lookup(d, "municipios")))
+register("src_tax_csv", "SELECT * FROM simples")(lambda I: _dump_round_trip(I, P.raw_tax(I.spark, I.sf_dir), "simples", R.clean_tax_regime))
+
+for _key, _kind, _table in [("src_lookup_csv", "municipios", "lk_municipio"), ("src_lookup_csv_cnaes", "cnaes", "lk_cnae"),
+                            ("src_lookup_csv_motivos", "motivos", "lk_motivo"), ("src_lookup_csv_naturezas", "naturezas", "lk_natureza"),
+                            ("src_lookup_csv_paises", "paises", "lk_pais"), ("src_lookup_csv_qualificacoes", "qualificacoes", "lk_qualificacao")]:
+    register(_key, f"SELECT * FROM {_table}")((lambda kind: lambda I: _dump_round_trip(
+        I, P.raw_lookup(I.spark, I.sf_dir, kind), "lookup", lambda d: R.clean_lookup(d, kind)))(_kind))
 
 
 def _patent_csv(I):
@@ -45,7 +49,7 @@ def _patent_csv(I):
     return RD.read_patent_csv(I.spark, path)
 
 
-register("src_patent_csv")(_patent_csv)
+register("src_patent_csv", "SELECT nullif(COLUMNS(* EXCLUDE (_row)), '') FROM raw_pt_bib")(_patent_csv)
 
 
 def _org_json(I):
@@ -72,8 +76,8 @@ def _sink_parquet(I):
     return S.read_stage(I.spark, path, I.month)
 
 
-register("sink_parquet")(_sink_parquet)
-register("scan_month")(lambda I: _sink_parquet(I).filter(F.col("reference_month") == I.month))
+register("sink_parquet", "SELECT * FROM empresa")(_sink_parquet)
+register("scan_month", "SELECT * FROM empresa")(lambda I: _sink_parquet(I).filter(F.col("reference_month") == I.month))
 
 
 def _list_months(I):
@@ -83,7 +87,7 @@ def _list_months(I):
     return S.list_months(I.spark, path)
 
 
-register("list_months")(_list_months)
+register("list_months", "SELECT unnest(['2024-01', '2024-02']) AS reference_month FROM (SELECT 1) WHERE EXISTS (FROM empresa)")(_list_months)
 
 
 def _append_month(I):
@@ -94,7 +98,7 @@ def _append_month(I):
     return S.read_stage(I.spark, path)
 
 
-register("append_month")(_append_month)
+register("append_month", "SELECT *, '2024-01' AS reference_month FROM simples")(_append_month)
 
 
 def _lookup_once(I):
@@ -104,7 +108,7 @@ def _lookup_once(I):
     return I.spark.read.parquet(path)
 
 
-register("load_lookup_once")(_lookup_once)
+register("load_lookup_once", "SELECT * FROM lk_cnae")(_lookup_once)
 
 
 def _ensure_stage(I):
@@ -113,7 +117,7 @@ def _ensure_stage(I):
     return ensure_stage(I.spark, path, lambda: I.tax)
 
 
-register("ensure_stage")(_ensure_stage)
+register("ensure_stage", "SELECT * FROM simples")(_ensure_stage)
 def _table_scan(I):
     """SRC-14: parameterised SELECT over a registered view."""
     I.companies.createOrReplaceTempView("empresa")
@@ -134,19 +138,19 @@ def _stream_dumps(I):
     return I.spark.read.parquet(out).drop("batch_id")
 
 
-register("stream_dumps")(_stream_dumps)
+register("stream_dumps", "SELECT * FROM estab")(_stream_dumps)
 
 
 def _stream_manifest(I):
     from tessera.sources.proxies_quality import manifest_events
-    from tessera.streaming.streams import read_versioned, stream_keyed_latest
+    from tessera.streaming.streams import read_upserted, stream_keyed_latest
     ev = manifest_events(I.spark, I.sf_dir)
     src = scratch(I.spark, "manifest-events")
     ev.write.mode("overwrite").parquet(src)
     tbl, ck = scratch(I.spark, "manifest"), scratch(I.spark, "manifest-ck")
     stream_keyed_latest(I.spark, src, ev.schema, ["reference_month", "file_name"],
                         [F.col("updated_at").desc(), F.col("id").desc()], tbl, ck)
-    return read_versioned(I.spark, tbl)
+    return read_upserted(I.spark, tbl)
 
 
 register("stream_manifest")(_stream_manifest)
@@ -155,7 +159,7 @@ register("stream_manifest")(_stream_manifest)
 def _stream_latest_orgs(I):
     from tessera.operators.orgs import flatten_orgs
     from tessera.sources.proxies_orgs import raw_orgs
-    from tessera.streaming.streams import read_versioned, stream_keyed_latest
+    from tessera.streaming.streams import read_upserted, stream_keyed_latest
     orgs = flatten_orgs(raw_orgs(I.spark, I.sf_dir)).drop("areas")
     src = scratch(I.spark, "org-snapshots")
     orgs.write.mode("overwrite").partitionBy("manifest_id").parquet(src)
@@ -163,7 +167,7 @@ def _stream_latest_orgs(I):
     tbl, ck = scratch(I.spark, "orgs-latest"), scratch(I.spark, "orgs-ck")
     stream_keyed_latest(I.spark, src, snap.schema, ["collection", "record_id"],
                         [F.col("collected_at").desc(), F.col("id").desc()], tbl, ck)
-    return read_versioned(I.spark, tbl)
+    return read_upserted(I.spark, tbl)
 
 
 register("stream_latest_orgs")(_stream_latest_orgs)

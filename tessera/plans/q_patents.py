@@ -62,8 +62,8 @@ SELECT CAST(year(data_deposito) AS INTEGER) AS ano, COUNT(codigo_interno) AS tot
 WHERE data_deposito IS NOT NULL GROUP BY 1
 """)(lambda I: PT.patents_by_year(I.patent_view))
 register("patents_snapshot", """
-SELECT snapshot_date FROM pt_view ORDER BY snapshot_date DESC NULLS LAST LIMIT 1
-""")(lambda I: I.patent_view.select("snapshot_date").orderBy(F.col("snapshot_date").desc_nulls_last()).limit(1))
+SELECT max(snapshot_date) AS snapshot_date FROM pt_view
+""")(lambda I: I.patents.agg(F.max("snapshot_date").alias("snapshot_date")))
 
 _LIST = {
     "inventores": ("pt_inventors", "autor ILIKE '%inventor 1%'", dict(q="inventor 1")),

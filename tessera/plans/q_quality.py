@@ -64,37 +64,38 @@ register("manifest_scan", "SELECT COUNT(*) AS n, COUNT(DISTINCT reference_month)
 register("fn_file_type", "SELECT DISTINCT file_name, file_type FROM mf_events")(
     lambda I: PQ.manifest_events(I.spark, I.sf_dir).select("file_name", "file_type").distinct())
 
+# measures per (month, type) from one row a file and state
 register("download_progress", """
-SELECT reference_month, file_type, COUNT(*) AS total_files,
-  COUNT(*) FILTER (WHERE processing_status = 'loaded') AS completed,
-  COUNT(*) FILTER (WHERE processing_status = 'failed') AS failed,
-  COUNT(*) FILTER (WHERE processing_status = 'pending') AS pending,
-  COUNT(extracted_at) AS extracted, COUNT(transformed_at) AS transformed, COUNT(loaded_postgres_at) AS loaded_postgres,
-  COUNT(loaded_neo4j_at) AS loaded_neo4j, round(SUM(file_size_bytes) / 1024.0 / 1024.0 / 1024.0, 6) AS total_size_gb,
-  SUM(rows_transformed) AS total_rows_transformed, SUM(rows_loaded_postgres) AS total_rows_loaded_postgres,
-  round(AVG(processing_duration_seconds), 6) AS avg_processing_seconds, MAX(download_date) AS last_download,
-  MAX(updated_at) AS last_update
-FROM manifest GROUP BY reference_month, file_type
+WITH marked AS (SELECT *, CASE processing_status WHEN 'loaded' THEN 1 ELSE 0 END AS l, CASE processing_status WHEN 'failed' THEN 1 ELSE 0 END AS f,
+                       CASE processing_status WHEN 'pending' THEN 1 ELSE 0 END AS p FROM manifest)
+SELECT reference_month, file_type, count() AS total_files, sum(l) AS completed, sum(f) AS failed, sum(p) AS pending,
+       count(extracted_at) AS extracted, count(transformed_at) AS transformed, count(loaded_postgres_at) AS loaded_postgres,
+       count(loaded_neo4j_at) AS loaded_neo4j, round(sum(file_size_bytes) / pow(2.0, 30), 6) AS total_size_gb,
+       sum(rows_transformed) AS total_rows_transformed, sum(rows_loaded_postgres) AS total_rows_loaded_postgres,
+       round(avg(processing_duration_seconds), 6) AS avg_processing_seconds, max(download_date) AS last_download, max(updated_at) AS last_update
+FROM marked GROUP BY ALL
 """)(lambda I: Q.download_progress(_manifest(I)))
 
 register("incomplete_months", """
-SELECT * FROM (SELECT reference_month, COUNT(*) AS files_found, 37 - COUNT(*) AS files_missing,
-  COUNT(*) FILTER (WHERE processing_status <> 'loaded') AS files_pending,
-  COUNT(*) FILTER (WHERE transformed_at IS NULL) AS files_not_transformed,
-  COUNT(*) FILTER (WHERE loaded_postgres_at IS NULL) AS files_not_loaded_postgres,
-  NULLIF(string_agg(CASE WHEN processing_status = 'failed' THEN file_name END, ', ' ORDER BY file_name), '') AS failed_files,
-  NULLIF(string_agg(CASE WHEN download_date IS NOT NULL AND transformed_at IS NULL THEN file_name END, ', '
-                    ORDER BY file_name), '') AS pending_transform_files
-FROM manifest GROUP BY reference_month) t WHERE files_found < 37 OR files_pending > 0
+WITH month AS (
+  SELECT reference_month, list(struct_pack(n := file_name, s := processing_status, d := download_date IS NOT NULL,
+                                           t := transformed_at IS NULL, l := loaded_postgres_at IS NULL) ORDER BY file_name) AS fs
+  FROM manifest GROUP BY reference_month),
+told AS (
+  SELECT reference_month, len(fs) AS files_found, 37 - len(fs) AS files_missing, len(list_filter(fs, lambda x: x.s <> 'loaded')) AS files_pending,
+         len(list_filter(fs, lambda x: x.t)) AS files_not_transformed, len(list_filter(fs, lambda x: x.l)) AS files_not_loaded_postgres,
+         nullif(array_to_string(list_transform(list_filter(fs, lambda x: x.s = 'failed'), lambda x: x.n), ', '), '') AS failed_files,
+         nullif(array_to_string(list_transform(list_filter(fs, lambda x: x.d AND x.t), lambda x: x.n), ', '), '') AS pending_transform_files
+  FROM month)
+FROM told WHERE files_missing > 0 OR files_pending > 0
 """)(lambda I: Q.incomplete_months(_manifest(I)))
 
 register("files_ready", """
-SELECT id, reference_month, file_name, file_type, round(file_size_bytes / 1024.0 / 1024.0, 6) AS file_size_mb,
-  download_date, CASE WHEN extracted_at IS NULL THEN 'needs_extraction' WHEN transformed_at IS NULL THEN 'needs_transformation'
-  WHEN loaded_postgres_at IS NULL THEN 'needs_postgres_load' WHEN loaded_neo4j_at IS NULL THEN 'needs_neo4j_load'
-  ELSE 'completed' END AS next_stage
-FROM manifest WHERE download_date IS NOT NULL AND processing_status NOT IN ('failed', 'loaded')
-  AND (extracted_at IS NULL OR transformed_at IS NULL OR loaded_postgres_at IS NULL)
+WITH todo AS (
+  SELECT *, list_filter([CASE WHEN extracted_at IS NULL THEN 'needs_extraction' END, CASE WHEN transformed_at IS NULL THEN 'needs_transformation' END,
+                         CASE WHEN loaded_postgres_at IS NULL THEN 'needs_postgres_load' END], lambda x: x IS NOT NULL) AS steps FROM manifest)
+SELECT id, reference_month, file_name, file_type, round(file_size_bytes / pow(2.0, 20), 6) AS file_size_mb, download_date, steps[1] AS next_stage
+FROM todo WHERE len(steps) > 0 AND download_date IS NOT NULL AND processing_status IS NOT NULL AND NOT list_contains(['failed', 'loaded'], processing_status)
 """)(lambda I: Q.files_ready(_manifest(I)))
 
 register("files_to_process", """
@@ -234,7 +235,7 @@ register("reload_snapshot", "SELECT codigo_interno, numero_inpi FROM pt_bib")(
         ["codigo_interno"], "_row").drop("_row"))
 register("finish_manifest", """
 SELECT manifest_id, CASE WHEN max(id) % 2 = 0 THEN 'loaded' ELSE 'failed' END AS status,
-  CASE WHEN max(id) % 2 = 0 THEN NULL ELSE left(repeat('erro ', 1000), 4000) END AS error_message
+  CASE WHEN max(id) % 2 = 0 THEN NULL ELSE repeat('erro ', 1000) END AS error_message
 FROM orgs GROUP BY manifest_id
 """)(lambda I: Q.finish_manifest(
     __import__("tessera.plans.q_geo", fromlist=["x"])._orgs(I).groupBy("manifest_id").agg(F.max("id").alias("mx"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -18,8 +18,8 @@ def get_session(master: str | None = None, app: str = "tessera",
       short/long rows consistently (a pruned read keeps bad rows).
     * UI off: no server is opened by these jobs.
     * whole-stage code capped at the JIT's method-size limit (see configure).
+    * shuffle partitions as the cluster has them, unless given.
     """
-    cores = os.cpu_count() or 8
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -28,11 +28,12 @@ def get_session(master: str | None = None, app: str = "tessera",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.csv.parser.columnPruning.enabled", "false")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master:
         builder = builder.master(master)
     spark = builder.getOrCreate()
@@ -56,8 +57,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Without it a session
+    of one machine gets a scratch folder; a cluster session is an error, since
+    its executors share no local folder."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
@@ -68,6 +70,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir()
     if existing:
         return existing
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def stage_table(df, name: str):
+    """Write ``df`` once as Parquet in the shared folder and read it back: the
+    lineage ends there, and each reader prunes columns and pushes filters."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system; any error of the file system
+    itself rises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

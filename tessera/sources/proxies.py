@@ -368,15 +368,15 @@ def raw_patent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             F.when(pk % 37 == 0, F.lit("31/02/2010")).otherwise(_dmy(pk)).alias("data_deposito"),
             _dmy(pk + 30).alias("data_protocolo"),
             _dmy(pk + 540).alias("data_publicacao"),
-            F.when(pk % 4 == 0, _dmy(pk + 2000)).otherwise(F.lit("")).alias("data_concessao"),
-            F.lit("").alias("data_fase_nacional"),
-            F.lit("").alias("numero_pct"), F.lit("").alias("numero_wo"),
+            F.lit("").alias("numero_pct"), F.when(pk % 4 == 0, F.concat(F.lit("WO"), _s(pk))).otherwise(F.lit("")).alias("numero_wo"),
+            F.when(pk % 4 == 0, _dmy(pk + 2000)).otherwise(F.lit("")).alias("data_publicacao_wo"),
+            F.when(pk % 6 == 0, _dmy(pk + 900)).otherwise(F.lit("")).alias("data_entrada_fase_nacional"),
             F.when(pk % 13 == 0, F.lit("1.0")).otherwise(F.lit("0")).alias("sigilo"))
         dup = base.filter(pk % 41 == 0).select(
             pk, (pk * 2 + 1).alias("_row"), "codigo_interno",
             F.concat(F.lit("DUP"), F.col("numero_inpi")).alias("numero_inpi"), "data_deposito",
-            "data_protocolo", "data_publicacao", "data_concessao", "data_fase_nacional", "numero_pct",
-            "numero_wo", "sigilo")
+            "data_protocolo", "data_publicacao", "numero_pct", "numero_wo", "data_publicacao_wo",
+            "data_entrada_fase_nacional", "sigilo")
         return base.unionByName(dup).drop("p_partkey")
     if name == "conteudo":
         return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
@@ -394,24 +394,31 @@ def raw_patent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                                            F.lit("2").alias("ordem"), sym2.alias("simbolo"),
                                            F.lit("2024.01").alias("versao"))
         return one.unionByName(two)
+    # 1 + pk % 3 attorneys, two countries per number, two types per link
+    turn = F.col("t")
     if name == "procuradores":
-        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
-                        F.concat(F.lit("Procurador "), _s(pk % 50)).alias("procurador"),
+        p = p.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), pk % 3)))
+        return p.select((pk * 4 + turn).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.concat(F.lit("Procurador "), _s((pk + turn * 7) % 50)).alias("procurador"),
+                        F.when(turn == 0, _dmy(pk + 10)).otherwise(F.lit("")).alias("data_inicio_procurador"),
                         F.when(pk % 4 == 0, F.concat(F.lpad(_s(pk % 1500), 8, "0"), F.lit("000100")))
                          .otherwise(F.lit("")).alias("cgccpfprocurador"),
                         F.when(pk % 4 == 0, F.lit("Pessoa Jurídica")).otherwise(F.lit("Pessoa Física"))
                          .alias("tipopessoaprocurador"))
     if name == "prioridades":
-        return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
-                        F.when(pk % 4 == 0, F.lit("US")).otherwise(F.lit("")).alias("pais_prioridade"),
+        p = p.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), pk % 3)))
+        return p.select((pk * 4 + turn).alias("_row"), _s(pk).alias("codigo_interno"),
+                        F.when(pk % 4 == 0, F.when(turn == 1, F.lit("EP")).otherwise(F.lit("US"))).otherwise(F.lit("")).alias("pais_prioridade"),
                         F.when(pk % 4 == 0, F.concat(F.lit("US"), _s(pk))).otherwise(F.lit(""))
                          .alias("numero_prioridade"),
                         F.when(pk % 4 == 0, _dmy(pk - 200)).otherwise(F.lit("")).alias("data_prioridade"))
     if name == "vinculos":
-        return p.filter(pk > 0).select(
-            (pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
+        p = p.filter(pk > 0).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), pk % 3)))
+        return p.select(
+            (pk * 4 + turn).alias("_row"), _s(pk).alias("codigo_interno"),
             F.when(pk % 9 == 1, _s(pk + 10000000)).otherwise(_s(F.floor(pk / 2))).alias("codigo_interno_vinculado"),
-            F.when(pk % 2 == 0, F.lit("A")).otherwise(F.lit("I")).alias("tipo_vinculo"))
+            F.when((pk + turn) % 2 == 0, F.lit("A")).otherwise(F.lit("I")).alias("tipo_vinculo"),
+            _dmy(pk + turn).alias("data_vinculo"))
     if name == "renumeracoes":
         return p.select((pk * 2).alias("_row"), _s(pk).alias("codigo_interno"),
                         F.when(pk % 5 == 0, F.concat(F.lit("OLD"), _s(pk))).otherwise(F.lit(""))
@@ -435,7 +442,9 @@ def raw_patent(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                           .alias("cgccpfdepositante"),
                          F.when(s % 2 == 0, F.lit("Pessoa Jurídica")).when(s % 3 == 0, F.lit("pessoa física"))
                           .otherwise(F.lit("Pessoa Física")).alias("tipopessoadepositante"),
-                         F.lit("BR").alias("pais"), F.lit("SP").alias("uf"))
+                         F.lit("BR").alias("pais"), F.lit("SP").alias("uf"),
+                         F.date_format(F.col("l_shipdate"), "dd/MM/yyyy").alias("data_inicio_depositante"),
+                         F.when(s % 4 == 0, F.date_format(F.date_add("l_shipdate", 365), "dd/MM/yyyy")).otherwise(F.lit("")).alias("data_fim_depositante"))
     if name == "despachos":
         return li.select(row, _s(F.col("l_partkey")).alias("codigo_interno"),
                          _s(F.col("l_orderkey") % 3000).alias("numero_rpi"),

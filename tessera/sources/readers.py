@@ -32,22 +32,31 @@ def write_dump(df: DataFrame, path: str, encoding: str = "ISO-8859-1") -> str:
     return path
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """SRC-8: UTF-8 (BOM or not) when the first lines decode cleanly, else
-    Latin-1. Only the first lines of the file are read, on the executors;
-    the driver sees a handful of strings."""
-    head = spark.read.option("encoding", "UTF-8").text(path).limit(50)
-    bad = head.filter(F.col("value").contains("�")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+def latin_files(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-8: ``file`` of every file under ``path`` that is not valid UTF-8.
+    Every line of every file is tested, on the executors."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
+    return lines.groupBy("file").agg(F.min("ok").alias("ok")).filter("not ok").select("file")
 
 
 def read_patent_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """SRC-8: header CSV, all text; column names trimmed, lower-cased and
-    stripped of a byte-order mark."""
-    enc = encoding or detect_encoding(spark, path)
-    df = (spark.read.option("header", "true").option("inferSchema", "false").option("encoding", enc)
-          .option("multiLine", "false").csv(path))
-    return df.toDF(*[c.replace("﻿", "").strip().lower() for c in df.columns])
+    """SRC-8: header CSV, all text, quoted fields may hold line breaks; column
+    names trimmed, lower-cased and stripped of a byte-order mark. Without an
+    ``encoding`` each file is read as UTF-8 if all of it is, else as Latin-1."""
+    def read(paths, enc: str) -> DataFrame:
+        df = (spark.read.option("header", "true").option("inferSchema", "false").option("encoding", enc)
+              .option("multiLine", "true").option("quote", '"').option("escape", '"').csv(paths))
+        return df.toDF(*[c.replace("\ufeff", "").replace("ï»¿", "").strip().lower() for c in df.columns])
+
+    if encoding:
+        return read(path, encoding)
+    latin = sorted(r["file"] for r in latin_files(spark, path).collect())  # file names, as many as files
+    if not latin:
+        return read(path, "UTF-8")
+    every = {r["file"] for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()}
+    rest = sorted(every - set(latin))
+    out = read(latin, "ISO-8859-1")
+    return out.unionByName(read(rest, "UTF-8"), allowMissingColumns=True) if rest else out
 
 
 def read_org_payload(spark: SparkSession, path: str, collections: list[str]) -> DataFrame:

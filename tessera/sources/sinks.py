@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.common import with_month
+from tessera.session import path_exists
 
 
 def write_stage(df: DataFrame, path: str, month: str, partition_col: str = "reference_month") -> str:
@@ -41,11 +42,11 @@ def list_months(spark: SparkSession, path: str) -> DataFrame:
 
 
 def month_loaded(spark: SparkSession, path: str, month: str) -> bool:
-    """Existence probe for SNK-2/3: does the month have any row?"""
-    try:
-        return read_stage(spark, path, month).limit(1).count() > 0
-    except Exception:  # noqa: BLE001  (missing path = nothing loaded)
+    """Existence probe for SNK-2/3: does the month have any row? A missing
+    month folder is none; a read error rises, so that it never looks like one."""
+    if not path_exists(spark, f"{path}/reference_month={month}"):
         return False
+    return not read_stage(spark, path, month).isEmpty()
 
 
 def append_month(df: DataFrame, path: str, month: str) -> bool:
@@ -59,11 +60,8 @@ def append_month(df: DataFrame, path: str, month: str) -> bool:
 def load_lookup_once(df: DataFrame, path: str) -> bool:
     """SNK-3: load a lookup only when the table has no row."""
     spark = df.sparkSession
-    try:
-        if spark.read.parquet(path).limit(1).count() > 0:
-            return False
-    except Exception:  # noqa: BLE001
-        pass
+    if _complete(spark, path) and not spark.read.parquet(path).isEmpty():
+        return False
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return True
 
@@ -92,15 +90,16 @@ def replace_partition(target: DataFrame, rows: DataFrame, col: str, value) -> Da
 
 
 def ensure_stage(spark: SparkSession, path: str, build) -> DataFrame:
-    """SNK-10: reuse a stage output that exists and reads back; otherwise
-    (missing, no ``_SUCCESS``, unreadable) build and write it again."""
-    try:
-        df = spark.read.parquet(path)
-        df.limit(1).count()
-        return df
-    except Exception:  # noqa: BLE001  (missing or corrupt output: rebuild)
+    """SNK-10: reuse a stage output whose write was finished (``_SUCCESS`` is
+    there); build and write it where it is missing or unfinished. An error
+    while reading a finished output rises: it is not overwritten."""
+    if not _complete(spark, path):
         build().write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def reload_snapshot(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -14,28 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.common import first_by
+from tessera.session import path_exists
 
 
-def _latest_version(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    """Newest complete version directory of a versioned table."""
-    try:
-        versions = spark.read.text(f"{table_dir}/_versions").select(F.col("value").cast("long").alias("v"))
-        v = versions.agg(F.max("v")).first()[0]
-    except Exception:  # noqa: BLE001  (no version yet)
-        return None
-    return None if v is None else spark.read.parquet(f"{table_dir}/v{v}")
+#: key buckets of an upserted table: a batch rewrites only those it touches
+BUCKETS = 64
 
 
-def _publish(df: DataFrame, table_dir: str, epoch: int) -> None:
-    """Write a new version for this epoch, then append the pointer (the
-    version is rewritten identically if the epoch is replayed)."""
-    df.write.mode("overwrite").parquet(f"{table_dir}/v{epoch}")
-    df.sparkSession.createDataFrame([(str(epoch),)], "value string").write.mode("append").text(
-        f"{table_dir}/_versions")
+def _bucket(keys: list[str], n: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
 
 
-def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    return _latest_version(spark, table_dir)
+def read_upserted(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The rows of an upserted table, or None before its first batch."""
+    if not path_exists(spark, table_dir):
+        return None
+    return spark.read.parquet(table_dir).drop("bucket")
 
 
 def stream_dumps(spark: SparkSession, src_dir: str, schema, clean, out_path: str, checkpoint: str,
@@ -43,7 +37,6 @@ def stream_dumps(spark: SparkSession, src_dir: str, schema, clean, out_path: str
     """STR-1: dump files arriving in ``src_dir`` -> clean -> month slice of
     ``out_path`` (dynamic partition overwrite per batch keeps re-runs
     idempotent; the checkpoint makes each file count once)."""
-    from tessera.sources.sinks import write_stage
     stream = (spark.readStream.schema(schema).option("sep", ";").option("quote", '"').option("escape", '"')
               .option("encoding", "ISO-8859-1").option("mode", "DROPMALFORMED").csv(src_dir))
 
@@ -54,22 +47,33 @@ def stream_dumps(spark: SparkSession, src_dir: str, schema, clean, out_path: str
         (cleaned.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
          .partitionBy("reference_month", "batch_id").parquet(out_path))
 
-    del write_stage
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def stream_keyed_latest(spark: SparkSession, src_dir: str, schema, keys: list[str], order: list,
-                        table_dir: str, checkpoint: str, fmt: str = "parquet") -> None:
+                        table_dir: str, checkpoint: str, fmt: str = "parquet", buckets: int = BUCKETS) -> None:
     """STR-2 / STR-3: arriving rows upserted into a keyed table where the
-    newest row per key wins (a late row older than the stored one loses)."""
+    newest row per key wins (a late row older than the stored one loses).
+
+    The table is plain Parquet partitioned by key bucket. A batch reads and
+    dynamically overwrites only the buckets its keys fall in; a replayed batch
+    meets its own rows and writes the same result again. Keys are taken to be
+    unique to one stream: one writer a table."""
     stream = spark.readStream.schema(schema).format(fmt).load(src_dir)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        cur = _latest_version(spark, table_dir)
-        both = df if cur is None else cur.unionByName(df.select(*cur.columns))
-        _publish(first_by(both, keys, order), table_dir, epoch)
+        new = df.withColumn("bucket", _bucket(keys, buckets)).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if touched:
+            both = new
+            if path_exists(df.sparkSession, table_dir):
+                held = df.sparkSession.read.schema(new.schema).parquet(table_dir).filter(F.col("bucket").isin(touched))
+                both = held.unionByName(new)
+            (first_by(both, keys, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("bucket").parquet(table_dir))
+        new.unpersist()
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
