@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import bounded_broadcast, prepare, text_of
 from tessera.llm.ngrams import Ngrams
 
 
@@ -25,15 +25,15 @@ from tessera.llm.ngrams import Ngrams
 class Settings:
     ngrams: Ngrams = field(default_factory=Ngrams)
     #: rows of each class that gradient descent sees at most (in expectation)
-    sample: int = 6000
+    sample: int = 2000
     #: n-grams kept, by chi-square; each must occur in ``min_docs`` documents
     vocabulary: int = 8192
     min_docs: int = 5
     min_chi2: float = 25.0
     dim: int = 8
-    epochs: int = 12
+    epochs: int = 16
     batch: int = 64
-    rate: float = 0.25
+    rate: float = 0.6
     decay: float = 1e-5
     seed: int = 7
 
@@ -110,12 +110,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text
     marks = (labels.filter(learn & F.col(key).isNotNull() & F.col(label).isin(0, 1))
              .groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")))
     rows = docs.filter(learn & F.col(key).isNotNull()).select(F.col(key).alias("k"), text_of(text).alias("x"))
-    return rows.join(marks, "k")
+    # ids and marks of two numbers a row: sent to all executors while they are few
+    return rows.join(bounded_broadcast(marks, marks.count(), 1_000_000), "k")
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> SubwordModel:
     """Learn from ``rows`` (``k`` id, ``x`` text, ``y`` 0/1). Without rows of
     both classes the model knows only their smoothed share."""
+    prepare(rows.sparkSession)
     ng = settings.ngrams
     by_class = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = np.array([by_class.get(0, 0), by_class.get(1, 0)], dtype=float)
@@ -142,8 +144,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> SubwordModel:
     table = drawn.select("x", "y").mapInArrow(_features(ng, kept), "y int, ids array<int>, ns array<float>").toArrow()
     table = table.combine_chunks()
     y = table["y"].to_numpy().astype(np.int64)
-    ids = [np.asarray(v, dtype=np.int64) for v in _lists(table["ids"])]
-    ns = [np.asarray(v, dtype=np.float64) for v in _lists(table["ns"])]
+    ids, ns = _lists(table["ids"]), _lists(table["ns"])
     order = sorted(range(len(y)), key=lambda i: (int(y[i]), ids[i].tobytes(), ns[i].tobytes()))  # the same order every run
     ids, ns, y = [ids[i] for i in order], [ns[i] for i in order], y[order]
     # the sample's classes weigh as they do among all rows
@@ -179,8 +180,8 @@ def _descend(ids, ns, y, cost, size: int, s: Settings) -> tuple[np.ndarray, floa
         lens = np.array([len(ids[i]) for i in rows])
         flat = np.concatenate([ids[i] for i in rows])
         part = np.concatenate([ns[i] / max(ns[i].sum(), 1) for i in rows])
-        doc = np.repeat(np.arange(len(rows)), lens)
-        by = np.argsort(flat, kind="stable")
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
+        by = np.argsort(flat, kind="stable").astype(np.int32)
         uniq, first = np.unique(flat[by], return_index=True)
         batches.append((flat, part, doc, by, uniq, first, y[rows], len(rows)))
     for epoch in range(s.epochs):
