@@ -17,11 +17,12 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import prepare, text_of, text_udf
+from tessera.llm.common import array_udf, prepare, text_of, text_udf
 
 #: pre-tokens remembered in each of a worker's two tables; when the newer is
 #: full it becomes the older
@@ -223,17 +224,15 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, p
 def decode_ids(docs: DataFrame, ids: str = "ids", path: str | None = None, pattern: str | None = None, out: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of each id list in binary column ``out`` (null
     ids: no bytes)."""
-    import pyarrow as pa
-    from collections.abc import Iterator
     path, pattern = _paths(path, pattern)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
             yield pa.array([bpe.decode(v.as_py() or ()) for v in batch], pa.binary())
 
     prepare(docs.sparkSession)
-    return docs.withColumn(out, F.arrow_udf(run, T.BinaryType())(F.col(ids)))
+    return docs.withColumn(out, array_udf(run, T.BinaryType())(F.col(ids)))
 
 
 def _paths(path, pattern):

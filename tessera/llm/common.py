@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 #: texts do not pile up in one batch.
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,6 +25,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Python workers find this package as the driver does
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), _ROOT)))
     return spark
 
 
@@ -86,6 +92,11 @@ def text_udf(make: Callable[[], Callable[[Iterator[str]], list[dict]]], returns:
             rows = step(v.as_py() or "" for v in batch)
             yield pa.array(rows, type=fields)
 
+    return array_udf(run, returns)
+
+
+def array_udf(run, returns: T.DataType):
+    """An Arrow UDF over the batches of one column, evaluated once a row."""
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns).asNondeterministic()
 

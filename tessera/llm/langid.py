@@ -60,6 +60,8 @@ class LanguageModel:
             return [(UNKNOWN, 0.0)] * n
         logits, count = np.zeros((n, k)), np.zeros(n)
         for who, what in self.ngrams.passes(texts):
+            if not len(who):
+                continue
             lo = int(who.min())
             size = int(who.max()) - lo + 1
             count[lo:lo + size] += np.bincount(who - lo, minlength=size)
@@ -109,6 +111,7 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> LanguageModel:
     The driver holds one weight vector a language, so languages are taken to
     be a bounded set."""
     from tessera.llm.subword_model import _lists
+    prepare(rows.sparkSession)
     ng = settings.ngrams
     per = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(per)

@@ -230,6 +230,7 @@ def _masks(radius: int, blocks: int) -> list[int]:
 def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``u, v``: a spanning set of the links among the distinct fingerprints
     ``fps`` (column ``fp``)."""
+    prepare(fps.sparkSession)
     n = fps.count()
     blocks = radius + 1
     while n >> min(bin(m).count("1") for m in _masks(radius, blocks)) > BUCKET:
