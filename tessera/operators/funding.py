@@ -314,20 +314,30 @@ def gini(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     overall), 6 dp; 0 when the group is empty or sums to zero.
 
     ``sum((2i - n - 1) * x) / (n * sum(x))`` with ``i`` the rank by value
-    (ties do not change the sum). The ranking window is partitioned by the
-    group; the overall Gini runs over municipality rows, whose number is
-    bounded by the national geography (~5.6 k)."""
+    (ties do not change the sum). Equal values are counted first; the distinct
+    values are dealt out by range, ranked within their range, and each range
+    is moved up by the counts of the ranges below it (one summary row a range
+    and group), so no task sorts a whole group."""
+    from tessera.session import stage_table
     by = by or []
-    x = F.col(value)
-    d = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull() & (F.col("_x") >= 0))
-    w = Window.partitionBy(*by).orderBy("_x") if by else Window.orderBy("_x")
-    d = d.withColumn("_i", F.row_number().over(w))
-    agg = [F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"),
-           F.sum(F.col("_i") * F.col("_x")).alias("_ix")]
+    d = (df.select(*by, F.col(value).alias("_x")).filter(F.col("_x").isNotNull() & (F.col("_x") >= 0))
+         .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    d = stage_table(d.repartitionByRange(*by, "_x").withColumn("_p", F.spark_partition_id()), "gini")
+    ranges = d.groupBy(*by, "_p").agg(F.sum("_c").alias("_m"))
+    below = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_q"),
+                           F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*by, "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_r", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    on = [F.col("_p") == F.col("_q")] + [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    d = d.join(ranges, on)
+    # twice the sum of the ranks of a value's rows, times the value
+    ranks = (2 * (F.col("_base") + F.col("_r")) + F.col("_c") + 1) * F.col("_c")
+    agg = [F.sum("_c").alias("_n"), F.sum(F.col("_c") * F.col("_x")).alias("_s"), F.sum(ranks * F.col("_x")).alias("_ix2")]
     g = d.groupBy(*by).agg(*agg) if by else d.agg(*agg)
     # sum((2i - n - 1) x) = 2 sum(i x) - (n + 1) sum(x)
     val = F.when((F.col("_n") == 0) | (F.col("_s") == 0) | F.col("_s").isNull(), F.lit(0.0)).otherwise(
-        F.round((2 * F.col("_ix") - (F.col("_n") + 1) * F.col("_s")).cast("double")
+        F.round((F.col("_ix2") - (F.col("_n") + 1) * F.col("_s")).cast("double")
                 / (F.col("_n") * F.col("_s")).cast("double"), 6))
     return g.select(*by, F.coalesce(val, F.lit(0.0)).alias("gini"))
 

@@ -58,21 +58,27 @@ def covers(points: DataFrame, polys: DataFrame, pid: str = "pid", id_col: str =
     edge when the edge straddles the point's y and the crossing lies right
     of the point; a point on an edge is covered outright."""
     cand = bbox_candidates(points, polys, pid, id_col, cell)
-    edges = polys.select(id_col, F.explode("rings").alias("ring")).select(
-        id_col, F.explode(F.arrays_zip(F.slice("ring", 1, F.size("ring") - 1),
-                                       F.slice("ring", 2, F.size("ring") - 1))).alias("e"))
-    edges = edges.select(id_col, F.col("e")["0"]["x"].alias("ax"), F.col("e")["0"]["y"].alias("ay"),
-                         F.col("e")["1"]["x"].alias("bx"), F.col("e")["1"]["y"].alias("by"))
-    j = cand.join(edges, id_col)
-    x, y, ax, ay, bx, by = [F.col(c) for c in ["x", "y", "ax", "ay", "bx", "by"]]
-    cross = (by - ay) * (x - ax) - (bx - ax) * (y - ay)
-    on_edge = ((cross == 0) & (x >= F.least(ax, bx)) & (x <= F.greatest(ax, bx))
-               & (y >= F.least(ay, by)) & (y <= F.greatest(ay, by)))
-    straddles = (ay > y) != (by > y)
-    xint = ax + (y - ay) * (bx - ax) / (by - ay)
-    crosses = straddles & (x < xint)
-    g = j.groupBy(pid, id_col).agg(F.count_if(crosses).alias("n"), F.max(on_edge.cast("int")).alias("on"))
-    return g.filter((F.col("n") % 2 == 1) | (F.col("on") == 1)).select(pid, id_col)
+
+    def ring_edges(r):
+        return F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda p, q: F.struct(
+            p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+    # a polygon's edges stay in its row: a candidate point is one row, however
+    # many edges it is tested against
+    shapes = polys.select(id_col, F.flatten(F.transform("rings", ring_edges)).alias("_edges"))
+    x, y = F.col("x"), F.col("y")
+
+    def on_edge(e):
+        cross = (e["by"] - e["ay"]) * (x - e["ax"]) - (e["bx"] - e["ax"]) * (y - e["ay"])
+        return ((cross == 0) & (x >= F.least(e["ax"], e["bx"])) & (x <= F.greatest(e["ax"], e["bx"]))
+                & (y >= F.least(e["ay"], e["by"])) & (y <= F.greatest(e["ay"], e["by"])))
+
+    def crossed(e):
+        at = e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])
+        return ((e["ay"] > y) != (e["by"] > y)) & (x < at)
+
+    inside = (F.size(F.filter("_edges", crossed)) % 2 == 1) | F.exists("_edges", on_edge)
+    return cand.join(shapes, id_col).filter(inside).select(pid, id_col)
 
 
 def assign_polygon(points: DataFrame, polys: DataFrame, pid: str = "pid", state_col: str = "uf",

@@ -100,6 +100,48 @@ def ownership_edges(partners: DataFrame) -> DataFrame:
     return pe.unionByName(ce).withColumn("type", F.lit("SOCIO_DE"))
 
 
+# --------------------------------------------------------------------------
+# PRJ-27 graph columns, SNK-11 stored graph
+# --------------------------------------------------------------------------
+
+# fixed values: columns that graph nodes and edges carry, per table
+GRAPH_FIELDS = {
+    "empresa": ["cnpj_basico", "razao_social", "natureza_juridica", "porte_empresa"],
+    "pessoa": ["nome", "cpf_cnpj_socio", "identificador_socio", "faixa_etaria"],
+    "socio_de": ["qualificacao_socio", "data_entrada_sociedade"],
+}
+
+
+def graph_columns(df: DataFrame, kind: str) -> DataFrame:
+    """PRJ-27: a table cut to the columns its graph element carries."""
+    return df.select(*[c for c in GRAPH_FIELDS[kind] if c in df.columns])
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Every edge from both its ends: ``node``, ``nbr`` and the edge."""
+    e = edges.select("type", "src", "dst", "reference_month")
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("nbr"), "*").unionByName(
+        e.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "*"))
+
+
+def write_graph(edges: DataFrame, path: str, buckets: int = 64) -> str:
+    """SNK-11: the edges from both ends as Parquet, one folder a month and
+    node bucket, sorted by node, so that a request for a few nodes reads few
+    files and row groups. A rerun replaces the months it holds."""
+    out = adjacency(edges).withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int"))
+    (out.hint("rebalance", "reference_month", "bucket").sortWithinPartitions("reference_month", "bucket", "node")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+     .partitionBy("reference_month", "bucket").parquet(path))
+    return path
+
+
+def read_neighbours(spark, path: str, nodes: DataFrame, buckets: int = 64) -> DataFrame:
+    """The stored edges of ``nodes`` (column ``node``); the buckets to read
+    are pruned at run time."""
+    wanted = nodes.select("node").distinct().withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int"))
+    return spark.read.parquet(path).join(wanted, ["bucket", "node"]).drop("bucket")
+
+
 # --------------------------------------------------------------------------
 # GRA-6/7/8 network expansion
 # --------------------------------------------------------------------------
@@ -113,17 +155,14 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def reach(seeds: DataFrame, edges: DataFrame, hops: int, checkpoint: bool = True) -> DataFrame:
-    """(seed, node) pairs within ``hops`` undirected hops of each seed.
+    """(seed, node) pairs within ``hops`` undirected hops of each seed;
+    ``edges`` is a stored edge table, read once a hop.
 
     One equi join per hop on the adjacency (both edge directions), new
     nodes only (anti join on what was reached), deduplicated before the
     next hop. A hub (one node in thousands of companies) makes one skewed
     join key: AQE's skew join splits that partition."""
-    adj = (edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr"))
-           .unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr")))
-           .distinct())
-    if checkpoint and hops > 0:
-        adj = _checkpoint(adj)
+    adj = adjacency(edges).select("node", "nbr")
     reached = seeds.select("seed", F.col("seed").alias("node")).distinct()
     if checkpoint and hops > 0:
         reached = _checkpoint(reached)
@@ -153,12 +192,12 @@ def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = N
     first ``limit + 1`` of a seed are among them, so the cut is exact."""
     e = edges.select("type", "src", "dst", "reference_month")
     if checkpoint:
-        # the edge table feeds every hop and both incidence joins: built once
-        e = _checkpoint(e)
+        # the edge table feeds every hop and the incidence join: stored once as
+        # Parquet, of which each reader takes the columns it needs
+        from tessera.session import stage_table
+        e = stage_table(e, "edges")
     near = reach(seeds, e, hops - 1, checkpoint)
-    inc = (near.join(e.withColumnRenamed("src", "node").withColumn("src", F.col("node")), "node")
-           .unionByName(near.join(e.withColumnRenamed("dst", "node").withColumn("dst", F.col("node")), "node"),
-                        allowMissingColumns=False))
+    inc = near.join(adjacency(e), "node").drop("nbr")
     if limit is None:
         return inc.drop("node").dropDuplicates(["seed", "type", "src", "dst", "reference_month"]).withColumn(
             "truncated", F.lit(False))

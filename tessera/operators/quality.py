@@ -120,11 +120,20 @@ def latest_downloads(downloads: DataFrame, status: str | None = None) -> DataFra
 
 def change_history(downloads: DataFrame) -> DataFrame:
     """WIN-2: per dataset, whether the checksum differs from the previous
-    download (null-safe)."""
-    w = Window.partitionBy("dataset").orderBy("downloaded_at", "id")
-    prev = F.lag("checksum").over(w)
-    return downloads.select("dataset", "id", "downloaded_at", "checksum", prev.alias("previous_checksum"),
-                            (~F.col("checksum").eqNullSafe(prev)).alias("changed"))
+    download (null-safe). A dataset is worked off month by month; the first
+    download of a month is compared with the last one of the months before
+    (one summary row a dataset and month)."""
+    d = downloads.select("dataset", "id", "downloaded_at", "checksum", F.trunc("downloaded_at", "month").alias("_m"))
+    order = F.struct("downloaded_at", "id")
+    last = d.groupBy("dataset", "_m").agg(F.max_by(F.struct("checksum"), order).alias("_last"))
+    before = last.select(F.col("dataset").alias("_d"), F.col("_m").alias("_n"),
+                         F.lag("_last").over(Window.partitionBy("dataset").orderBy("_m")).alias("_before"))
+    w = Window.partitionBy("dataset", "_m").orderBy("downloaded_at", "id")
+    d = d.withColumn("_here", F.lag(F.struct("checksum")).over(w))
+    d = d.join(before, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("_m").eqNullSafe(F.col("_n")), "left")
+    prev = F.coalesce("_here", "_before")["checksum"]
+    return d.select("dataset", "id", "downloaded_at", "checksum", prev.alias("previous_checksum"),
+                    (~F.col("checksum").eqNullSafe(prev)).alias("changed"))
 
 
 def detect_changes(remote: DataFrame, downloads: DataFrame) -> DataFrame:

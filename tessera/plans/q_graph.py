@@ -44,6 +44,25 @@ register("person_network_d2", OG.network_sql("g_seed_persons", 2))(
 register("company_network_limit", OG.network_sql("g_seed_companies", 1, 40))(
     lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 1, limit=40).select(*_NET_COLS))
 
+register("company_network_d2_limit", OG.network_sql("g_seed_companies", 3, 200))(
+    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 2, limit=200).select(*_NET_COLS))
+
+register("graph_columns", "SELECT cnpj_basico, razao_social, natureza_juridica, porte_empresa FROM empresa")(
+    lambda I: G.graph_columns(I.companies, "empresa"))
+
+
+def _stored_graph(I):
+    from tessera.plans.q_io import scratch
+    path = G.write_graph(G.ownership_edges(I.partners), scratch(I.spark, "graph"))
+    seeds = _seed_companies(I).select(F.concat(F.lit("C:"), F.col("cnpj_basico")).alias("node"))
+    return G.read_neighbours(I.spark, path, seeds).select("node", "nbr", "type", "src", "dst", "reference_month")
+
+
+register("write_graph", """
+SELECT s.seed AS node, a.nbr, a.type, a.src, a.dst, a.reference_month FROM g_seed_companies s JOIN (
+  SELECT src AS node, dst AS nbr, * FROM g_edges UNION ALL SELECT dst, src, * FROM g_edges) a ON a.node = s.seed
+""")(_stored_graph)
+
 register("network_metadata", f"""
 WITH net AS ({OG.network_sql('g_seed_companies', 3)})
 SELECT e.seed, n.nodes, e.edges, e.edges + CASE WHEN e.truncated THEN 1 ELSE 0 END AS relationships,

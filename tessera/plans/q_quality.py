@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
 from tessera.operators import quality as Q
 from tessera.operators.common import first_by
 from tessera.plans.catalog import register
@@ -98,6 +99,12 @@ SELECT id, reference_month, file_name, file_type, round(file_size_bytes / pow(2.
 FROM todo WHERE len(steps) > 0 AND download_date IS NOT NULL AND processing_status IS NOT NULL AND NOT list_contains(['failed', 'loaded'], processing_status)
 """)(lambda I: Q.files_ready(_manifest(I)))
 
+register("fn_month_from_path", """
+SELECT concat('/dados/', reference_month, '/', file_name) AS raw, reference_month AS v FROM manifest
+UNION ALL SELECT file_name, nullif(regexp_extract(file_name, '[0-9]{4}-[0-9]{2}'), '') FROM manifest
+""")(lambda I: _manifest(I).select(F.explode(F.array(F.concat(F.lit("/dados/"), "reference_month", F.lit("/"), "file_name"), F.col("file_name"))).alias("raw"))
+     .withColumn("v", C.month_from_path("raw")))
+
 register("files_to_process", """
 SELECT * FROM manifest WHERE download_date IS NOT NULL AND processing_status <> 'loaded' AND transformed_at IS NULL
   AND reference_month = '2024-03' AND file_type = 'empresas'
