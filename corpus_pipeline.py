@@ -1,6 +1,10 @@
 """A training-corpus pipeline: each stage applies one operator of
 ``tessera.llm`` to all that the stage before it kept.
 
+Nulls, empty and very long texts, ties, repeated rows, empty tables and extra
+columns are treated as each operator's docstring states; every stage but the
+last returns all columns of its documents, and an empty table stays empty.
+
 ``run`` writes every stage as Parquet in the shared folder and reads it again,
 so a lost executor costs at most the running stage."""
 

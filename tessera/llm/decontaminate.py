@@ -155,5 +155,34 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     """The rows of ``docs`` that no test window occurs in, with all their
     columns."""
     judged = decontaminate(docs, items, text, key, slack=0, **options)
-    hit = judged.filter("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h")).distinct()
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_of(text)) == F.col("__hit_h")), "left_anti")
+    hit = stage(judged.filter("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h")).distinct(), "contaminated")
+    return docs.join(bounded_broadcast(hit, hit.count()), F.col(key).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_of(text)) == F.col("__hit_h")), "left_anti")
+
+
+def _sql_words(table: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({table}.text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: the rows of the registered query in DuckDB SQL (ids taken to be unique)
+ORACLE_SQL = f"""
+WITH text AS MATERIALIZED (SELECT doc_id, {_sql_words('documents')} AS w FROM documents),
+item AS (SELECT item_id, {_sql_words('benchmark')} AS w FROM benchmark),
+part AS MATERIALIZED (SELECT DISTINCT item_id, w[s + 1:s + {WINDOW}] AS win FROM (SELECT *, unnest(range(greatest(len(w) - {WINDOW - 1}, 1))) AS s FROM item WHERE len(w) > 0)),
+win AS MATERIALIZED (SELECT row_number() OVER () AS wid, win, len(win) AS n FROM (SELECT DISTINCT win FROM part)),
+place AS (SELECT wid, n, unnest(win) AS word, generate_subscripts(win, 1) - 1 AS off FROM win),
+post AS MATERIALIZED (SELECT * FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM text) WHERE word IN (SELECT word FROM place)),
+ranked AS MATERIALIZED (SELECT place.*, row_number() OVER (PARTITION BY wid ORDER BY f, off) AS r, count(f) OVER (PARTITION BY wid) AS known
+  FROM place LEFT JOIN (SELECT word, count(*) AS f FROM post GROUP BY word) USING (word)),
+start AS MATERIALIZED (SELECT DISTINCT doc_id, pos - off AS s, wid, n FROM post JOIN ranked USING (word) WHERE r = 1 AND known = n),
+met AS MATERIALIZED (SELECT doc_id, s, wid, n, count(*) AS near, sum(here) AS exact FROM (
+    SELECT start.doc_id, s, start.wid, start.n, off, max((pos = s + off)::INT) AS here
+    FROM start JOIN ranked ON ranked.wid = start.wid JOIN post ON post.doc_id = start.doc_id AND post.word = ranked.word
+    WHERE pos BETWEEN s + off - {SLACK} AND s + off + {SLACK} GROUP BY ALL) GROUP BY ALL),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) FROM met WHERE exact = n) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (
+    SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM met JOIN win USING (wid) JOIN part ON part.win = win.win WHERE exact = met.n AND item_id IS NOT NULL) GROUP BY doc_id),
+close AS (SELECT doc_id, count(DISTINCT wid) AS n_near FROM met WHERE near = n GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM text LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN close USING (doc_id)
+"""

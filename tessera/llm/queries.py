@@ -67,7 +67,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.RULES))
 
 
-@register("op9_decontamination")
+@register("op9_decontamination", decontaminate.ORACLE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("h")
 
