@@ -16,12 +16,14 @@ API_KEY_PATTERN = r"AIza[0-9A-Za-z\-_]{35}"
 
 
 def flatten_orgs(raw: DataFrame) -> DataFrame:
-    """PRJ-24 + NST-1: typed organization rows; arrays cleaned (items
-    trimmed, blanks dropped); name falls back to the acronym."""
+    """PRJ-24 + NST-1 + NST-8: typed organization rows with the raw payload
+    beside them; arrays cleaned (items trimmed, blanks dropped); name falls
+    back to the acronym."""
     return raw.select(
         "id", "manifest_id", "collection", "record_id",
         F.coalesce(C.norm("nome"), C.norm("sigla")).alias("nome"), C.norm("sigla").alias("sigla"),
-        C.norm("cnpj").alias("cnpj"), C.norm("cidade").alias("cidade"), C.norm("uf").alias("uf"),
+        C.norm("razao_social").alias("razao_social"), F.lower(C.norm("tipo")).alias("tipo"), C.norm("categoria").alias("categoria"),
+        C.norm("cnpj").alias("cnpj"), C.norm("cidade").alias("cidade"), C.norm("estado").alias("estado"), C.norm("uf").alias("uf"),
         "latitude", "longitude", "collected_at",
         clean_array(F.col("areas")).alias("areas"),
         redact_secrets(F.col("payload")).alias("payload"))
@@ -43,20 +45,34 @@ def latest_orgs(orgs: DataFrame) -> DataFrame:
     return first_by(orgs, ["collection", "record_id"], [F.col("collected_at").desc(), F.col("id").desc()])
 
 
-def search_orgs(orgs: DataFrame, q=None, collection=None, city=None, uf=None) -> DataFrame:
-    """FLT-7: text over name/acronym/city, collection, city, state."""
-    cond = F.lit(True)
-    if q:
-        pat = "%" + q.strip() + "%"
-        cond = cond & (F.coalesce("nome", F.lit("")).ilike(pat) | F.coalesce("sigla", F.lit("")).ilike(pat)
-                       | F.coalesce("cidade", F.lit("")).ilike(pat))
-    if collection:
-        cond = cond & (F.col("collection") == collection)
-    if city:
-        cond = cond & F.coalesce("cidade", F.lit("")).ilike("%" + city.strip() + "%")
-    if uf:
-        cond = cond & (F.col("uf") == uf.strip().upper())
-    return orgs.filter(cond)
+def _holds(text: str, *names: str):
+    """Any of the fields contains the text, whatever its case."""
+    cond = F.lit(False)
+    for name in names:
+        cond = cond | F.coalesce(F.col(name), F.lit("")).ilike(f"%{text.strip()}%")
+    return cond
+
+
+def search_orgs(orgs: DataFrame, q=None, kind=None, category=None, city=None, state=None, uf=None, collection=None) -> DataFrame:
+    """FLT-7: text over name, corporate name and acronym; kind and state code
+    exact; category, city and state name contained; collection exact."""
+    tests = [_holds(q, "nome", "razao_social", "sigla") if q else None, F.col("tipo") == kind.strip().lower() if kind else None,
+             _holds(category, "categoria") if category else None, _holds(city, "cidade") if city else None,
+             _holds(state, "estado") if state else None, F.col("uf") == uf.strip().upper() if uf else None,
+             F.col("collection") == collection if collection else None]
+    for test in tests:
+        orgs = orgs if test is None else orgs.filter(test)
+    return orgs
+
+
+def scope_orgs(orgs: DataFrame, q=None, kind=None, uf=None) -> DataFrame:
+    """FLT-8: rows that a validation looks at: text over name, city, category
+    and collection; kind and state code exact."""
+    tests = [_holds(q, "nome", "cidade", "categoria", "collection") if q else None,
+             F.col("tipo") == kind.strip().lower() if kind else None, F.col("uf") == uf.strip().upper() if uf else None]
+    for test in tests:
+        orgs = orgs if test is None else orgs.filter(test)
+    return orgs
 
 
 def validation_rows(latest: DataFrame, munis: DataFrame) -> DataFrame:

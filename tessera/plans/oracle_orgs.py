@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans.oracle_base import CTES, MATERIALIZE, dv_sql
+from tessera.plans.oracle_base import CTES, MATERIALIZE, dv_sql, nb
 from tessera.plans.oracle_funding import city_key_sql
 from tessera.sources.proxies import REGION_UF
 from tessera.sources.proxies_orgs import COLLECTIONS
@@ -24,27 +24,29 @@ CTES["raw_orgs"] = f"""
 SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS manifest_id, {_COLL} AS collection,
   CAST(user_id AS VARCHAR) AS record_id, 'Org ' || CAST(user_id AS VARCHAR) AS nome,
   'ORG' || CAST(user_id % 100 AS VARCHAR) AS sigla,
+  CASE WHEN user_id % 4 = 0 THEN '' ELSE 'Instituto ' || (user_id % 50) || ' S.A.' END AS razao_social,
+  CASE WHEN user_id % 3 = 0 THEN ' Organization ' ELSE 'COMPANY' END AS tipo,
+  'Categoria ' || upper(event_type[1]) || lower(event_type[2:]) AS categoria, 'Estado de ' || {_IC} AS estado,
   CASE WHEN user_id % 7 = 0 THEN '' ELSE {_FMT} END AS cnpj,
   ' ' || CASE WHEN user_id % 5 = 0 THEN translate({_CITY}, 'ãíÃÍ', 'aiAI') ELSE {_CITY} END || ' ' AS cidade,
   CASE WHEN user_id % 11 = 0 THEN {_uf('(n_regionkey + 1) % 5')} ELSE {_uf('n_regionkey')} END AS uf,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE round(CAST(n_regionkey * 4 - 30 AS DOUBLE) + (value % 4.0), 6) END AS latitude,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE round(CAST((CASE WHEN user_id % 6 = 0 THEN (user_id + 1) % 25 ELSE user_id % 25 END) * 2 - 70 AS DOUBLE)
        + (value % 2.0), 6) END AS longitude,
-  ts AS collected_at, props AS payload, [' tech ', '', event_type] AS areas
+  ts AS collected_at, CASE WHEN event_id % 50 = 0 THEN props || ' key=AIza' || lpad(event_id::VARCHAR, 35, 'x') || '&z' ELSE props END AS payload, [' tech ', '', event_type] AS areas
 FROM (SELECT e.*, n.*, _b || {dv_sql('_b')} AS _full FROM
       (SELECT *, LPAD(CAST(user_id % 1500 AS VARCHAR), 8, '0') || '0001' AS _b FROM events) e
       JOIN nation n ON n.n_nationkey = e.user_id % 25) t
 """
 
 
-def _norm(c: str) -> str:
-    t = f"TRIM(REPLACE(CAST({c} AS VARCHAR), '\"', ''))"
-    return f"CASE WHEN LENGTH({t}) > 0 THEN {t} END"
+_norm = nb
 
 
 CTES["orgs"] = f"""
 SELECT id, manifest_id, collection, record_id, COALESCE({_norm('nome')}, {_norm('sigla')}) AS nome,
-       {_norm('sigla')} AS sigla, {_norm('cnpj')} AS cnpj, {_norm('cidade')} AS cidade, {_norm('uf')} AS uf,
+       {_norm('sigla')} AS sigla, {_norm('razao_social')} AS razao_social, lower({_norm('tipo')}) AS tipo, {_norm('categoria')} AS categoria,
+       {_norm('cnpj')} AS cnpj, {_norm('cidade')} AS cidade, {_norm('estado')} AS estado, {_norm('uf')} AS uf,
        latitude, longitude, collected_at,
        list_filter(list_transform(areas, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS areas,
        regexp_replace(payload, 'AIza[0-9A-Za-z\\-_]{{35}}', '[REDACTED]', 'g') AS payload

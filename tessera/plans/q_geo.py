@@ -25,7 +25,7 @@ def _validation(I):
     return OR.validation_rows(_latest(I), I.geo_muni)
 
 
-_ORG_COLS = ["id", "manifest_id", "collection", "record_id", "nome", "sigla", "cnpj", "cidade", "uf", "latitude",
+_ORG_COLS = ["id", "manifest_id", "collection", "record_id", "nome", "sigla", "razao_social", "tipo", "categoria", "cnpj", "cidade", "estado", "uf", "latitude",
              "longitude", "collected_at", "areas", "payload"]
 
 register("flatten_orgs", "SELECT * FROM orgs")(lambda I: _orgs(I).select(*_ORG_COLS))
@@ -39,13 +39,23 @@ SELECT id, list_filter(list_transform(areas, lambda x: trim(x)), lambda x: x IS
 
 register("search_orgs", """
 SELECT collection, record_id FROM orgs_latest
-WHERE (COALESCE(nome, '') ILIKE '%org 1%' OR COALESCE(sigla, '') ILIKE '%org 1%' OR COALESCE(cidade, '') ILIKE '%org 1%')
+WHERE (contains(lower(nome), 'org 1') OR contains(lower(coalesce(razao_social, '')), 'org 1') OR contains(lower(coalesce(sigla, '')), 'org 1'))
   AND collection = 'empresas' AND uf = 'SP'
 """)(lambda I: OR.search_orgs(_latest(I), q="org 1", collection="empresas", uf="sp").select(
     "collection", "record_id"))
+register("search_orgs_fields", """
+SELECT collection, record_id FROM orgs_latest WHERE contains(lower(coalesce(razao_social, '')), 'instituto 1') AND tipo = 'company'
+  AND contains(lower(categoria), 'categoria') AND contains(lower(cidade), 'a') AND contains(lower(estado), 'estado de')
+""")(lambda I: OR.search_orgs(_latest(I), q="INSTITUTO 1", kind=" Company ", category="categoria", city="a", state="ESTADO DE").select(
+    "collection", "record_id"))
 register("scope_orgs", """
-SELECT collection, record_id FROM orgs_latest WHERE COALESCE(cidade, '') ILIKE '%guaíba%'
-""")(lambda I: OR.search_orgs(_latest(I), city="guaíba").select("collection", "record_id"))
+SELECT collection, record_id FROM orgs_latest WHERE contains(lower(concat_ws('|', nome, cidade, categoria, collection)), 'guaíba') AND tipo = 'company'
+UNION ALL SELECT collection, record_id FROM orgs_latest WHERE contains(lower(collection), 'parque') AND uf = 'SP'
+""")(lambda I: OR.scope_orgs(_latest(I), q="guaíba", kind="company").select("collection", "record_id").unionByName(
+    OR.scope_orgs(_latest(I), q="PARQUE", uf="sp").select("collection", "record_id")))
+register("raw_payload", """
+SELECT id, payload FROM orgs WHERE contains(payload, '[REDACTED]') OR id % 50 <> 0
+""")(lambda I: _orgs(I).select("id", "payload"))
 
 register("assign_polygon", "SELECT collection, record_id, poly_codigo, poly_nome, poly_uf FROM orgs_poly")(
     lambda I: _validation(I).filter(F.col("poly_codigo").isNotNull()).select(

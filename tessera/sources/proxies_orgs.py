@@ -44,11 +44,17 @@ def raw_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
         coll.alias("collection"), _s(u).alias("record_id"),
         F.concat(F.lit("Org "), _s(u)).alias("nome"),
         F.concat(F.lit("ORG"), _s(u % 100)).alias("sigla"),
+        F.when(u % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("Instituto "), _s(u % 50), F.lit(" S.A."))).alias("razao_social"),
+        F.when(u % 3 == 0, F.lit(" Organization ")).otherwise(F.lit("COMPANY")).alias("tipo"),
+        F.concat(F.lit("Categoria "), F.initcap(F.col("event_type"))).alias("categoria"),
+        F.concat(F.lit("Estado de "), F.initcap(F.col("n_name"))).alias("estado"),
         cnpj.alias("cnpj"),
         F.concat(F.lit(" "), city, F.lit(" ")).alias("cidade"), uf.alias("uf"),
         F.when(nocoord, F.lit(None).cast("double")).otherwise(F.round(lat, 6)).alias("latitude"),
         F.when(nocoord, F.lit(None).cast("double")).otherwise(F.round(lon, 6)).alias("longitude"),
         F.col("ts").alias("collected_at"),
-        F.col("props").alias("payload"),
+        # every 50th payload holds an API key
+        F.when(F.col("event_id") % 50 == 0, F.concat(F.col("props"), F.lit(" key=AIza"), F.lpad(_s(F.col("event_id")), 35, "x"), F.lit("&z")))
+         .otherwise(F.col("props")).alias("payload"),
         F.array(F.lit(" tech "), F.lit(""), F.col("event_type")).alias("areas"),
     )
