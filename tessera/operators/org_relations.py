@@ -9,33 +9,34 @@ from pyspark.sql import functions as F
 from tessera.operators.common import first_by
 
 # fixed values: parent model -> candidate parent collections, in order
-PARENT_COLLECTIONS = {"Incubator": ["incubadoras"], "Accelerator": ["aceleradoras"],
-                      "Park": ["parques", "coworkings"]}
+PARENT_COLLECTIONS = {
+    "App\\Models\\Incubator": ["incubators"],
+    "App\\Models\\Accelerator": ["accelerators"],
+    "App\\Models\\Park": ["operationParks", "implantationParks", "planningParks"],
+}
 # fixed values: child collection -> relationship type
-RELATIONSHIP_TYPE = {"empresas": "incubated_by", "coworkings": "resident_in"}
-
-
-def with_links(orgs: DataFrame) -> DataFrame:
-    """Parent link of a snapshot row (proxy: model by record id)."""
-    rid = F.col("record_id").cast("int")
-    model = (F.when(rid % 4 == 0, "Incubator").when(rid % 4 == 1, "Accelerator").when(rid % 4 == 2, "Park"))
-    return orgs.withColumn("linkable_type", model).withColumn(
-        "linkable_id", F.when(model.isNotNull(), ((rid + 1) % 150).cast("string")))
+RELATIONSHIP_TYPE = {
+    "incubatedCompanies": "incubated_by",
+    "acceleratedCompanies": "accelerated_by",
+    "graduatedCompanies": "graduated_from",
+    "residentCompanies": "resident_in",
+}
 
 
 def org_relationships(orgs: DataFrame) -> DataFrame:
     """JOIN-14: for each snapshot row with a parent link, the parent row of
     the same manifest found in the first candidate collection that has it;
-    unresolved links keep a NULL parent. Candidates come from a small
-    (model, collection, order) mapping table: one equi join, then
-    ``row_number`` by candidate order."""
+    unresolved links keep a NULL parent. The link is the input's
+    ``linkable_type`` and ``linkable_id``; candidates come from the fixed
+    (model, collection, order) table: one equi join, then ``row_number`` by
+    candidate order."""
     spark = orgs.sparkSession
     cand = spark.createDataFrame([(m, c, i) for m, cs in PARENT_COLLECTIONS.items() for i, c in enumerate(cs)],
                                  "linkable_type string, parent_collection string, cand_order int")
     rel = None
     for k, v in RELATIONSHIP_TYPE.items():
         rel = F.when(F.col("collection") == k, F.lit(v)) if rel is None else rel.when(F.col("collection") == k, v)
-    child = with_links(orgs).filter(F.col("linkable_type").isNotNull() & F.col("linkable_id").isNotNull()).select(
+    child = orgs.filter((F.col("linkable_type") != "") & F.col("linkable_id").isNotNull()).select(
         "manifest_id", F.col("id").alias("child_organization_id"), F.col("collection").alias("child_collection"),
         rel.otherwise(F.lit("linked_to")).alias("relationship_type"), "linkable_type", "linkable_id")
     parents = orgs.groupBy("manifest_id", F.col("collection").alias("parent_collection"),

@@ -8,26 +8,27 @@ from tessera.plans.catalog import register
 
 def _orgs(I):
     from tessera.plans.q_geo import _orgs as base
-    return base(I)
+    from tessera.sources.proxies_orgs import linked_orgs
+    return linked_orgs(base(I))
 
 
-_LINKS = """
-SELECT *, CASE WHEN CAST(record_id AS INTEGER) % 4 = 0 THEN 'Incubator' WHEN CAST(record_id AS INTEGER) % 4 = 1 THEN 'Accelerator'
-               WHEN CAST(record_id AS INTEGER) % 4 = 2 THEN 'Park' END AS linkable_type,
-       CASE WHEN CAST(record_id AS INTEGER) % 4 IN (0, 1, 2) THEN CAST((CAST(record_id AS INTEGER) + 1) % 150 AS VARCHAR) END AS linkable_id
-FROM orgs
-"""
-
-_REL_SQL = f"""
-WITH l AS ({_LINKS}),
+_REL_SQL = """
+WITH numbered AS (SELECT *, record_id::INTEGER AS rid FROM orgs),
+named AS (SELECT * REPLACE (CASE collection WHEN 'incubadoras' THEN 'incubators' WHEN 'aceleradoras' THEN 'accelerators'
+             WHEN 'parques' THEN ['operationParks', 'implantationParks', 'planningParks'][rid % 3 + 1]
+             WHEN 'empresas' THEN ['incubatedCompanies', 'graduatedCompanies'][rid % 2 + 1]
+             ELSE ['residentCompanies', 'acceleratedCompanies', 'others'][rid % 3 + 1] END AS collection),
+           ['App\\Models\\Incubator', 'App\\Models\\Accelerator', 'App\\Models\\Park', NULL][rid % 4 + 1] AS linkable_type,
+           CASE WHEN rid % 4 < 3 THEN ((rid + 1) % 150)::VARCHAR END AS linkable_id FROM numbered),
 child AS (SELECT manifest_id, id AS child_organization_id, collection AS child_collection,
-                 CASE collection WHEN 'empresas' THEN 'incubated_by' WHEN 'coworkings' THEN 'resident_in' ELSE 'linked_to' END
+                 coalesce(MAP {'incubatedCompanies': 'incubated_by', 'acceleratedCompanies': 'accelerated_by',
+                               'graduatedCompanies': 'graduated_from', 'residentCompanies': 'resident_in'}[collection], 'linked_to')
                    AS relationship_type, linkable_type, linkable_id
-          FROM l WHERE linkable_type IS NOT NULL AND linkable_id IS NOT NULL),
-cand AS (SELECT * FROM (VALUES ('Incubator', 'incubadoras', 0), ('Accelerator', 'aceleradoras', 0),
-                               ('Park', 'parques', 0), ('Park', 'coworkings', 1)) v(linkable_type, parent_collection, cand_order)),
+          FROM named WHERE linkable_type IS NOT NULL AND linkable_id IS NOT NULL),
+cand AS (SELECT 'App\\Models\\' || m AS linkable_type, c AS parent_collection, o AS cand_order FROM (VALUES ('Incubator', 'incubators', 0), ('Accelerator', 'accelerators', 0),
+            ('Park', 'operationParks', 0), ('Park', 'implantationParks', 1), ('Park', 'planningParks', 2)) v(m, c, o)),
 parents AS (SELECT manifest_id, collection AS parent_collection, record_id AS linkable_id, max(id) AS parent_organization_id
-            FROM orgs GROUP BY 1, 2, 3),
+            FROM named GROUP BY 1, 2, 3),
 best AS (SELECT child_organization_id, relationship_type, parent_organization_id FROM (
            SELECT c.child_organization_id, c.relationship_type, p.parent_organization_id,
                   row_number() OVER (PARTITION BY c.child_organization_id, c.relationship_type ORDER BY k.cand_order) AS rn
@@ -48,7 +49,7 @@ SELECT manifest_id, child_organization_id, relationship_type, parent_model_class
 register("relationships_resolved", _REL_SQL + """
 SELECT r.manifest_id, r.child_organization_id, r.relationship_type, r.parent_model_class, r.parent_source_record_id,
        r.parent_organization_id, c.nome AS child_nome, p.nome AS parent_nome, p.collection AS parent_collection
-FROM rels r JOIN orgs c ON c.id = r.child_organization_id LEFT JOIN orgs p ON p.id = r.parent_organization_id
+FROM rels r JOIN named c ON c.id = r.child_organization_id LEFT JOIN named p ON p.id = r.parent_organization_id
 """)(lambda I: relationships_resolved(org_relationships(_orgs(I)).drop("relationship_metadata"), _orgs(I)))
 
 

@@ -58,3 +58,20 @@ def raw_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("props")).alias("payload"),
         F.array(F.lit(" tech "), F.lit(""), F.col("event_type")).alias("areas"),
     )
+
+
+def linked_orgs(orgs: DataFrame) -> DataFrame:
+    """Snapshot rows under the platform's collection names, with a parent
+    link: three parent models by record id, every fourth record without."""
+    rid = F.col("record_id").cast("int")
+
+    def turn(*names):
+        return F.element_at(F.array(*[F.lit(x) for x in names]), (rid % len(names) + 1).cast("int"))
+
+    name = (F.when(F.col("collection") == "incubadoras", F.lit("incubators")).when(F.col("collection") == "aceleradoras", F.lit("accelerators"))
+            .when(F.col("collection") == "parques", turn("operationParks", "implantationParks", "planningParks"))
+            .when(F.col("collection") == "empresas", turn("incubatedCompanies", "graduatedCompanies"))
+            .otherwise(turn("residentCompanies", "acceleratedCompanies", "others")))
+    model = (F.when(rid % 4 == 0, F.lit("App\\Models\\Incubator")).when(rid % 4 == 1, F.lit("App\\Models\\Accelerator"))
+             .when(rid % 4 == 2, F.lit("App\\Models\\Park")))
+    return orgs.withColumns({"collection": name, "linkable_type": model, "linkable_id": F.when(model.isNotNull(), ((rid + 1) % 150).cast("string"))})
