@@ -21,6 +21,7 @@ HEADLINE = [
     # cleaning job, the search-view build, the state roll-up and a contains
     # search; the rest are the heaviest analytic requests.
     ("clean_establishments_write", None),
+    ("build_search_views", "build_search_views"),
     ("search_view_active", "search_view_active"),
     ("active_by_state", "active_by_state"),
     ("search_companies", "search_companies"),

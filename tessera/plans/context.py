@@ -7,6 +7,7 @@ returns the same lazy plan every time it is asked for.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,28 @@ class Inputs:
         return R.search_view_inactive(self.companies, self.establishments, self.municipios,
                                       self.cnaes, self.naturezas)
 
+    def stored_view(self, kind: str) -> DataFrame:
+        """SNK-9: a search view (``active`` or ``inactive``) as a stored table,
+        built by the first request of an application and read by the others;
+        ``refresh_views`` builds it anew."""
+        from tessera.sources.sinks import ensure_stage
+        return ensure_stage(self.spark, self._view_path(kind), lambda: self._view(kind))
+
+    def refresh_views(self) -> None:
+        """Replace both stored search views by what the tables hold now."""
+        for kind in ("active", "inactive"):
+            self._view(kind).write.mode("overwrite").option("compression", "zstd").parquet(self._view_path(kind))
+
+    def _view(self, kind: str) -> DataFrame:
+        view = self.active_view if kind == "active" else self.inactive_view
+        # ordered by id, so that an id or prefix reads few files and row groups
+        return view.repartitionByRange("cnpj_14").sortWithinPartitions("cnpj_14")
+
+    def _view_path(self, kind: str) -> str:
+        from tessera.session import ensure_checkpoint_dir
+        tables = hashlib.sha1(f"{self.spark.sparkContext.applicationId}|{self.sf_dir}|{self.month}".encode()).hexdigest()[:16]
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/search-views/{tables}/{kind}"
+
     # funding -----------------------------------------------------------
     def funding(self, source: str) -> DataFrame:
         from tessera.operators import funding as FU

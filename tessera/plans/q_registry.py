@@ -15,7 +15,7 @@ from tessera.sources import proxies as P
 register("active_by_state", """
 SELECT uf, COUNT(*) AS companies, SUM(capital_social) AS capital
 FROM mv_active GROUP BY uf
-""")(lambda I: I.active_view.groupBy("uf").agg(
+""")(lambda I: I.stored_view("active").groupBy("uf").agg(
     F.count(F.lit(1)).alias("companies"), F.sum("capital_social").alias("capital")))
 
 # ---------------------------------------------------------------- PRJ-1..5
@@ -53,6 +53,15 @@ register("clean_lookup", CLEAN_LOOKUP_SQL)(_clean_lookup)
 register("search_view_active", "SELECT * FROM mv_active")(lambda I: I.active_view)
 register("search_view_inactive", "SELECT * FROM mv_inactive")(lambda I: I.inactive_view)
 
+
+def _refreshed(I):
+    I.stored_view("active")
+    I.refresh_views()
+    return I.stored_view("active").unionByName(I.stored_view("inactive"))
+
+
+register("build_search_views", "SELECT * FROM mv_active UNION ALL BY NAME SELECT * FROM mv_inactive")(_refreshed)
+
 register("establishment_full", """
 WITH owner AS (SELECT cnpj_basico AS root, razao_social, capital_social, porte_empresa FROM empresa)
 SELECT * EXCLUDE (root), concat(cnpj_basico, cnpj_ordem, cnpj_dv) AS cnpj_completo FROM owner RIGHT JOIN estab ON root = cnpj_basico
@@ -135,11 +144,11 @@ register("search_companies", """
 SELECT * FROM mv_active
 WHERE (razao_social ILIKE '%CUSTOMER#0000001%' OR COALESCE(nome_fantasia, '') ILIKE '%CUSTOMER#0000001%')
   AND uf = 'SP'
-""")(lambda I: R.search_companies(I.active_view, q="Customer#0000001", uf="sp"))
+""")(lambda I: R.search_companies(I.stored_view("active"), q="Customer#0000001", uf="sp"))
 
 register("search_companies_id", """
 SELECT * FROM mv_active WHERE cnpj_basico LIKE '0000001%'
-""")(lambda I: R.search_companies(I.active_view, q="0000001"))
+""")(lambda I: R.search_companies(I.stored_view("active"), q="0000001"))
 
 register("person_company_counts", """
 WITH held AS (SELECT DISTINCT nome_socio_razao_social AS nome, cpf_cnpj_socio, faixa_etaria, cnpj_basico
@@ -202,7 +211,7 @@ for _key, _q, _where in [
         ("unified_search_digits9", "000000260", "starts_with(cnpj_14, '000000260') OR cnpj_basico = '00000026' OR " + _NAMED.format("000000260")),
         ("unified_search_digits8", "00000026", "starts_with(cnpj_14, '00000026') OR cnpj_basico = '00000026' OR " + _NAMED.format("00000026")),
         ("unified_search_empty", " ", "true")]:
-    register(_key, _hits_sql(_where))((lambda q: lambda I: R.unified_search(I.active_view, I.inactive_view, q, 20))(_q))
+    register(_key, _hits_sql(_where))((lambda q: lambda I: R.unified_search(I.stored_view("active"), I.stored_view("inactive"), q, 20))(_q))
 
 # ---------------------------------------------------------------- column functions
 
