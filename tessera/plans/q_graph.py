@@ -13,7 +13,7 @@ from tessera.plans.catalog import register
 def _seed_companies(I):
     """Network seeds: the five active companies with the largest capital
     (a top-k request over the whole view)."""
-    return I.active_view.orderBy(F.col("capital_social").desc(), "cnpj_basico").limit(5).select("cnpj_basico")
+    return I.stored_view("active").orderBy(F.col("capital_social").desc(), "cnpj_basico").limit(5).select("cnpj_basico")
 
 
 def _seed_persons(I):
