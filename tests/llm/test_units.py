@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from tessera.llm import byte_bpe, simhash, token_counts
+from tessera.llm import byte_bpe, embedding_dups, simhash, token_counts
 from tessera.llm.hnsw import Graph
 from tessera.llm.ngrams import PASS_CHARS, Ngrams
 
@@ -143,3 +143,41 @@ def test_graph_finds_links_in_tight_groups():
         small = Graph.build(x[:n].astype(np.float32))
         if n:
             assert sum(len(r) for r, _ in small.within(x[:n].astype(np.float32), 0.999, 4)) >= n
+
+
+def _blind_graph(n=600, d=32):
+    """Unit vectors whose last half are near copies of the first, in a graph
+    where no link leads to a copy."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, d))
+    x = np.concatenate((x, x + 0.02 * rng.normal(size=x.shape)))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = Graph.build(x.astype(np.float32))
+    for links in graph.links:
+        links[links >= n] = -1
+    graph.levels[n:] = 0
+    graph.entry = int(graph.levels.argmax())
+    return graph, x
+
+
+def test_op1_audit_passes_no_graph_that_hides_links():
+    graph, x = _blind_graph()
+    own = np.arange(len(x))
+    assert embedding_dups._audited(graph, x, x, own, 0.9, 48, 0.99, 128) is None
+    got = {(int(a), int(b)) for r, i in embedding_dups._links(graph, x, x, own, 0.9, None) for a, b in zip(r, i)}
+    true = x @ x.T >= 0.9
+    np.fill_diagonal(true, False)
+    assert got == {(int(a), int(b)) for a, b in np.argwhere(true)}
+    # a graph with all its links passes, and a cell without links to judge by does not
+    whole = Graph.build(x.astype(np.float32))
+    assert embedding_dups._audited(whole, x, x, own, 0.9, 48, 0.99, 128) == 48
+    assert embedding_dups._audited(whole, x, x[:20], own[:20], 0.9, 48, 0.99, 128) is None
+
+
+def test_op1_audit_does_not_judge_by_too_few_links():
+    """One pair among 601 points, found from one end only at any beam."""
+    graph, x = _blind_graph(600)
+    few = np.concatenate((x[:600], x[600:601]))
+    graph.x, graph.levels = graph.x[:601], graph.levels[:601]
+    graph.links = [links[:601] for links in graph.links]
+    assert embedding_dups._audited(graph, few, few, np.arange(601), 0.9, 48, 0.99, 128) is None
