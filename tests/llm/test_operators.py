@@ -92,6 +92,28 @@ def test_op1_recall_on_the_table(spark):
     assert sum(got.values()) >= 0.98 * (linked.sum() - len(x))
 
 
+def test_op1_counts_a_link_at_both_ends(spark, monkeypatch):
+    """Beams that never reach some points: those find their neighbours, and
+    the neighbours count them too, over several tiles."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(150, 16)), rng.normal(size=(60, 16))))
+    whole = embedding_dups._links
+
+    def blind(graph, exact, asked, itself, least, width):
+        for r, i in whole(graph, exact, asked, itself, least, None):
+            yield r[i % 5 > 0], i[i % 5 > 0]
+
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, x[3].tolist())], "vec_id long, embedding array<double>")
+    x = np.concatenate((x, x[3:4]))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    with monkeypatch.context() as m:
+        m.setattr(embedding_dups, "_links", blind)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dups.near_duplicates(df, shards=2, blocks=2, tile=40).collect()}
+    assert [got[i][0] for i in (*range(210), 500)] == want.tolist()
+    assert {got[i][1] for i in range(150)} == {0}
+
+
 def _slow_simhash(rows):
     fps = [simhash.fingerprint(t or "") for _, t in rows]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]
