@@ -114,6 +114,24 @@ def test_op1_counts_a_link_at_both_ends(spark, monkeypatch):
     assert {got[i][1] for i in range(150)} == {0}
 
 
+def test_op1_query_blocks_grow_with_the_input(spark, monkeypatch):
+    ask = embedding_dups._ask
+
+    def bounded(*args):
+        run = ask(*args)
+
+        def checked(members, queries):
+            assert len(queries) < 100, "a cell got too many queries"
+            return run(members, queries)
+
+        return checked
+
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(8).normal(size=(400, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dups, "_ask", bounded)
+    assert embedding_dups.near_duplicates(df, shards=2, blocks=2, block_values=400).count() == 400
+
+
 def _slow_simhash(rows):
     fps = [simhash.fingerprint(t or "") for _, t in rows]
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4]
