@@ -56,10 +56,9 @@ def _org_json(I):
     from tessera.sources.proxies_orgs import COLLECTIONS, raw_orgs
     o = raw_orgs(I.spark, I.sf_dir).select("manifest_id", "collection",
                                            F.struct("id", "record_id", "nome", "cnpj", "cidade", "uf").alias("a"))
-    # one payload object per collection run (one file per run), as collected
-    payload = o.groupBy("manifest_id").pivot("collection", list(COLLECTIONS.values())).agg(F.collect_list("a"))
+    # one actor a line, by run and collection
     path = scratch(I.spark, "orgs")
-    payload.repartition("manifest_id").write.mode("overwrite").partitionBy("manifest_id").json(path)
+    o.select("manifest_id", "collection", "a.*").write.mode("overwrite").partitionBy("manifest_id", "collection").json(path)
     return RD.read_org_payload(I.spark, path, list(COLLECTIONS.values()))
 
 

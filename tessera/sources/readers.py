@@ -60,15 +60,12 @@ def read_patent_csv(spark: SparkSession, path: str, encoding: str | None = None)
 
 
 def read_org_payload(spark: SparkSession, path: str, collections: list[str]) -> DataFrame:
-    """SRC-10 + NST-4: a JSON object with one array of actors per
-    collection -> one row per actor with its collection name."""
-    raw = spark.read.option("multiLine", "true").json(path)
-    legs = [raw.select(F.lit(c).alias("collection"), F.explode(F.col(c)).alias("actor"))
-            for c in collections if c in raw.columns]
-    out = legs[0]
-    for leg in legs[1:]:
-        out = out.unionByName(leg)
-    return out
+    """SRC-10 + NST-4: line-delimited JSON, one actor a line, in folders by
+    run (``manifest_id``) and ``collection`` -> one row per actor with its
+    collection name."""
+    raw = spark.read.json(path).filter(F.col("collection").isin(collections))
+    fields = [c for c in raw.columns if c not in ("manifest_id", "collection")]
+    return raw.select("collection", F.struct(*fields).alias("actor"))
 
 
 # fixed values: accepted column names for geography inputs, first match wins

@@ -82,3 +82,19 @@ def test_first_by_stable_under_repartition(spark):
     a = first_by(df, ["k"], [F.col("o")]).collect()
     b = first_by(df.repartition(13), ["k"], [F.col("o")]).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_org_payload_is_read_in_pieces(spark, tmp_path):
+    """One run of one collection in one file: an actor a line, several tasks."""
+    from pyspark.sql import functions as F
+    from tessera.sources.readers import read_org_payload
+    actors = spark.range(2000).select(F.lit("r1").alias("manifest_id"), F.lit("ict").alias("collection"), "id", F.concat(F.lit("Nome "), "id").alias("nome"))
+    actors.coalesce(1).write.partitionBy("manifest_id", "collection").json(f"{tmp_path}/orgs")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = read_org_payload(spark, f"{tmp_path}/orgs", ["ict", "absent"])
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+        assert {(r.collection, r.actor.id, r.actor.nome) for r in got.collect()} == {("ict", i, f"Nome {i}") for i in range(2000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
