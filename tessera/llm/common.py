@@ -56,7 +56,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the folder of a table that ``stage`` wrote and nothing reads any
+    more: what came of it must have been written before."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged.stage_path)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000) -> DataFrame:
