@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, centroids, decontaminate, embedding_dups, langid, quality, simhash, token_counts, toxicity, url_filter, warc
+from tessera.llm import byte_bpe, centroids, decontaminate, embedding_dups, langid, lexical_search, license_scan, quality, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +80,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_centroid_clusters", centroids.ORACLE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))[0]
+
+
+@register("op12_lexical_search", lexical_search.ORACLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_license_scan", license_scan.ORACLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.templates_table(spark))[0]
