@@ -81,15 +81,25 @@ def test_op1_against_brute_force(spark):
     assert sorted(tuple(r)[1:] for r in embedding_dups.near_duplicates(nulls).collect()) == [(0, None, True), (1, None, True), (1, None, True)]
 
 
-def test_op1_recall_on_the_table(spark):
-    df = queries.table(spark, SF_SMALL, "embeddings")
-    e = df.toPandas().sort_values("vec_id")
-    x = np.stack(e.embedding.values).astype(np.float64)
+@pytest.mark.parametrize("share", [0, 0.01, 0.05, 0.5])
+def test_op1_goes_through_the_graph_however_rare_copies_are(spark, share):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    linked = x @ x.T >= 0.9
-    got = {r.vec_id: r.n_links for r in queries.QUERIES["op1_embedding_dups"](spark, SF_SMALL).collect()}
-    assert len(got) == len(e)
-    assert sum(got.values()) >= 0.98 * (linked.sum() - len(x))
+    copies = rng.choice(6000, int(6000 * share), replace=False)
+    aside = rng.normal(size=(len(copies), 64))
+    aside -= (aside * x[copies]).sum(1, keepdims=True) * x[copies]
+    aside /= np.maximum(np.linalg.norm(aside, axis=1)[:, None], 1e-300)
+    cos = rng.uniform(0.905, 0.999, (len(copies), 1))
+    x = np.concatenate((x, cos * x[copies] + np.sqrt(1 - cos ** 2) * aside))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    figures = {}
+    got = {r.vec_id: r.n_links for r in embedding_dups.near_duplicates(df, shards=3, blocks=3, figures=figures).collect()}
+    true = (x @ x.T >= 0.9).sum(1) - 1
+    assert all(got[i] <= true[i] for i in got)
+    assert sum(got.values()) >= 0.99 * true.sum()
+    assert figures["shards"] == 3 and figures["recall"] >= 0.99 and figures["asked"] == 3 * len(x)
+    assert figures["dense"] <= 0.01 * figures["asked"] and figures["lost"] <= 0.01 * len(x)
 
 
 def test_op1_counts_a_link_at_both_ends(spark, monkeypatch):
@@ -99,9 +109,9 @@ def test_op1_counts_a_link_at_both_ends(spark, monkeypatch):
     x = np.concatenate((rng.normal(size=(1, 16)) + 0.05 * rng.normal(size=(150, 16)), rng.normal(size=(60, 16))))
     whole = embedding_dups._links
 
-    def blind(graph, exact, asked, itself, least, width):
-        for r, i in whole(graph, exact, asked, itself, least, None):
-            yield r[i % 5 > 0], i[i % 5 > 0]
+    def blind(graph, exact, asked, lost, least, width):
+        for r, i, dense in whole(graph, exact, asked, lost, least, len(exact)):
+            yield r[i % 5 > 0], i[i % 5 > 0], dense
 
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, x[3].tolist())], "vec_id long, embedding array<double>")
     x = np.concatenate((x, x[3:4]))

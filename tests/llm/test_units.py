@@ -160,24 +160,31 @@ def _blind_graph(n=600, d=32):
     return graph, x
 
 
-def test_op1_audit_passes_no_graph_that_hides_links():
+def test_op1_audit_judges_a_shard_without_copies_and_marks_what_is_cut_off():
     graph, x = _blind_graph()
-    own = np.arange(len(x))
-    assert embedding_dups._audited(graph, x, x, own, 0.9, 48, 0.99, 128) is None
-    got = {(int(a), int(b)) for r, i in embedding_dups._links(graph, x, x, own, 0.9, None) for a, b in zip(r, i)}
-    true = x @ x.T >= 0.9
-    np.fill_diagonal(true, False)
-    assert got == {(int(a), int(b)) for a, b in np.argwhere(true)}
-    # a graph with all its links passes, and a cell without links to judge by does not
-    whole = Graph.build(x.astype(np.float32))
-    assert embedding_dups._audited(whole, x, x, own, 0.9, 48, 0.99, 128) == 48
-    assert embedding_dups._audited(whole, x, x[:20], own[:20], 0.9, 48, 0.99, 128) is None
-
-
-def test_op1_audit_does_not_judge_by_too_few_links():
-    """One pair among 601 points, found from one end only at any beam."""
-    graph, x = _blind_graph(600)
-    few = np.concatenate((x[:600], x[600:601]))
-    graph.x, graph.levels = graph.x[:601], graph.levels[:601]
-    graph.links = [links[:601] for links in graph.links]
-    assert embedding_dups._audited(graph, few, few, np.arange(601), 0.9, 48, 0.99, 128) is None
+    lost = ~embedding_dups._reached(graph)
+    assert lost[600:].all() and lost[:600].sum() < 6
+    width, recall = embedding_dups._audited(graph, x, lost, 0.9, 48, 0.99, 256)
+    assert recall >= 0.99 and width < len(x)
+    got = {(int(a), int(b)) for r, i, _ in embedding_dups._links(graph, x, x, lost, 0.9, width) for a, b in zip(r, i)}
+    true = {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.9)}
+    assert got <= true and len(got) >= 0.99 * len(true)
+    # without the marks, half of the members are out of reach of any beam: the audit says so
+    wide, recall = embedding_dups._audited(graph, x, np.zeros(len(x), bool), 0.9, 48, 0.99, 256)
+    assert wide >= len(x) and recall < 0.9
+    # a shard in which nothing links: the audit passes on turned members
+    plain = Graph.build(x[:600].astype(np.float32))
+    width, recall = embedding_dups._audited(plain, x[:600], np.zeros(600, bool), 0.9, 48, 0.99, 256)
+    assert recall >= 0.99 and width < 600
+
+
+def test_op1_dense_groups_are_compared_exactly():
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.normal(size=(1, 16)) + 0.03 * rng.normal(size=(200, 16)), rng.normal(size=(300, 16))))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph = Graph.build(x.astype(np.float32))
+    lost = ~embedding_dups._reached(graph)
+    parts = list(embedding_dups._links(graph, x, x, lost, 0.9, 48))
+    assert sum(dense for _, _, dense in parts) >= 200
+    got = [(int(a), int(b)) for r, i, _ in parts for a, b in zip(r, i)]
+    assert len(got) == len(set(got)) and set(got) == {(int(a), int(b)) for a, b in np.argwhere(x @ x.T >= 0.9)}
