@@ -74,12 +74,12 @@ def _typed(c, kind: str):
 
 def read_funding_sheet(raw: DataFrame, source: str) -> DataFrame:
     """SRC-9 + PRJ-16..19: positional cells -> typed project rows; fully
-    blank rows and rows without the required key are skipped; the
-    digits-only proposer id (PRJ-23) and a stable source id are added."""
+    blank rows and rows without the required key are skipped; the sheet's row
+    number (``_row``) is kept as ``row_no`` where it is known; the digits-only proposer id (PRJ-23) and a stable source id are added."""
     layout = LAYOUTS[source]
     cols = [_typed(f"c{i}", kind).alias(name) for i, (name, kind) in enumerate(layout)]
     df = raw.filter(F.coalesce(*[F.col(f"c{i}").cast("string") for i in range(len(layout))]).isNotNull())
-    df = df.select(*cols)
+    df = df.select(*cols, (F.col("_row") if "_row" in raw.columns else F.lit(None)).cast("long").alias("row_no"))
     req = REQUIRED[source]
     keep = F.lit(False)
     for r in req:
@@ -411,15 +411,19 @@ def choropleth_class(df: DataFrame, key: str, value: str) -> DataFrame:
 # JOIN-9 disbursement -> project; FLT-3 listing
 # --------------------------------------------------------------------------
 
-def disbursement_project(disb: DataFrame, projects: DataFrame, active: DataFrame,
+def disbursement_project(disb: DataFrame, projects: DataFrame | None, active: DataFrame,
                          inactive: DataFrame) -> DataFrame:
     """JOIN-9: disbursement ⟕ project on (contract, ref) null-safe; among
-    duplicate project keys the last row (highest id) wins; project ⟕
-    company."""
-    p = first_by(projects.select("contrato", "ref", "id", "titulo", "cnpj_proponente_norm"),
-                 ["contrato", "ref"], [F.col("id").desc()])
-    p = p.withColumnRenamed("contrato", "_pc").withColumnRenamed("ref", "_pr")
-    j = disb.join(p, (disb.contrato == p._pc) & disb.ref.eqNullSafe(p._pr), "left").drop("_pc", "_pr")
+    duplicate project keys the last row of the sheet wins; project ⟕ company.
+    A sheet without a project table (``projects`` None: decentralised credit)
+    carries the proposer's id itself."""
+    if projects is None:
+        j = disb.withColumns({"id": F.lit(None).cast("string"), "titulo": F.lit(None).cast("string")})
+    else:
+        p = first_by(projects.select("contrato", "ref", "id", "titulo", "cnpj_proponente_norm", "row_no"),
+                     ["contrato", "ref"], [F.col("row_no").desc(), F.col("id").desc()]).drop("row_no")
+        p = p.withColumnRenamed("contrato", "_pc").withColumnRenamed("ref", "_pr")
+        j = disb.join(p, (disb.contrato == p._pc) & disb.ref.eqNullSafe(p._pr), "left").drop("_pc", "_pr")
     comp = lookup_company(j.select(F.col("cnpj_proponente_norm").alias("cnpj_14")), active, inactive)
     comp = comp.select(F.col("cnpj_14").alias("_cid"), "razao_social", "match_source")
     return j.join(comp, F.col("cnpj_proponente_norm") == F.col("_cid"), "left").drop("_cid")

@@ -5,7 +5,8 @@ Nodes carry a string id with a label prefix (``C:`` company root, ``P:``
 person key); ownership edges are ``(src, dst, reference_month)`` with
 ``type = 'SOCIO_DE'``. Network expansion is a loop of equi joins against
 the undirected adjacency, one join per hop, with an anti join against what
-was already reached and the lineage cut by ``checkpoint()`` each hop.
+was already reached, each hop's new nodes written to the shared folder. The
+neighbours come from an edge table or from the stored graph (``graph_store``).
 """
 
 from __future__ import annotations
@@ -82,13 +83,19 @@ def company_nodes(companies: DataFrame, partners: DataFrame) -> DataFrame:
 
 
 def establishment_nodes(establishments: DataFrame) -> DataFrame:
-    """GRA-5: establishment nodes (10 columns) and belongs-to edges."""
+    """GRA-5: establishment nodes (10 columns)."""
     return establishments.select(
         F.concat("cnpj_basico", "cnpj_ordem", "cnpj_dv").alias("cnpj_14"), "cnpj_basico",
         "identificador_matriz_filial", "nome_fantasia", "situacao_cadastral", "uf", "codigo_municipio",
         "cnae_fiscal_principal", "data_inicio_atividade", "reference_month")
 
 
+def belongs_to_edges(establishments: DataFrame) -> DataFrame:
+    """GRA-5: establishment -> company, one per pair and month."""
+    return establishments.select(F.concat("cnpj_basico", "cnpj_ordem", "cnpj_dv").alias("cnpj_14"), "cnpj_basico", "reference_month",
+                                 F.lit("PERTENCE_A").alias("type")).distinct()
+
+
 def ownership_edges(partners: DataFrame) -> DataFrame:
     """All SOCIO_DE edges in one shape: ``src``/``dst`` node ids."""
     pe = person_edges(partners).select(
@@ -108,13 +115,19 @@ def ownership_edges(partners: DataFrame) -> DataFrame:
 GRAPH_FIELDS = {
     "empresa": ["cnpj_basico", "razao_social", "natureza_juridica", "porte_empresa"],
     "pessoa": ["nome", "cpf_cnpj_socio", "identificador_socio", "faixa_etaria"],
+    "estabelecimento": ["cnpj_basico", "cnpj_ordem", "cnpj_dv", "identificador_matriz_filial", "nome_fantasia", "situacao_cadastral",
+                        "data_inicio_atividade", "cnae_fiscal_principal", "uf", "codigo_municipio"],
     "socio_de": ["qualificacao_socio", "data_entrada_sociedade"],
 }
 
 
 def graph_columns(df: DataFrame, kind: str) -> DataFrame:
-    """PRJ-27: a table cut to the columns its graph element carries."""
-    return df.select(*[c for c in GRAPH_FIELDS[kind] if c in df.columns])
+    """PRJ-27: a table cut to the columns its graph element carries; one that
+    lacks any of them is an error."""
+    missing = [c for c in GRAPH_FIELDS[kind] if c not in df.columns]
+    if missing:
+        raise ValueError(f"{kind} lacks {', '.join(missing)}")
+    return df.select(*GRAPH_FIELDS[kind])
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -124,64 +137,48 @@ def adjacency(edges: DataFrame) -> DataFrame:
         e.select(F.col("dst").alias("node"), F.col("src").alias("nbr"), "*"))
 
 
-def write_graph(edges: DataFrame, path: str, buckets: int = 64) -> str:
-    """SNK-11: the edges from both ends as Parquet, one folder a month and
-    node bucket, sorted by node, so that a request for a few nodes reads few
-    files and row groups. A rerun replaces the months it holds."""
-    out = adjacency(edges).withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int"))
-    (out.hint("rebalance", "reference_month", "bucket").sortWithinPartitions("reference_month", "bucket", "node")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-     .partitionBy("reference_month", "bucket").parquet(path))
-    return path
-
-
-def read_neighbours(spark, path: str, nodes: DataFrame, buckets: int = 64) -> DataFrame:
-    """The stored edges of ``nodes`` (column ``node``); the buckets to read
-    are pruned at run time."""
-    wanted = nodes.select("node").distinct().withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)).cast("int"))
-    return spark.read.parquet(path).join(wanted, ["bucket", "node"]).drop("bucket")
-
-
 # --------------------------------------------------------------------------
 # GRA-6/7/8 network expansion
 # --------------------------------------------------------------------------
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint directory (reliable
-    checkpoint: survives executor loss)."""
-    from tessera.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class EdgeTable:
+    """A graph whose edges are a DataFrame."""
+
+    def __init__(self, edges: DataFrame, store: bool = True):
+        from tessera.session import stage_table
+        e = edges.select("type", "src", "dst", "reference_month")
+        # it feeds every hop: stored once, each reader takes the columns it needs
+        self.edges = stage_table(e, "edges") if store else e
+
+    def neighbours(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` (with a column ``node``) joined to their edges, from
+        either end: ``nbr, type, src, dst, reference_month``."""
+        return nodes.join(adjacency(self.edges), "node")
 
 
-def reach(seeds: DataFrame, edges: DataFrame, hops: int, checkpoint: bool = True) -> DataFrame:
-    """(seed, node) pairs within ``hops`` undirected hops of each seed;
-    ``edges`` is a stored edge table, read once a hop.
+def reach(seeds: DataFrame, graph, hops: int) -> DataFrame:
+    """(seed, node) pairs within ``hops`` undirected hops of each seed.
 
-    One equi join per hop on the adjacency (both edge directions), new
-    nodes only (anti join on what was reached), deduplicated before the
-    next hop. A hub (one node in thousands of companies) makes one skewed
-    join key: AQE's skew join splits that partition."""
-    adj = adjacency(edges).select("node", "nbr")
+    One equi join per hop, new nodes only (anti join on what was reached),
+    deduplicated and written once; ``reached`` stays a union of such tables. A
+    hub (one node in thousands of companies) makes one skewed join key: AQE's
+    skew join splits that partition."""
+    from tessera.session import stage_table
     reached = seeds.select("seed", F.col("seed").alias("node")).distinct()
-    if checkpoint and hops > 0:
-        reached = _checkpoint(reached)
+    if hops > 0:
+        reached = stage_table(reached, "reached")
     frontier = reached
     for _ in range(hops):
-        nxt = (frontier.join(adj, "node").select("seed", F.col("nbr").alias("node")).distinct()
+        nxt = (graph.neighbours(frontier).select("seed", F.col("nbr").alias("node")).distinct()
                .join(reached, ["seed", "node"], "left_anti"))
-        if checkpoint:
-            # one write per hop: the new frontier; ``reached`` stays a union
-            # of checkpointed pieces, so its lineage is one scan per hop
-            nxt = _checkpoint(nxt)
-        reached = reached.unionByName(nxt)
-        frontier = nxt
+        frontier = stage_table(nxt, "reached")
+        reached = reached.unionByName(frontier)
     return reached
 
 
-def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = None,
-            checkpoint: bool = True) -> DataFrame:
-    """Distinct edges on undirected paths of 1..``hops`` hops from each seed.
+def network(seeds: DataFrame, edges, hops: int, limit: int | None = None) -> DataFrame:
+    """Distinct edges on undirected paths of 1..``hops`` hops from each seed;
+    ``edges`` is an edge table or a stored graph.
 
     An edge lies on such a path iff one of its ends is within ``hops - 1``
     hops of the seed, so the edge set is the edges incident to the reached
@@ -190,14 +187,9 @@ def network(seeds: DataFrame, edges: DataFrame, hops: int, limit: int | None = N
     month) are kept and ``truncated`` says whether more existed. Each reached
     node first keeps its own first ``limit + 1`` incident edges: the global
     first ``limit + 1`` of a seed are among them, so the cut is exact."""
-    e = edges.select("type", "src", "dst", "reference_month")
-    if checkpoint:
-        # the edge table feeds every hop and the incidence join: stored once as
-        # Parquet, of which each reader takes the columns it needs
-        from tessera.session import stage_table
-        e = stage_table(e, "edges")
-    near = reach(seeds, e, hops - 1, checkpoint)
-    inc = near.join(adjacency(e), "node").drop("nbr")
+    graph = EdgeTable(edges) if isinstance(edges, DataFrame) else edges
+    near = reach(seeds, graph, hops - 1)
+    inc = graph.neighbours(near).select("seed", "node", "type", "src", "dst", "reference_month")
     if limit is None:
         return inc.drop("node").dropDuplicates(["seed", "type", "src", "dst", "reference_month"]).withColumn(
             "truncated", F.lit(False))
@@ -217,14 +209,14 @@ def _depth(depth: int) -> int:
     return depth
 
 
-def company_network(seed_ids: DataFrame, edges: DataFrame, depth: int = 1, **kw) -> DataFrame:
+def company_network(seed_ids: DataFrame, edges, depth: int = 1, **kw) -> DataFrame:
     """GRA-6: company network; depth d (from 1 on) means 2d - 1 hops."""
     d = _depth(depth)
     seeds = seed_ids.select(F.concat(F.lit("C:"), F.col("cnpj_basico")).alias("seed"))
     return network(seeds, edges, 2 * d - 1, **kw)
 
 
-def person_network(person_ids: DataFrame, edges: DataFrame, depth: int = 1, **kw) -> DataFrame:
+def person_network(person_ids: DataFrame, edges, depth: int = 1, **kw) -> DataFrame:
     """GRA-7: person network; depth d means d hops."""
     d = _depth(depth)
     seeds = person_ids.select(F.concat(F.lit("P:"), F.col("pessoa_id")).alias("seed"))
@@ -246,36 +238,45 @@ def network_metadata(net: DataFrame, limit: int | None = None) -> DataFrame:
 # GRA-9 graph search
 # --------------------------------------------------------------------------
 
+def pick_person(people: DataFrame, mask: str, name: str | None = None) -> DataFrame:
+    """GRA-7: the person that a masked id names, or a (masked id, name) pair;
+    of several the first by name."""
+    found = people.filter(F.col("cpf_cnpj_socio") == C.norm_mask(F.lit(mask)))
+    if name is not None:
+        found = found.filter(F.col("nome") == name)
+    return found.orderBy("nome", "pessoa_id").limit(1)
+
+
 def graph_search(company_nodes_df: DataFrame, person_nodes_df: DataFrame, edges: DataFrame, q: str,
                  k: int = 20) -> DataFrame:
+    """GRA-9 over node and edge tables: see ``search_nodes``."""
+    hits = search_nodes(node_table(company_nodes_df, person_nodes_df), q)
+    deg = (edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
+           .join(hits.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
+    out = hits.join(deg, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return out.orderBy("rank", "label", "node").limit(k)
+
+
+def node_table(companies: DataFrame, people: DataFrame) -> DataFrame:
+    """All nodes in one shape: ``node, kind, key, label``."""
+    return companies.select(F.concat(F.lit("C:"), "cnpj_basico").alias("node"), F.lit("empresa").alias("kind"), F.col("cnpj_basico").alias("key"),
+                            F.col("razao_social").alias("label")).unionByName(
+        people.select(F.concat(F.lit("P:"), "pessoa_id").alias("node"), F.lit("pessoa").alias("kind"), F.lit(None).cast("string").alias("key"), F.col("nome").alias("label")))
+
+
+def search_nodes(nodes: DataFrame, q: str) -> DataFrame:
     """GRA-9 + SET-6 + SRT-5: companies whose root starts with the typed
     digits (all of them: 14 digits match no root) or whose name contains the
     text, persons by name; the text is upper-cased and accent-stripped, blank
-    text matches no name. Rank exact id, prefix, other, then label; degree per
-    match."""
+    text matches no name. ``node, kind, label, rank``: exact id, prefix, other."""
     digits = "".join(ch for ch in q if ch in "0123456789")
     text = strip_accents_upper(q)
-
-    def holds(name: str):
-        return F.upper(F.coalesce(F.col(name), F.lit(""))).contains(text) if text else F.lit(False)
-
-    comp_cond = holds("razao_social")
+    key = F.coalesce("key", F.lit(""))
+    found = F.upper(F.coalesce("label", F.lit(""))).contains(text) if text else F.lit(False)
     if digits:
-        comp_cond = comp_cond | F.col("cnpj_basico").startswith(digits)
-    comp = company_nodes_df.filter(comp_cond).select(
-        F.concat(F.lit("C:"), "cnpj_basico").alias("node"), F.lit("empresa").alias("kind"),
-        F.col("razao_social").alias("label"),
-        (F.when(F.lit(bool(digits)) & (F.col("cnpj_basico") == digits), 0)
-         .when(F.lit(bool(digits)) & F.col("cnpj_basico").startswith(digits), 1)
-         .otherwise(2)).alias("rank"))
-    pers = person_nodes_df.filter(holds("nome")).select(
-        F.concat(F.lit("P:"), "pessoa_id").alias("node"), F.lit("pessoa").alias("kind"),
-        F.col("nome").alias("label"), F.lit(2).alias("rank"))
-    hits = comp.unionByName(pers)
-    deg = (edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))
-           .join(hits.select("node"), "node", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
-    out = hits.join(deg, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return out.orderBy("rank", "label", "node").limit(k)
+        found = found | key.startswith(digits)
+    rank = F.when(F.lit(bool(digits)) & (key == digits), 0).when(F.lit(bool(digits)) & key.startswith(digits), 1).otherwise(2)
+    return nodes.filter(found).select("node", "kind", "label", rank.alias("rank"), *[c for c in ("degree",) if c in nodes.columns])
 
 
 # --------------------------------------------------------------------------

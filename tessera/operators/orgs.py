@@ -29,6 +29,66 @@ def flatten_orgs(raw: DataFrame) -> DataFrame:
         redact_secrets(F.col("payload")).alias("payload"))
 
 
+# fixed values: words of the platform's flags
+_YES, _NO = ["1", "true", "t", "yes", "y", "sim"], ["0", "false", "f", "no", "n", "nao", "não"]
+
+
+#: blanks of any kind: the space separators and the control blanks
+_BLANKS = C.ZS_CHARS + "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
+
+
+def _text(c):
+    """Trimmed of blanks of any kind; nothing left is NULL."""
+    return F.nullif(F.trim(c, F.lit(_BLANKS)), F.lit(""))
+
+
+def _flag(c):
+    t = F.lower(_text(c))
+    return F.when(t.isin(_YES), True).when(t.isin(_NO), False)
+
+
+def _whole(c, typ: str = "int"):
+    """Whole numbers only ('12.0' and 'true' are none)."""
+    t = _text(c)
+    return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast(typ))
+
+
+def _json_or_empty(c):
+    """A JSON value as text; one that is missing or empty counts as no items."""
+    return F.when(c.isNull() | c.isin("", "{}", "[]", "0", "false", '""'), F.lit("[]")).otherwise(c)
+
+
+def organization_rows(actors: DataFrame) -> DataFrame:
+    """PRJ-24 + NST-1 + NST-8: the 52 columns of an organization snapshot, from
+    the nested actors of ``read_org_payload``."""
+    from tessera.sources.org_payload import COLLECTIONS
+
+    def of_collection(i: int):
+        return F.element_at(F.create_map(*[F.lit(x) for c, v in COLLECTIONS.items() for x in (c, v[i])]), F.col("collection"))
+
+    a, address, city, state = (F.col(x) for x in ("actor", "actor.address", "actor.address.city", "actor.address.city.state"))
+    text, whole = lambda *names: [_text(a[n]).alias(n) for n in names], lambda *names, typ="smallint": [_whole(a[n], typ).alias(n) for n in names]
+    return actors.select(
+        "manifest_id", F.col("collection").alias("source_collection"), _whole(a["id"], "bigint").alias("source_record_id"), of_collection(0).alias("entity_kind"),
+        *whole("category_id", typ="int"), of_collection(1).alias("category_label"), a["linkable_type"].alias("source_linkable_type"),
+        _whole(a["linkable_id"], "bigint").alias("source_linkable_id"),
+        F.coalesce(_text(a["name"]), F.concat(F.lit("source-record-"), F.coalesce(a["id"], F.lit("None")))).alias("name"),
+        *text("acronym", "corporate_name"), C.digits(a["cnpj"], 14).alias("cnpj"),
+        *text("telephone", "email", "site", "instagram", "linkedin", "logo_path", "institution"), _flag(a["active"]).alias("active"),
+        *whole("company_status_id", "cnae_id", typ="int"), _flag(a["graduated"]).alias("graduated"), *whole("founding_year"),
+        C.parse_date(a["founding_date"]).alias("founding_date"),
+        *whole("termination_year", "pre_acceleration_year", "acceleration_year", "pre_incubation_year", "start_incubation_year", "end_incubation_year"),
+        _flag(a["spin_off"]).alias("spin_off"), clean_array(F.coalesce(a["expertise_areas"], F.array().cast("array<string>"))).alias("expertise_area_codes"),
+        *[_json_or_empty(a[n]).alias(n) for n in ("affiliated_societies_cities", "motivations_for_opening", "main_participation_aspects")],
+        *whole("meet_way_id", typ="int"), C.digits(address["postcode"], 8).alias("postcode"), _text(address["street"]).alias("street"),
+        _text(address["number"]).alias("street_number"), _text(address["complement"]).alias("complement"),
+        _text(address["neighborhood"]).alias("neighborhood"), C.digits(city["id"], 7).alias("city_ibge_code"), _text(city["name"]).alias("city_name"),
+        C.digits(state["id"], 2).alias("state_ibge_code"), _text(state["name"]).alias("state_name"), _text(state["uf"]).alias("state_abbrev"),
+        _text(address["latitude"]).try_cast("decimal(10,7)").alias("latitude"), _text(address["longitude"]).try_cast("decimal(10,7)").alias("longitude"),
+        C.parse_ts(a["created_at"]).alias("source_created_at"), C.parse_ts(a["updated_at"]).alias("source_updated_at"),
+        redact_secrets(F.col("raw")).alias("raw_payload"))
+
+
 def clean_array(c):
     """NST-1: trim items, drop blanks."""
     return F.filter(F.transform(c, lambda x: C.utrim(x)), lambda x: x.isNotNull() & (x != ""))
@@ -110,6 +170,11 @@ def validation_summary(rows: DataFrame) -> DataFrame:
                     F.count_if(F.col("status") == "ok").alias("ok"))
 
 
+def divergence_pct(summary: DataFrame) -> DataFrame:
+    """AGG-19: issues as a percentage of all records, 0 of none."""
+    return summary.select("total", "issues", F.when(F.col("total") > 0, F.col("issues") / F.col("total") * 100).otherwise(F.lit(0.0)).alias("divergence_pct"))
+
+
 def top_cities(rows: DataFrame, col: str, k: int = 10) -> DataFrame:
     """AGG-11: top-k cities by organizations (ties by name)."""
     return rows.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("cidade")) \

@@ -104,6 +104,24 @@ def processing_summary(m: DataFrame) -> DataFrame:
         F.sum("rows_loaded_postgres").alias("rows_loaded"))
 
 
+def live_status(m: DataFrame, month: str | None = None) -> DataFrame:
+    """AGG-15: per month and type of the two big files, how far they are."""
+    f = m.filter(F.col("file_type").isin("empresas", "estabelecimentos"))
+    f = f.filter(F.col("reference_month") == month) if month else f
+    return f.groupBy("reference_month", "file_type").agg(
+        F.count(F.lit(1)).alias("total"), F.count("extracted_at").alias("extracted"), F.count("transformed_at").alias("transformed"),
+        F.count("loaded_postgres_at").alias("loaded_pg"), F.count("loaded_neo4j_at").alias("loaded_neo4j"),
+        F.count_if(F.col("processing_status") == "failed").alias("failed"), F.coalesce(F.sum("rows_transformed"), F.lit(0)).alias("rows_transformed"),
+        F.coalesce(F.sum("rows_loaded_postgres"), F.lit(0)).alias("rows_pg"))
+
+
+def size_report(m: DataFrame) -> DataFrame:
+    """AGG-15: files and bytes per month, and in total."""
+    size = F.coalesce(F.sum("file_size_bytes"), F.lit(0))
+    return m.rollup("reference_month").agg(F.count(F.lit(1)).alias("file_count"), size.alias("total_bytes"), F.round(size / 1024.0 ** 3, 2).alias("total_gb")).select(
+        F.coalesce("reference_month", F.lit("total")).alias("reference_month"), "file_count", "total_bytes", "total_gb")
+
+
 def backfill_months(m: DataFrame, min_files: int = 10) -> DataFrame:
     """AGG-16: months with at least ``min_files`` company and establishment
     files pending (pivot by type)."""

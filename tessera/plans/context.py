@@ -81,26 +81,51 @@ class Inputs:
                                       self.cnaes, self.naturezas)
 
     def stored_view(self, kind: str) -> DataFrame:
-        """SNK-9: a search view (``active`` or ``inactive``) as a stored table,
-        built by the first request of an application and read by the others;
-        ``refresh_views`` builds it anew."""
-        from tessera.sources.sinks import ensure_stage
-        return ensure_stage(self.spark, self._view_path(kind), lambda: self._view(kind))
+        """SNK-9: a view (``active``, ``inactive``, ``patents`` or the enriched
+        funding ``records``) as a stored table, built by the first request and
+        read by the others until an input changes; ``refresh_views`` builds
+        it anew beside the served version."""
+        return self._stored(kind).read(lambda: self._view(kind))
 
-    def refresh_views(self) -> None:
-        """Replace both stored search views by what the tables hold now."""
-        for kind in ("active", "inactive"):
-            self._view(kind).write.mode("overwrite").option("compression", "zstd").parquet(self._view_path(kind))
+    def refresh_views(self, *kinds: str) -> None:
+        """Replace stored views by what the tables hold now."""
+        for kind in kinds or ("active", "inactive", "patents"):
+            self._stored(kind).refresh(self._view(kind))
 
     def _view(self, kind: str) -> DataFrame:
+        if kind == "records":
+            return self._enriched()
+        if kind == "patents":
+            return self.patent_view
         view = self.active_view if kind == "active" else self.inactive_view
         # ordered by id, so that an id or prefix reads few files and row groups
         return view.repartitionByRange("cnpj_14").sortWithinPartitions("cnpj_14")
 
-    def _view_path(self, kind: str) -> str:
+    @cached_property
+    def _stored_root(self) -> str:
+        """Where tables derived from these inputs are kept: by application,
+        month, and the files of the inputs as they are now."""
         from tessera.session import ensure_checkpoint_dir
-        tables = hashlib.sha1(f"{self.spark.sparkContext.applicationId}|{self.sf_dir}|{self.month}".encode()).hexdigest()[:16]
-        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/search-views/{tables}/{kind}"
+        from tessera.sources.stored import input_version
+        tables = [f"{self.sf_dir}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")]
+        version = input_version(self.spark, tables)
+        key = hashlib.sha1(f"{self.spark.sparkContext.applicationId}|{self.sf_dir}|{self.month}|{version}".encode()).hexdigest()[:16]
+        return f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/stored/{key}"
+
+    def _stored(self, kind: str):
+        from tessera.sources.stored import StoredTable
+        return StoredTable(self.spark, f"{self._stored_root}/{kind}")
+
+    @property
+    def graph(self):
+        """SNK-11: the ownership graph as stored tables, built by the first
+        request."""
+        from tessera.operators import graph as G
+        from tessera.operators.graph_store import GraphStore
+        store = GraphStore(self.spark, f"{self._stored_root}/graph")
+        if not store.ready():
+            store.write(G.ownership_edges(self.partners), G.company_nodes(self.companies, self.partners), G.person_nodes(self.partners))
+        return store
 
     # funding -----------------------------------------------------------
     def funding(self, source: str) -> DataFrame:
@@ -111,16 +136,17 @@ class Inputs:
         from tessera.operators import funding as FU
         return FU.read_disbursements(P.raw_disbursement(self.spark, self.sf_dir, source), source)
 
-    @cached_property
+    @property
     def records(self) -> DataFrame:
-        """SET-1 + JOIN-7: enriched project records."""
+        """SET-1 + JOIN-7: enriched project records, stored: a request reads
+        the columns it needs."""
+        return self.stored_view("records")
+
+    def _enriched(self) -> DataFrame:
         from tessera.operators import funding as FU
         recs = FU.project_records(self.funding("direct"), self.funding("credit"),
                                   self.funding("equity"), self.funding("audiovisual"))
-        # the enriched records feed several aggregates of one request (and
-        # scalar subqueries of the overview): a stage table, read with pruning
-        from tessera.session import stage_table
-        return stage_table(FU.enrich_records(recs, self.active_view, self.inactive_view, self.tiered_view), "records")
+        return FU.enrich_records(recs, self.stored_view("active"), self.stored_view("inactive"))
 
     @cached_property
     def tiered_view(self) -> DataFrame:

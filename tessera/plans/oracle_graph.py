@@ -58,6 +58,8 @@ CTES["g_seed_companies"] = """
 SELECT 'C:' || cnpj_basico AS seed FROM mv_active ORDER BY capital_social DESC, cnpj_basico LIMIT 5
 """
 
+CTES["g_all_companies"] = "SELECT 'C:' || cnpj_basico AS seed FROM g_company_nodes"
+
 CTES["g_seed_persons"] = """
 SELECT 'P:' || pessoa_id AS seed FROM g_person_nodes WHERE nome ILIKE '%SOCIO 11%'
 """

@@ -53,6 +53,16 @@ SELECT id, manifest_id, collection, record_id, COALESCE({_norm('nome')}, {_norm(
 FROM raw_orgs
 """
 
+CTES["org_named"] = """
+SELECT * REPLACE (CASE collection WHEN 'incubadoras' THEN 'incubators' WHEN 'aceleradoras' THEN 'accelerators'
+    WHEN 'parques' THEN ['operationParks', 'implantationParks', 'planningParks'][rid % 3 + 1]
+    WHEN 'empresas' THEN ['incubatedCompanies', 'graduatedCompanies'][rid % 2 + 1]
+    ELSE ['residentCompanies', 'acceleratedCompanies', 'others'][rid % 3 + 1] END AS collection),
+  ['App\\Models\\Incubator', 'App\\Models\\Accelerator', 'App\\Models\\Park', NULL][rid % 4 + 1] AS linkable_type,
+  CASE WHEN rid % 4 < 3 THEN (rid + 1) % 150 END AS linkable_id
+FROM (SELECT *, record_id::INTEGER AS rid FROM raw_orgs)
+"""
+
 CTES["orgs_latest"] = """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY collection, record_id
   ORDER BY collected_at DESC, id DESC) AS rn FROM orgs) t WHERE rn = 1

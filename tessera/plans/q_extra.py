@@ -109,21 +109,21 @@ SELECT identificador_socio, COUNT(*) AS rows, COUNT(DISTINCT cpf_cnpj_socio) AS
 FROM socio GROUP BY identificador_socio
 """)(lambda I: profile_kinds(I.partners))
 
+# some masks cut to their first digit: masks that several names share
 register("profile_collisions", """
-SELECT cpf_cnpj_socio, COUNT(DISTINCT nome_socio_razao_social) AS names FROM socio
-WHERE identificador_socio IN (2, 3) AND cpf_cnpj_socio IS NOT NULL GROUP BY cpf_cnpj_socio
-HAVING COUNT(DISTINCT nome_socio_razao_social) > 1
-""")(lambda I: profile_collisions(I.partners))
+SELECT mask AS cpf_cnpj_socio, COUNT(DISTINCT nome_socio_razao_social) AS names FROM (
+  SELECT *, CASE WHEN cnpj_basico[-1] IN ('0', '4', '8') THEN left(cpf_cnpj_socio, 4) ELSE cpf_cnpj_socio END AS mask FROM socio) t
+WHERE identificador_socio IN (2, 3) AND mask IS NOT NULL GROUP BY mask HAVING COUNT(DISTINCT nome_socio_razao_social) > 1
+""")(lambda I: profile_collisions(I.partners.withColumn("cpf_cnpj_socio", F.when(
+    F.right("cnpj_basico", F.lit(1)).isin("0", "4", "8"), F.left("cpf_cnpj_socio", F.lit(4))).otherwise(F.col("cpf_cnpj_socio")))))
 
 register("profile_top", """
 SELECT nome_socio_razao_social, cpf_cnpj_socio, COUNT(DISTINCT cnpj_basico) AS companies FROM socio
 WHERE identificador_socio IN (2, 3) GROUP BY 1, 2 ORDER BY companies DESC, 1, 2 LIMIT 10
 """)(lambda I: profile_top(I.partners))
 
-register("load_report", """
-SELECT COALESCE(dataset, 'total') AS dataset, COUNT(*) AS rows FROM (
-  SELECT 'patentes' AS dataset FROM pt_bib UNION ALL SELECT 'inventores' FROM pt_inventors
-  UNION ALL SELECT 'depositantes' FROM pt_depositors UNION ALL SELECT 'ipc' FROM pt_ipc) u
-GROUP BY ROLLUP (dataset)
-""")(lambda I: load_report({"patentes": I.patents, "inventores": I.patent_part("inventores"),
-                            "depositantes": I.patent_part("depositantes"), "ipc": I.patent_part("ipc")}))
+_PATENT_TABLES = {"bibliografia": "pt_bib", "conteudo": "pt_content", "inventores": "pt_inventors", "depositantes": "pt_depositors", "ipc": "pt_ipc",
+                  "despachos": "pt_dispatches", "procuradores": "pt_attorneys", "prioridades": "pt_priorities", "vinculos": "pt_links", "renumeracoes": "pt_renumberings"}
+register("load_report", "SELECT coalesce(dataset, 'total') AS dataset, count(*) AS rows FROM ("
+         + " UNION ALL ".join(f"SELECT '{n}' AS dataset FROM {t}" for n, t in _PATENT_TABLES.items()) + ") GROUP BY ROLLUP (dataset)")(
+    lambda I: load_report({n: I.patents if n == "bibliografia" else I.patent_part(n) for n in _PATENT_TABLES}))

@@ -174,26 +174,46 @@ FROM (SELECT municipality_ibge_code, total_liberado,
       FROM (SELECT *, MAX(total_liberado) OVER () AS mx FROM f_by_muni) a) b
 """)(lambda I: FU.choropleth_class(I.by_municipality, "municipality_ibge_code", "total_liberado"))
 
-register("disbursement_project", """
+_DISB_COLS = ["contrato", "ref", "parcela", "valor_liberado", "id", "titulo", "cnpj_proponente_norm", "razao_social", "match_source"]
+_COMPANY = """(SELECT * FROM (SELECT cnpj_14, razao_social, match_source,
+             row_number() OVER (PARTITION BY cnpj_14 ORDER BY tier) AS rn FROM (
+             SELECT cnpj_14, razao_social, 'active' AS match_source, 0 AS tier FROM mv_active
+             UNION ALL SELECT cnpj_14, razao_social, 'inactive', 1 FROM mv_inactive) u) y WHERE rn = 1)"""
+_DISB = """
 WITH d AS (
   SELECT f_ref AS ref, f_contract AS contrato, inst AS parcela,
          CASE WHEN inst = 1 THEN f_paid ELSE CAST(f_approved - f_paid AS DECIMAL(15,2)) END AS valor_liberado
   FROM fbase, unnest(CASE WHEN l_linenumber % 2 = 0 THEN [1, 2] ELSE [1] END) AS u(inst)
-  WHERE l_returnflag = 'R'),
-p AS (SELECT * FROM (SELECT contrato, ref, id, titulo, cnpj_proponente_norm,
-        row_number() OVER (PARTITION BY contrato, ref ORDER BY id DESC) AS rn FROM f_direct) x WHERE rn = 1)
+  WHERE {split}),
+p AS (SELECT f_contract AS contrato, f_ref AS ref, '{sheet}-' || f_contract || '-' || f_ref AS id, f_title AS titulo,
+    regexp_replace(nullif(f_cnpj, ''), '[^0-9]', '', 'g') AS cnpj_proponente_norm FROM fbase WHERE {split} AND {kept}
+  QUALIFY row_number() OVER (PARTITION BY f_contract, f_ref ORDER BY l_partkey DESC) = 1)
 SELECT d.contrato, d.ref, d.parcela, d.valor_liberado, p.id, p.titulo, p.cnpj_proponente_norm,
        c.razao_social, c.match_source
 FROM d LEFT JOIN p ON d.contrato = p.contrato AND d.ref IS NOT DISTINCT FROM p.ref
-LEFT JOIN (SELECT * FROM (SELECT cnpj_14, razao_social, match_source,
-             row_number() OVER (PARTITION BY cnpj_14 ORDER BY tier) AS rn FROM (
-             SELECT cnpj_14, razao_social, 'active' AS match_source, 0 AS tier FROM mv_active
-             UNION ALL SELECT cnpj_14, razao_social, 'inactive', 1 FROM mv_inactive) u) y WHERE rn = 1) c
-  ON p.cnpj_proponente_norm = c.cnpj_14
-""")(lambda I: FU.disbursement_project(
-    I.disbursements("direct"), I.funding("direct"), I.active_view, I.inactive_view).select(
-    "contrato", "ref", "parcela", "valor_liberado", "id", "titulo", "cnpj_proponente_norm", "razao_social",
-    "match_source"))
+LEFT JOIN {company} c ON p.cnpj_proponente_norm = c.cnpj_14
+"""
+for _key, _sheet, _split, _kept in (("disbursement_project", "direct", "l_returnflag = 'R'", "f_instrument IS NOT NULL"),
+                                    ("disbursement_project_audiovisual", "audiovisual", "l_returnflag = 'N'", "true")):
+    register(_key, _DISB.format(split=_split, sheet=_sheet, kept=_kept, company=_COMPANY))((lambda sheet: lambda I: FU.disbursement_project(
+        I.disbursements(sheet), I.funding(sheet), I.stored_view("active"), I.stored_view("inactive")).select(*_DISB_COLS))(_sheet))
+register("disbursement_project_credit", f"""
+WITH d AS (SELECT f_contract AS contrato, inst AS parcela, CASE WHEN inst = 1 THEN f_paid ELSE CAST(f_approved - f_paid AS DECIMAL(15,2)) END AS valor_liberado,
+    regexp_replace(nullif(f_cnpj, ''), '[^0-9]', '', 'g') AS cnpj_proponente_norm
+  FROM fbase, unnest(CASE WHEN l_linenumber % 2 = 0 THEN [1, 2] ELSE [1] END) AS u(inst) WHERE l_returnflag = 'A' AND l_linestatus = 'F')
+SELECT contrato, NULL::VARCHAR AS ref, parcela, valor_liberado, NULL::VARCHAR AS id, NULL::VARCHAR AS titulo, cnpj_proponente_norm, c.razao_social, c.match_source
+FROM d LEFT JOIN {_COMPANY} c ON d.cnpj_proponente_norm = c.cnpj_14
+""")(lambda I: FU.disbursement_project(I.disbursements("credit"), None, I.stored_view("active"), I.stored_view("inactive")).select(*_DISB_COLS))
+
+register("list_funding_audiovisual", """
+SELECT id, contrato, ref, uf FROM f_audiovisual WHERE titulo ILIKE '%projeto 2%' AND (contrato ILIKE '%2%' OR ref ILIKE '%2%') AND uf = 'RJ'
+""")(lambda I: FU.list_funding(I.funding("audiovisual"), q="projeto 2", fields=["titulo"], ref="2", uf="rj").select("id", "contrato", "ref", "uf"))
+register("list_funding_credit", """
+SELECT id, contrato, uf FROM f_credit WHERE proponente ILIKE '%customer%' AND contrato ILIKE '%1%' AND starts_with(cnpj_proponente_norm, '0000001')
+""")(lambda I: FU.list_funding(I.funding("credit"), q="customer", fields=["proponente"], ref="1", cnpj="00.000.01").select("id", "contrato", "uf"))
+register("list_funding_equity", """
+SELECT id, contrato, ref FROM f_equity WHERE proponente ILIKE '%customer%' AND (contrato ILIKE '%3%' OR ref ILIKE '%3%')
+""")(lambda I: FU.list_funding(I.funding("equity"), q="customer", fields=["proponente"], ref="3", uf="sp").select("id", "contrato", "ref"))
 
 register("list_funding", """
 SELECT id, contrato, ref, uf FROM f_direct

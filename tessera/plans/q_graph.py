@@ -32,36 +32,76 @@ FROM estab
 
 _NET_COLS = ["seed", "type", "src", "dst", "reference_month", "truncated"]
 
+register("belongs_to_edges", """
+SELECT DISTINCT cnpj_basico || cnpj_ordem || cnpj_dv AS cnpj_14, cnpj_basico, reference_month, 'PERTENCE_A' AS type FROM estab
+""")(lambda I: G.belongs_to_edges(I.establishments))
+
+# requests read the stored graph
 register("company_network_d1", OG.network_sql("g_seed_companies", 1))(
-    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 1).select(*_NET_COLS))
+    lambda I: G.company_network(_seed_companies(I), I.graph, 1).select(*_NET_COLS))
 register("company_network_d2", OG.network_sql("g_seed_companies", 3))(
-    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 2).select(*_NET_COLS))
+    lambda I: G.company_network(_seed_companies(I), I.graph, 2).select(*_NET_COLS))
 register("person_network_d1", OG.network_sql("g_seed_persons", 1))(
-    lambda I: G.person_network(_seed_persons(I), G.ownership_edges(I.partners), 1).select(*_NET_COLS))
+    lambda I: G.person_network(_seed_persons(I), I.graph, 1).select(*_NET_COLS))
 register("person_network_d2", OG.network_sql("g_seed_persons", 2))(
-    lambda I: G.person_network(_seed_persons(I), G.ownership_edges(I.partners), 2).select(*_NET_COLS))
+    lambda I: G.person_network(_seed_persons(I), I.graph, 2).select(*_NET_COLS))
 
 register("company_network_limit", OG.network_sql("g_seed_companies", 1, 40))(
-    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 1, limit=40).select(*_NET_COLS))
+    lambda I: G.company_network(_seed_companies(I), I.graph, 1, limit=40).select(*_NET_COLS))
 
 register("company_network_d2_limit", OG.network_sql("g_seed_companies", 3, 200))(
-    lambda I: G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 2, limit=200).select(*_NET_COLS))
+    lambda I: G.company_network(_seed_companies(I), I.graph, 2, limit=200).select(*_NET_COLS))
+
+register("network_nodes", f"""
+WITH net AS ({OG.network_sql('g_seed_companies', 3)}),
+ends AS (SELECT seed, src AS node FROM net UNION SELECT seed, dst FROM net),
+named AS (SELECT 'C:' || cnpj_basico AS node, 'empresa' AS kind, razao_social AS label FROM g_company_nodes
+          UNION ALL SELECT 'P:' || pessoa_id, 'pessoa', nome FROM g_person_nodes)
+SELECT e.seed, e.node, n.kind, n.label, (SELECT count(*) FROM g_edges x WHERE x.src = e.node) + (SELECT count(*) FROM g_edges x WHERE x.dst = e.node) AS degree
+FROM ends e JOIN named n ON n.node = e.node
+""")(lambda I: I.graph.describe(G.company_network(_seed_companies(I), I.graph, 2)))
+
+register("pick_person", """
+SELECT pessoa_id, nome FROM g_person_nodes WHERE cpf_cnpj_socio = (SELECT min(cpf_cnpj_socio) FROM g_person_nodes WHERE regexp_full_match(cpf_cnpj_socio, '\\*{3}[0-9]{6}\\*{2}'))
+ORDER BY nome, pessoa_id LIMIT 1
+""")(lambda I: _picked(I))
+
+
+def _picked(I):
+    people = G.person_nodes(I.partners)
+    mask = people.filter(F.col("cpf_cnpj_socio").rlike(r"^\*{3}\d{6}\*{2}$")).agg(F.min("cpf_cnpj_socio")).first()[0]
+    return G.pick_person(people, f" {mask} ").select("pessoa_id", "nome")
+
 
 register("graph_columns", "SELECT cnpj_basico, razao_social, natureza_juridica, porte_empresa FROM empresa")(
     lambda I: G.graph_columns(I.companies, "empresa"))
+register("graph_columns_estabelecimento", """
+SELECT cnpj_basico, cnpj_ordem, cnpj_dv, identificador_matriz_filial, nome_fantasia, situacao_cadastral, data_inicio_atividade, cnae_fiscal_principal, uf, codigo_municipio
+FROM estab
+""")(lambda I: G.graph_columns(I.establishments, "estabelecimento"))
+register("graph_columns_pessoa", "SELECT nome, cpf_cnpj_socio, identificador_socio, faixa_etaria FROM g_person_nodes")(
+    lambda I: G.graph_columns(G.person_nodes(I.partners), "pessoa"))
+register("graph_columns_socio_de", "SELECT qualificacao_socio, data_entrada_sociedade FROM g_person_edges")(
+    lambda I: G.graph_columns(G.person_edges(I.partners), "socio_de"))
 
 
-def _stored_graph(I):
+def _written_graph(I):
+    """A graph written anew, read back whole."""
+    from tessera.operators.graph_store import GraphStore
     from tessera.plans.q_io import scratch
-    path = G.write_graph(G.ownership_edges(I.partners), scratch(I.spark, "graph"))
-    seeds = _seed_companies(I).select(F.concat(F.lit("C:"), F.col("cnpj_basico")).alias("node"))
-    return G.read_neighbours(I.spark, path, seeds).select("node", "nbr", "type", "src", "dst", "reference_month")
+    store = GraphStore(I.spark, scratch(I.spark, "graph"))
+    store.write(G.ownership_edges(I.partners), G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners))
+    return store
 
 
 register("write_graph", """
-SELECT s.seed AS node, a.nbr, a.type, a.src, a.dst, a.reference_month FROM g_seed_companies s JOIN (
-  SELECT src AS node, dst AS nbr, * FROM g_edges UNION ALL SELECT dst, src, * FROM g_edges) a ON a.node = s.seed
-""")(_stored_graph)
+SELECT src AS node, dst AS nbr, type, src, dst, reference_month FROM g_edges UNION ALL SELECT dst, src, type, src, dst, reference_month FROM g_edges
+""")(lambda I: _written_graph(I).edges(I.month).select("node", "nbr", "type", "src", "dst", "reference_month"))
+register("write_graph_nodes", """
+WITH d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g_edges UNION ALL SELECT dst FROM g_edges) GROUP BY node)
+SELECT n.*, coalesce(degree, 0) AS degree FROM (SELECT 'C:' || cnpj_basico AS node, 'empresa' AS kind, cnpj_basico AS key, razao_social AS label FROM g_company_nodes
+  UNION ALL SELECT 'P:' || pessoa_id, 'pessoa', NULL, nome FROM g_person_nodes) n LEFT JOIN d USING (node)
+""")(lambda I: _written_graph(I).nodes().drop("bucket"))
 
 register("network_metadata", f"""
 WITH net AS ({OG.network_sql('g_seed_companies', 3)})
@@ -70,7 +110,7 @@ SELECT e.seed, n.nodes, e.edges, e.edges + CASE WHEN e.truncated THEN 1 ELSE 0 E
 FROM (SELECT seed, COUNT(*) AS edges, bool_or(truncated) AS truncated FROM net GROUP BY seed) e
 JOIN (SELECT seed, COUNT(DISTINCT x) AS nodes FROM (SELECT seed, src AS x FROM net UNION ALL
       SELECT seed, dst FROM net) u GROUP BY seed) n ON n.seed = e.seed
-""")(lambda I: G.network_metadata(G.company_network(_seed_companies(I), G.ownership_edges(I.partners), 2)))
+""")(lambda I: G.network_metadata(G.company_network(_seed_companies(I), I.graph, 2)))
 
 register("graph_search", """
 WITH hits AS (
@@ -83,8 +123,7 @@ deg AS (SELECT node, COUNT(*) AS degree FROM (SELECT src AS node FROM g_edges UN
         WHERE node IN (SELECT node FROM hits) GROUP BY node)
 SELECT h.node, h.kind, h.label, h.rank, COALESCE(d.degree, 0) AS degree
 FROM hits h LEFT JOIN deg d ON d.node = h.node ORDER BY h.rank, h.label, h.node LIMIT 20
-""")(lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners),
-                              G.ownership_edges(I.partners), "11"))
+""")(lambda I: I.graph.search("11"))
 
 register("graph_search_accents", """
 WITH hits AS (SELECT 'P:' || pessoa_id AS node, 'pessoa' AS kind, nome AS label, 2 AS rank FROM g_person_nodes WHERE contains(upper(nome), 'SOCIO 1')
@@ -92,10 +131,15 @@ WITH hits AS (SELECT 'P:' || pessoa_id AS node, 'pessoa' AS kind, nome AS label,
               FROM g_company_nodes WHERE contains(upper(razao_social), 'SOCIO 1') OR starts_with(cnpj_basico, '1'))
 SELECT h.*, (SELECT count(*) FROM g_edges e WHERE e.src = h.node) + (SELECT count(*) FROM g_edges e WHERE e.dst = h.node) AS degree
 FROM hits h ORDER BY rank, label, node LIMIT 20
-""")(lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners),
-                              G.ownership_edges(I.partners), "sócio 1"))
-register("graph_search_digits14", "SELECT '' AS node, '' AS kind, '' AS label, 0 AS rank, CAST(0 AS BIGINT) AS degree WHERE false")(
-    lambda I: G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners), G.ownership_edges(I.partners), "00000026000100"))
+""")(lambda I: I.graph.search("sócio 1"))
+# the 14 digits match no root; the name they stand in does
+register("graph_search_digits14", """
+SELECT 'C:' || cnpj_basico AS node, 'empresa' AS kind, razao_social AS label, 2 AS rank,
+  (SELECT count(*) FROM g_edges e WHERE e.src = 'C:' || cnpj_basico) + (SELECT count(*) FROM g_edges e WHERE e.dst = 'C:' || cnpj_basico) AS degree
+FROM g_company_nodes WHERE contains(razao_social, '000000026') ORDER BY razao_social, node LIMIT 20
+""")(lambda I: G.graph_search(
+    G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners), G.ownership_edges(I.partners), "00000026000100").unionByName(
+    G.graph_search(G.company_nodes(I.companies, I.partners), G.person_nodes(I.partners), G.ownership_edges(I.partners), "000000026")))
 
 # patent graph ---------------------------------------------------------------
 
@@ -139,13 +183,33 @@ FROM f_direct
 WHERE length(left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8)) = 8
   AND left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) IN (SELECT cnpj_basico FROM g_company_nodes)
 """)(lambda I: G.project_edges(I.funding("direct"), G.company_nodes(I.companies, I.partners))[0])
-register("executed_edges", """
-SELECT id, cnpj_basico FROM (SELECT id,
-   left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) AS prop,
-   left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) AS cnpj_basico FROM f_direct) t
-WHERE length(cnpj_basico) = 8 AND cnpj_basico <> prop
-""")(lambda I: G.project_edges(I.funding("direct").withColumn("cnpj_executor", F.col("cnpj_proponente")),
-                               G.company_nodes(I.companies, I.partners))[1])
+# every third project is executed by the company of another one of its contract
+_EXECUTED = """
+WITH p AS (SELECT id, left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) AS prop, contrato::BIGINT AS c FROM f_direct),
+x AS (SELECT id, prop, CASE WHEN c % 3 = 0 THEN lpad((c % 1500)::VARCHAR, 8, '0') WHEN c % 3 = 1 THEN prop ELSE 'x1' END AS exec FROM p)
+SELECT DISTINCT id, regexp_replace(exec, '[^0-9]', '', 'g') AS cnpj_basico FROM x
+WHERE length(regexp_replace(exec, '[^0-9]', '', 'g')) = 8 AND exec <> prop AND exec IN (SELECT cnpj_basico FROM g_company_nodes)
+"""
+
+
+def _with_executors(I):
+    c = F.col("contrato").cast("bigint")
+    other = F.concat(F.lpad((c % 1500).cast("string"), 8, "0"), F.lit("/0001-00"))
+    return I.funding("direct").withColumn("cnpj_executor", F.when(c % 3 == 0, other).when(c % 3 == 1, F.col("cnpj_proponente")).otherwise(F.lit("x1")))
+
+
+register("executed_edges", _EXECUTED)(lambda I: G.project_edges(_with_executors(I), G.company_nodes(I.companies, I.partners))[1])
+register("gq_intermediaries", f"""
+SELECT e.cnpj_basico, count(DISTINCT e.id) AS projects FROM ({_EXECUTED}) e
+WHERE e.cnpj_basico NOT IN (SELECT left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) FROM f_direct) GROUP BY e.cnpj_basico
+""")(lambda I: _intermediaries(I))
+
+
+def _intermediaries(I):
+    """GRA-18: companies that execute projects and propose none."""
+    proposed, executed = G.project_edges(_with_executors(I), G.company_nodes(I.companies, I.partners))
+    return executed.join(proposed.select("cnpj_basico").distinct(), "cnpj_basico", "left_anti").groupBy("cnpj_basico").agg(F.count_distinct("id").alias("projects"))
+
 
 # maintenance ------------------------------------------------------------------
 
@@ -164,14 +228,12 @@ FROM legacy l WHERE l.identificador_socio = 1 AND length(regexp_replace(l.cpf_cn
 def _repair(I):
     """Legacy graph: every partner with an id became a person node; the
     repair turns kind-1 persons into company edges."""
-    from tessera.functions import columns as C
     p = I.partners.filter(F.col("cpf_cnpj_socio").isNotNull() & F.col("nome_socio_razao_social").isNotNull())
     p = p.withColumn("pessoa_id", F.md5(F.concat_ws("|", "cpf_cnpj_socio", "nome_socio_razao_social")))
     nodes = p.groupBy("pessoa_id").agg(F.first("cpf_cnpj_socio").alias("cpf_cnpj_socio"),
                                        F.first("identificador_socio").alias("identificador_socio"))
     edges = p.select("pessoa_id", "cnpj_basico", "reference_month").distinct()
     new_edges, _kept = G.repair_company_persons(nodes, edges, G.company_nodes(I.companies, I.partners))
-    del C
     return new_edges
 
 
@@ -193,9 +255,9 @@ UNION ALL SELECT 'P:' || pessoa_id, 'Pessoa' FROM g_person_nodes
 
 AGE_BAND_SQL = """
 WITH paths AS (
-  SELECT s.seed, e1.src AS p FROM g_seed_companies s JOIN g_edges e1 ON e1.dst = s.seed
+  SELECT s.seed, e1.src AS p FROM g_all_companies s JOIN g_edges e1 ON e1.dst = s.seed
   UNION ALL
-  SELECT s.seed, e2.src FROM g_seed_companies s JOIN g_edges e1 ON e1.dst = s.seed JOIN g_edges e2 ON e2.dst = e1.src)
+  SELECT s.seed, e2.src FROM g_all_companies s JOIN g_edges e1 ON e1.dst = s.seed JOIN g_edges e2 ON e2.dst = e1.src)
 SELECT p.seed, n.nome, n.faixa_etaria, COUNT(*) AS empresas_vinculadas
 FROM paths p JOIN g_person_nodes n ON p.p = 'P:' || n.pessoa_id WHERE n.faixa_etaria >= 8
 GROUP BY p.seed, n.pessoa_id, n.nome, n.faixa_etaria
@@ -204,7 +266,7 @@ GROUP BY p.seed, n.pessoa_id, n.nome, n.faixa_etaria
 
 def _age_band(I):
     e = G.ownership_edges(I.partners).select("src", "dst")
-    seeds = _seed_companies(I).select(F.concat(F.lit("C:"), "cnpj_basico").alias("seed"))
+    seeds = G.company_nodes(I.companies, I.partners).select(F.concat(F.lit("C:"), "cnpj_basico").alias("seed"))
     one = seeds.join(e, e.dst == seeds.seed).select("seed", F.col("src").alias("p"), F.col("src").alias("mid"))
     two = one.join(e.withColumnRenamed("src", "p2").withColumnRenamed("dst", "mid"), "mid").select(
         "seed", F.col("p2").alias("p"))

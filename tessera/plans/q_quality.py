@@ -108,7 +108,10 @@ UNION ALL SELECT file_name, nullif(regexp_extract(file_name, '[0-9]{4}-[0-9]{2}'
 register("files_to_process", """
 SELECT * FROM manifest WHERE download_date IS NOT NULL AND processing_status <> 'loaded' AND transformed_at IS NULL
   AND reference_month = '2024-03' AND file_type = 'empresas'
-""")(lambda I: Q.files_to_process(_manifest(I), month="2024-03", file_type="empresas"))
+UNION ALL SELECT * FROM manifest WHERE processing_status <> 'loaded' AND loaded_postgres_at IS NULL
+""")(lambda I: Q.files_to_process(_manifest(I), month="2024-03", file_type="empresas").unionByName(Q.files_to_process(_manifest(I), stage="loaded")))
+register("files_to_reprocess", "SELECT * FROM manifest WHERE processing_status <> 'loaded' AND file_type = 'socios'")(
+    lambda I: Q.files_to_process(_manifest(I), file_type="socios", reprocess=True))
 
 register("is_processed", "SELECT reference_month, file_name, loaded_postgres_at IS NOT NULL AS processed FROM manifest")(
     lambda I: Q.is_processed(_manifest(I), "loaded"))
@@ -120,18 +123,38 @@ SELECT reference_month, COUNT(*) AS files, COUNT(*) FILTER (WHERE processing_sta
 FROM manifest GROUP BY reference_month
 """)(lambda I: Q.processing_summary(_manifest(I)))
 
+# over stage events: a month has one row a file and event
 register("backfill_months", """
 SELECT * FROM (SELECT reference_month,
   COUNT(*) FILTER (WHERE file_type = 'empresas') AS empresas,
   COUNT(*) FILTER (WHERE file_type = 'estabelecimentos') AS estabelecimentos
-FROM manifest WHERE processing_status = 'pending' GROUP BY reference_month) t
-WHERE empresas >= 1 AND estabelecimentos >= 1
-""")(lambda I: Q.backfill_months(_manifest(I), min_files=1))
+FROM mf_events WHERE processing_status = 'pending' GROUP BY reference_month) t
+WHERE empresas >= 10 AND estabelecimentos >= 10
+""")(lambda I: Q.backfill_months(PQ.manifest_events(I.spark, I.sf_dir)))
+
+register("live_status", """
+SELECT reference_month, file_type, count(*) AS total, count(extracted_at) AS extracted, count(transformed_at) AS transformed, count(loaded_postgres_at) AS loaded_pg,
+  count(loaded_neo4j_at) AS loaded_neo4j, count(*) FILTER (processing_status = 'failed') AS failed, coalesce(sum(rows_transformed), 0) AS rows_transformed,
+  coalesce(sum(rows_loaded_postgres), 0) AS rows_pg
+FROM manifest WHERE file_type IN ('empresas', 'estabelecimentos') GROUP BY ALL
+""")(lambda I: Q.live_status(_manifest(I)))
+
+register("size_report", """
+SELECT coalesce(reference_month, 'total') AS reference_month, count(*) AS file_count, coalesce(sum(file_size_bytes), 0) AS total_bytes,
+  round(coalesce(sum(file_size_bytes), 0) / pow(1024.0, 3), 2) AS total_gb FROM manifest GROUP BY ROLLUP (reference_month)
+""")(lambda I: Q.size_report(_manifest(I)))
 
 register("latest_downloads", """
 SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY downloaded_at DESC, id DESC) AS rn
 FROM downloads WHERE status = 'success') t WHERE rn = 1
 """)(lambda I: Q.latest_downloads(PQ.downloads(I.spark, I.sf_dir), "success"))
+register("latest_downloads_any", """
+SELECT * FROM downloads QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY downloaded_at DESC, id DESC) = 1
+""")(lambda I: Q.latest_downloads(PQ.downloads(I.spark, I.sf_dir)))
+register("latest_downloads_failed", """
+SELECT d.* FROM downloads d WHERE status = 'failed' AND NOT EXISTS (SELECT 1 FROM downloads x WHERE x.status = 'failed' AND x.dataset = d.dataset
+  AND (x.downloaded_at > d.downloaded_at OR (x.downloaded_at = d.downloaded_at AND x.id > d.id)))
+""")(lambda I: Q.latest_downloads(PQ.downloads(I.spark, I.sf_dir), "failed"))
 
 register("change_history", """
 SELECT dataset, id, downloaded_at, checksum, lag(checksum) OVER w AS previous_checksum,

@@ -274,7 +274,9 @@ def raw_funding(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
         cols = ["f_instrument", F.concat(F.lit("Chamada "), _s(F.col("l_partkey") % 20)), "f_ref", "f_contract",
                 "f_signed", "f_signed", "f_title", "c_name", "f_cnpj", "c_name", "f_city", "f_uf",
                 "f_approved", "f_status", F.lit(0.0), F.lit(0.0), "f_paid", e, F.lit(0.0), F.lit(0.0)]
-    return b.select(*[(F.col(x) if isinstance(x, str) else x).alias(f"c{i}") for i, x in enumerate(cols)])
+    row = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey")
+    return b.select(row.alias("_row"),
+                    *[(F.col(x) if isinstance(x, str) else x).alias(f"c{i}") for i, x in enumerate(cols)])
 
 
 def raw_disbursement(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
@@ -463,3 +465,30 @@ def raw_ipc_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_scalars(ipc, last).filter(F.col("simbolo") != F.col("_mx")).select(
         "simbolo", F.left(F.col("simbolo"), F.lit(1)).alias("secao"), F.left(F.col("simbolo"), F.lit(3)).alias("classe"),
         F.concat(F.lit("Title of "), F.col("simbolo")).alias("titulo_en"), F.lit("2024.01").alias("edition"))
+
+
+def _box(x0, y0, x1, y1):
+    """A ring around a box, as coordinate pairs."""
+    return F.array(*[F.array(x, y) for x, y in [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]])
+
+
+def geo_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The national municipality frame: codes as numbers, names with blanks,
+    geometry as GeoJSON. Every second town has two parts, the first with a
+    hole; the others are single polygons."""
+    m = geo_muni(spark, sf_dir).withColumn("k", F.substring("codigo", 3, 5).cast("int") - 1)
+    x, y = F.col("longitude") - 1, F.col("latitude") - 2
+    two = F.array(F.array(_box(x, y, x + 1.5, y + 4), _box(x + 0.5, y + 1, x + 1, y + 2)), F.array(_box(x + 1.625, y, x + 2, y + 1)))
+    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), two.alias("coordinates")))
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(_box(x, y, x + 2, y + 4)).alias("coordinates")))
+    return m.select("k", F.col("codigo").cast("double").alias("code_muni"), F.concat(F.lit("  "), "nome", F.lit(" ")).alias("name_muni"),
+                    F.lower("uf").alias("abbrev_state"), F.col("codigo_uf").cast("int").alias("code_state"), F.when(F.col("k") % 2 == 0, many).otherwise(one).alias("geometry"))
+
+
+def city_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pid, x, y, uf``: one point an event, half of them in one town."""
+    ev, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
+    k = F.when(F.col("event_id") % 2 == 0, F.lit(7)).otherwise(F.col("user_id") % 25)
+    j = ev.withColumn("_k", k).join(F.broadcast(n), F.col("_k") == F.col("n_nationkey"))
+    return j.select(F.col("event_id").alias("pid"), ((F.col("_k") * 2 - 70).cast("double") + F.pmod("value", F.lit(2.0))).alias("x"),
+                    ((F.col("n_regionkey") * 4 - 30).cast("double") + F.pmod(F.col("value") * 7, F.lit(4.0))).alias("y"), _uf_of_region(F.col("n_regionkey")).alias("uf"))

@@ -75,3 +75,36 @@ def linked_orgs(orgs: DataFrame) -> DataFrame:
     model = (F.when(rid % 4 == 0, F.lit("App\\Models\\Incubator")).when(rid % 4 == 1, F.lit("App\\Models\\Accelerator"))
              .when(rid % 4 == 2, F.lit("App\\Models\\Park")))
     return orgs.withColumns({"collection": name, "linkable_type": model, "linkable_id": F.when(model.isNotNull(), ((rid + 1) % 150).cast("string"))})
+
+
+def raw_actors(orgs: DataFrame) -> DataFrame:
+    """``manifest_id, collection, raw``: the platform's actors as JSON texts,
+    from ``raw_orgs`` rows: nested address, city and state, numbers as numbers
+    or texts, blanks, a foreign collection, and a key in every 50th."""
+    o = linked_orgs(orgs)
+    u, e = F.col("record_id").cast("int"), F.col("id")
+    iso = F.date_format("collected_at", "yyyy-MM-dd'T'HH:mm:ss.000000'Z'")
+    state = F.struct((u % 90).alias("id"), F.col("estado").alias("name"), F.col("uf"))
+    city = F.struct((F.lit(1_000_000) + u).alias("id"), F.col("cidade").alias("name"), state.alias("state"))
+    address = F.struct(F.concat(_s(u % 99_999), F.lit("-00")).alias("postcode"), F.concat(F.lit(" Rua "), _s(u % 300)).alias("street"), (u % 2000).alias("number"),
+                       F.when(u % 3 == 0, F.lit("  ")).otherwise(F.lit("Sala 1")).alias("complement"), F.lit("Centro").alias("neighborhood"),
+                       _s(F.col("latitude")).alias("latitude"), F.when(u % 17 == 0, F.lit("west")).otherwise(_s(F.col("longitude"))).alias("longitude"), city.alias("city"))
+
+    def turn(*values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (u % len(values) + 1).cast("int"))
+
+    actor = F.struct(
+        u.alias("id"), F.when(u % 9 > 0, u % 9).alias("category_id"), F.col("linkable_type"), F.col("linkable_id"),
+        F.when(u % 10 == 0, F.lit("  ")).otherwise(F.col("nome")).alias("name"), F.col("sigla").alias("acronym"), F.col("razao_social").alias("corporate_name"), F.col("cnpj"),
+        F.concat(F.lit("55"), _s(u)).alias("telephone"), F.concat(_s(u), F.lit("@org.br ")).alias("email"), turn("", "https://org.br/").alias("site"),
+        turn("a", None, "\t").alias("instagram"), F.lit("in").alias("linkedin"), F.lit("logo.png").alias("logo_path"), turn("UFX", None).alias("institution"),
+        turn("true", "sim", "não", "x", "0").alias("active"), (u % 7).alias("company_status_id"), turn("12", "12.5", " 7 ", "").alias("cnae_id"),
+        (u % 2 == 0).alias("graduated"), (F.lit(1990) + u % 30).alias("founding_year"), turn("05/03/2019", "2020-02-29", "2019-02-29", "").alias("founding_date"),
+        turn("2021", None).alias("termination_year"), (F.lit(2000) + u % 9).alias("pre_acceleration_year"), turn("2001", "n/a").alias("acceleration_year"),
+        turn(None, "2002").alias("pre_incubation_year"), F.lit("2003").alias("start_incubation_year"), F.lit("99999").alias("end_incubation_year"), (u % 4 == 1).alias("spin_off"),
+        F.when(u % 8 > 0, F.col("areas")).alias("expertise_areas"), F.when(u % 2 == 0, F.array(F.struct((u % 5).alias("id")))).alias("affiliated_societies_cities"),
+        F.array().cast("array<string>").alias("motivations_for_opening"), F.when(u % 3 == 1, F.array(F.lit("a"))).alias("main_participation_aspects"), (u % 3).alias("meet_way_id"),
+        F.when(e % 9 > 0, address).alias("address"), iso.alias("created_at"), F.when(u % 6 > 0, iso).alias("updated_at"),
+        # a field that no column is made for
+        F.when(e % 50 == 0, F.concat(F.lit("AIza"), F.lpad(_s(e), 35, "x"))).alias("api"))
+    return o.select("manifest_id", "collection", F.to_json(actor).alias("raw"))

@@ -1,5 +1,5 @@
-"""File sources: positional registry dumps, header patent CSVs, organization
-JSON payloads, geography tables. All text is read as STRING with an
+"""File sources: positional registry dumps, header patent CSVs, geography
+tables (organization payloads: ``org_payload``). All text is read as STRING with an
 explicit schema (never inferred) and typed by the cleaning jobs."""
 
 from __future__ import annotations
@@ -59,15 +59,6 @@ def read_patent_csv(spark: SparkSession, path: str, encoding: str | None = None)
     return out.unionByName(read(rest, "UTF-8"), allowMissingColumns=True) if rest else out
 
 
-def read_org_payload(spark: SparkSession, path: str, collections: list[str]) -> DataFrame:
-    """SRC-10 + NST-4: line-delimited JSON, one actor a line, in folders by
-    run (``manifest_id``) and ``collection`` -> one row per actor with its
-    collection name."""
-    raw = spark.read.json(path).filter(F.col("collection").isin(collections))
-    fields = [c for c in raw.columns if c not in ("manifest_id", "collection")]
-    return raw.select("collection", F.struct(*fields).alias("actor"))
-
-
 # fixed values: accepted column names for geography inputs, first match wins
 GEO_FALLBACKS = {"codigo": ["codigo", "code", "cd_mun", "cd_uf", "id"],
                  "nome": ["nome", "name", "nm_mun", "nm_uf"],

@@ -10,26 +10,18 @@ whatever has arrived and stops.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.common import first_by
-from tessera.session import path_exists
-
-
-#: key buckets of an upserted table: a batch rewrites only those it touches
-BUCKETS = 64
-
-
-def _bucket(keys: list[str], n: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+from tessera.sources.keyed import BUCKETS, KeyedTable
 
 
-def read_upserted(spark: SparkSession, table_dir: str) -> DataFrame | None:
+def read_upserted(spark: SparkSession, table_dir: str, schema, keys: list[str], order: list) -> DataFrame | None:
     """The rows of an upserted table, or None before its first batch."""
-    if not path_exists(spark, table_dir):
-        return None
-    return spark.read.parquet(table_dir).drop("bucket")
+    table = KeyedTable(spark, table_dir, schema, keys, order)
+    return table.read() if table.exists() else None
 
 
 def stream_dumps(spark: SparkSession, src_dir: str, schema, clean, out_path: str, checkpoint: str,
@@ -57,23 +49,14 @@ def stream_keyed_latest(spark: SparkSession, src_dir: str, schema, keys: list[st
     """STR-2 / STR-3: arriving rows upserted into a keyed table where the
     newest row per key wins (a late row older than the stored one loses).
 
-    The table is plain Parquet partitioned by key bucket. A batch reads and
-    dynamically overwrites only the buckets its keys fall in; a replayed batch
-    meets its own rows and writes the same result again. Keys are taken to be
-    unique to one stream: one writer a table."""
+    A batch is written as a slice of its own, named by the stream's checkpoint
+    and the epoch; a replayed batch replaces that slice and nothing else, so a
+    driver that dies while writing loses no stored row. See ``KeyedTable``."""
     stream = spark.readStream.schema(schema).format(fmt).load(src_dir)
+    name = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = df.withColumn("bucket", _bucket(keys, buckets)).persist()
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        if touched:
-            both = new
-            if path_exists(df.sparkSession, table_dir):
-                held = df.sparkSession.read.schema(new.schema).parquet(table_dir).filter(F.col("bucket").isin(touched))
-                both = held.unionByName(new)
-            (first_by(both, keys, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket").parquet(table_dir))
-        new.unpersist()
+        KeyedTable(df.sparkSession, table_dir, schema, keys, order, buckets).put(df, f"{name}-{epoch:010d}")
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -108,26 +108,157 @@ def test_read_errors_rise_and_never_overwrite(spark, tmp_path):
     assert not S.month_loaded(spark, str(tmp_path / "none"), "2024-01")
 
 
-def test_upsert_rewrites_touched_buckets_and_survives_a_replay(spark, tmp_path):
+def test_keyed_table_survives_a_dying_writer_and_replays(spark, tmp_path, monkeypatch):
+    from tessera.sources import keyed
+    monkeypatch.setattr(keyed, "SLICES", 3)
     src, table = tmp_path / "src", str(tmp_path / "t")
-    schema = "k string, v long"
+    schema = spark.createDataFrame([], "k string, v long").schema
+    order = [F.col("v").desc()]
     def land(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-    def run(checkpoint):
-        stream_keyed_latest(spark, str(src), spark.createDataFrame([], schema).schema, ["k"], [F.col("v").desc()], table, str(tmp_path / checkpoint), buckets=8)
-        return {r.k: r.v for r in read_upserted(spark, table).collect()}
-    assert read_upserted(spark, table) is None
+    def held():
+        got = read_upserted(spark, table, schema, ["k"], order)
+        return got and {r.k: r.v for r in got.collect()}
+    def run(checkpoint="c1"):
+        stream_keyed_latest(spark, str(src), schema, ["k"], order, table, str(tmp_path / checkpoint), buckets=8)
+        return held()
+    assert held() is None
     land([(f"k{i}", 1) for i in range(20)])
-    assert run("c1") == {f"k{i}": 1 for i in range(20)}
+    first = {f"k{i}": 1 for i in range(20)}
+    assert run() == first
+    # the writer dies with its slice half written: what was stored is there, the replay brings the batch
     land([("k3", 5), ("new", 2)])
-    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/part-*")}
-    now = run("c1")
-    assert now == {f"k{i}": 1 for i in range(20)} | {"k3": 5, "new": 2}
-    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").glob("bucket=*/part-*")}
-    assert len(set(before) & set(after)) >= len(before) - 2
-    assert run("c2") == now  # all batches again
+    put = keyed.KeyedTable.put
+    def dies(self, df, name):
+        put(self, df, name)
+        gone = next((tmp_path / "t" / "slices" / name).glob("bucket=*/*.parquet"))
+        gone.unlink()
+        (tmp_path / "t" / "slices" / name / "_SUCCESS").unlink()
+        raise RuntimeError("killed")
+    with monkeypatch.context() as m:
+        m.setattr(keyed.KeyedTable, "put", dies)
+        with pytest.raises(Exception):
+            run()
+    assert held() == first
+    now = first | {"k3": 5, "new": 2}
+    assert run() == now
+    assert run("c2") == now  # all batches again, by another stream
     land([("k3", 4)])  # a late row loses
-    assert run("c1") == now
+    assert run() == now
+    for v in range(6, 12):
+        land([("k3", v), (f"n{v}", v)])
+        now |= {"k3": v, f"n{v}": v}
+        assert run() == now
+    bases = sorted(p.name for p in (tmp_path / "t" / "base").iterdir())
+    assert bases and len(list((tmp_path / "t" / "slices").iterdir())) <= 8
+    # a compaction that dies between its two tables does not count
+    reader = read_upserted(spark, table, schema, ["k"], order)
+    KT = keyed.KeyedTable(spark, table, schema, ["k"], order, 8)
+    KT.put(spark.createDataFrame([("k0", 99)], schema), "x-1")
+    KT.compact()
+    newest = sorted((tmp_path / "t" / "base").iterdir())[-1]
+    (newest / "slices" / "_SUCCESS").unlink()
+    assert {r.k: r.v for r in reader.collect()} == now
+    assert held() == now | {"k0": 99}
+
+
+def test_a_reader_finishes_with_the_old_version_of_a_stored_table(spark, tmp_path):
+    from tessera.sources.stored import StoredTable, input_version
+    t = StoredTable(spark, str(tmp_path / "view"))
+    assert t.read(lambda: spark.range(10)).count() == 10
+    opened = t.read(lambda: None)
+    t.refresh(spark.range(100, 105))
+    assert sorted(r.id for r in opened.collect()) == list(range(10))
+    assert sorted(r.id for r in t.read(lambda: None).collect()) == list(range(100, 105))
+    unfinished = t.next_path()
+    spark.range(3).write.parquet(unfinished)
+    (tmp_path / "view" / unfinished.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    assert t.read(lambda: None).count() == 5
+    t.refresh(spark.range(1))
+    assert len(t.versions()) == 2 and t.read(lambda: None).count() == 1
+    before = input_version(spark, [str(tmp_path / "view")])
+    t.refresh(spark.range(2))
+    assert input_version(spark, [str(tmp_path / "view")]) != before
+
+
+def test_last_sheet_row_wins_among_equal_keys(spark):
+    from tessera.operators import funding as FU
+    from tessera.operators.registry import SEARCH_COLUMNS
+    views = spark.createDataFrame([], ", ".join(f"{c} string" for c in sorted(set(SEARCH_COLUMNS) | set(FU.LOOKUP_COLS))))
+    disb = spark.createDataFrame([("c", None, 1), ("d", "2", 1)], "contrato string, ref string, parcela int")
+    projects = spark.createDataFrame([("c", None, "z", "old", None, 5), ("c", None, "a", "new", None, 9)],
+                                     "contrato string, ref string, id string, titulo string, cnpj_proponente_norm string, row_no long")
+    got = {r.contrato: r.titulo for r in FU.disbursement_project(disb, projects, views, views).collect()}
+    assert got == {"c": "new", "d": None}
+
+
+def test_cells_of_a_hole_and_of_a_crowded_town(spark):
+    from tessera.operators import geo as GEO
+    ring = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+    parts = [[ring(0.0, 0.0, 5.0, 5.0), ring(1.3, 1.3, 3.7, 3.7)], [ring(6.1, 0.0, 7.2, 0.9)]]
+    polys = spark.createDataFrame([("a", parts)], "codigo string, parts array<array<array<struct<x: double, y: double>>>>")
+    cells = GEO.polygon_cells(polys).collect()
+    assert any(c.inner and c.level == 0 for c in cells) and not any(c.inner and c.edges for c in cells)
+    assert not any(c.level == 0 and (c.cx, c.cy) == (2, 2) for c in cells)  # all hole
+    assert max(len(c.edges) for c in cells if not c.inner) <= 6
+    import random
+    random.seed(1)
+    pts = [(i, random.choice([0.0, 1.3, 2.0, 3.7, 5.0, 6.1, random.uniform(-1, 8)]), random.choice([0.0, 0.9, 1.3, 3.7, 5.0, random.uniform(-1, 6)])) for i in range(3000)]
+    pts += [(10_000 + i, 0.5 + i * 1e-5, 0.5) for i in range(2000)] + [(1, None, 1.0)]
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    def inside(x, y):
+        one = 0 <= x <= 5 and 0 <= y <= 5 and not (1.3 < x < 3.7 and 1.3 < y < 3.7)
+        return one or (6.1 <= x <= 7.2 and 0 <= y <= 0.9)
+    want = sorted(p for p, x, y in pts if x is not None and inside(x, y))
+    for hot in (50_000, 100):
+        assert sorted(r.pid for r in GEO.covers(df, polys, hot=hot).collect()) == want
+    # a cell of 2,000 points is dealt to 20 keys
+    plan = GEO.covers(df, polys, hot=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "deal" in plan
+
+
+def test_feature_collection_is_one_document(spark, tmp_path):
+    import json
+    from tessera.operators import geo_features as GF
+    ring = [(0.123456789, 1.0), (2.0, 1.0), (2.0, 3.0), (0.123456789, 1.0)]
+    geo = spark.createDataFrame([(f"{i:07d}", f'Town "{i % 7}" é', "SP" if i % 2 else "RJ", 1.0, 2.0, [ring]) for i in range(200)],
+                                "codigo string, nome string, uf string, latitude double, longitude double, rings array<array<struct<x: double, y: double>>>")
+    summary = spark.createDataFrame([("0000003", "x", "SP", 5.0, None, 2, 3, 10.5, 1.0, ["b"]), ("0000003", "y", "SP", 6.0, 7.0, 1, 1, 4.0, 0.0, ["a"]), (None, "z", "SP", 0.0, 0.0, 1, 1, 99.0, 0.0, [])],
+                                    "municipality_ibge_code string, municipio_nome string, uf string, latitude double, longitude double, total_empresas long, total_projetos long, "
+                                    "total_aprovado_finep double, total_liberado double, fontes array<string>")
+    for features, n in ((GF.municipality_features(summary, geo), 200), (GF.municipality_features(summary, geo, " sp "), 100), (GF.municipality_features(summary, geo.limit(0)), 0)):
+        path = GF.write_feature_collection(features, str(tmp_path / f"f{n}"))
+        text = "".join(p.read_text() for p in sorted((tmp_path / f"f{n}").glob("part-*")))
+        doc = json.loads(text)
+        assert len(doc["features"]) == n == doc["metadata"]["feature_count"]
+        names = [f["properties"]["municipio_nome"] for f in doc["features"]]
+        assert names == sorted(names)
+        if n:
+            f = next(f for f in doc["features"] if f["id"] == "0000003")
+            assert f["properties"]["total_aprovado_finep"] == 4.0 and f["properties"]["latitude"] == 6.0 and f["geometry"]["coordinates"][0][0] == [0.12346, 1.0]
+            assert doc["metadata"]["municipalities_with_value"] == 1
+
+
+def test_stored_graph_reads_the_buckets_of_its_nodes(spark, tmp_path):
+    from tessera.operators.graph_store import GraphStore
+    pairs = [(f"P:{i}", f"C:{i % 40:08d}") for i in range(400)]
+    edges = _edges(spark, pairs)
+    companies = spark.createDataFrame([(f"{i:08d}", f"E{i}") for i in range(40)], "cnpj_basico string, razao_social string")
+    people = spark.createDataFrame([(str(i), f"N{i}") for i in range(400)], "pessoa_id string, nome string")
+    store = GraphStore(spark, str(tmp_path / "g"))
+    assert not store.ready()
+    store.write(edges, companies, people)
+    seeds = spark.createDataFrame([("00000003",)], "cnpj_basico string")
+    got = G.company_network(seeds, store, 2)
+    want = G.company_network(seeds, edges, 2)
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.select("src", "dst").collect()))
+    spark.createDataFrame([("C:00000003",)], "node string").write.parquet(str(tmp_path / "few"))
+    few = store.neighbours(spark.read.parquet(str(tmp_path / "few")))
+    assert "dynamicpruning" in few._jdf.queryExecution().executedPlan().toString().lower()
+    assert few.count() == 10
+    assert {r.node: r.degree for r in store.nodes().collect()}["C:00000003"] == 10
+    with pytest.raises(ValueError):
+        G.graph_columns(companies, "empresa")
 
 
 def test_a_chain_takes_a_link_once(spark):

@@ -84,17 +84,33 @@ def test_first_by_stable_under_repartition(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_org_payload_is_read_in_pieces(spark, tmp_path):
-    """One run of one collection in one file: an actor a line, several tasks."""
+def test_org_payload_documents_and_actors(spark, tmp_path):
+    """A pretty-printed platform payload, and many documents read in pieces."""
+    import json
+
     from pyspark.sql import functions as F
-    from tessera.sources.readers import read_org_payload
-    actors = spark.range(2000).select(F.lit("r1").alias("manifest_id"), F.lit("ict").alias("collection"), "id", F.concat(F.lit("Nome "), "id").alias("nome"))
-    actors.coalesce(1).write.partitionBy("manifest_id", "collection").json(f"{tmp_path}/orgs")
-    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    try:
-        got = read_org_payload(spark, f"{tmp_path}/orgs", ["ict", "absent"])
-        assert got.select(F.spark_partition_id()).distinct().count() > 1
-        assert {(r.collection, r.actor.id, r.actor.nome) for r in got.collect()} == {("ict", i, f"Nome {i}") for i in range(2000)}
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    from tessera.operators.orgs import organization_rows
+    from tessera.sources.org_payload import COLLECTIONS, read_org_payload, write_org_payload
+    actor = {"id": 7, "name": None, "cnpj": "50.953.719/0001-15", "active": True, "founding_date": "2023-10-23T19:41:30.000000Z", "extra": {"kept": [1, 2.50]},
+             "address": {"latitude": -29.7, "city": {"id": 4316907, "name": " Santa Maria ", "state": {"id": 43, "uf": "RS"}}}, "expertise_areas": [" a ", None, ""]}
+    (tmp_path / "one" / "manifest_id=20240101").mkdir(parents=True)
+    doc = {"incubators": [actor, {"id": None}], "unknown": [{"id": 1}], "operationParks": [], "planningParks": None}
+    (tmp_path / "one" / "manifest_id=20240101" / "p.json").write_text(json.dumps(doc, indent=1))
+    got = organization_rows(read_org_payload(spark, f"{tmp_path}/one", multi_line=True))
+    assert len(got.columns) == 52
+    first, second = sorted(got.collect(), key=lambda r: r.source_record_id is None)
+    assert (first.manifest_id, first.name, first.entity_kind, first.cnpj, first.city_ibge_code, first.city_name, first.state_abbrev, str(first.latitude)) == (
+        "20240101", "source-record-7", "incubator", "50953719000115", "4316907", "Santa Maria", "RS", "-29.7000000")
+    assert first.active is True and str(first.founding_date) == "2023-10-23" and first.expertise_area_codes == ["a"] and json.loads(first.raw_payload) == actor
+    assert second.expertise_area_codes == [] and second.affiliated_societies_cities == "[]" and second.city_name is None
+    many = spark.range(3000).select(F.lit("r1").alias("manifest_id"), F.element_at(F.array(*[F.lit(c) for c in COLLECTIONS]), (F.col("id") % 9 + 1).cast("int")).alias("collection"),
+                                    F.to_json(F.struct("id", F.lit('a "b" [c] é').alias("name"))).alias("raw"))
+    write_org_payload(many, f"{tmp_path}/many", per_document=100)
+    assert spark.read.text(f"{tmp_path}/many").count() == 30
+    back = read_org_payload(spark, f"{tmp_path}/many")
+    assert sorted(map(tuple, back.select("manifest_id", "collection", "raw").collect())) == sorted(map(tuple, many.collect()))
+    (tmp_path / "bad" / "manifest_id=1").mkdir(parents=True)
+    (tmp_path / "bad" / "manifest_id=1" / "p.json").write_text("<html>")
+    import pytest
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_org_payload(spark, f"{tmp_path}/bad").collect()
