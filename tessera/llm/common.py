@@ -74,6 +74,39 @@ def bounded_broadcast(df: DataFrame, rows: int, max_rows: int = 200_000) -> Data
     return F.broadcast(df) if rows <= max_rows else df
 
 
+def small_broadcast(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast hint for a table whose measured bytes (texts and arrays by
+    their length, other values as 16) stay under ``max_bytes``; beyond it the
+    join is left to the shuffle joins and AQE. ``df`` is a written table or
+    little work upon one."""
+    def width(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.octet_length(c)
+        if isinstance(field.dataType, T.ArrayType):
+            return F.octet_length(F.to_json(F.struct(c)))
+        return F.lit(16)
+
+    total = F.lit(0)
+    for field in df.schema.fields:
+        total = total + F.coalesce(width(field), F.lit(0)) + 8
+    size = df.agg(F.coalesce(F.sum(total.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores behind as it takes to be unlike any
+    column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str) -> Column:
     """The text as a string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

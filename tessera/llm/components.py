@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import discard, stage
 
 MAX_ROUNDS = 60
 
@@ -43,7 +43,8 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     seen = _checksum(current)
     if seen[0]:
         for _ in range(MAX_ROUNDS):
-            current = stage(_small_star(_large_star(current)), "edges")
+            before, current = current, stage(_small_star(_large_star(current)), "edges")
+            discard(before)
             now = _checksum(current)
             if now == seen:
                 break

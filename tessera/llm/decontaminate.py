@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import bounded_broadcast, prepare, stage, text_of
+from tessera.llm.common import bounded_broadcast, free_names, prepare, small_broadcast, stage, text_of
 
 WINDOW = 10
 #: the most words that a term may be off its place in a proximity match
@@ -48,13 +48,13 @@ def test_windows(items: DataFrame, text: str = "text", key: str = "item_id", siz
     return w.select("item_id", "w", F.explode(starts).alias("s")).select("item_id", F.slice("w", F.col("s") + 1, size).alias("window")).distinct()
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, terms: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def build_index(docs: DataFrame, vocabulary: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id, h, pos, term``: postings of the ``vocabulary`` (``word,
-    term``, ``terms`` rows) in ``docs``, and term -1 at each document's end.
+    term``) in ``docs``, and term -1 at each document's end.
     ``h`` is the text's hash, so that rows of one id stay apart."""
     each = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"),
                        F.posexplode(F.concat(words(text), F.array(F.lit(_END)))).alias("pos", "word"))
-    return stage(each.join(bounded_broadcast(vocabulary, terms), "word").select("doc_id", "h", "pos", "term"), "postings")
+    return stage(each.join(small_broadcast(vocabulary), "word").select("doc_id", "h", "pos", "term"), "postings")
 
 
 def ranked_windows(windows: DataFrame, vocabulary: DataFrame, index: DataFrame) -> DataFrame:
@@ -98,11 +98,10 @@ def intersect(index: DataFrame, ranked: DataFrame, n_windows: int, slack: int =
     both = stage(both.unionByName(short), "second")
     # all others, in the documents that are left
     left = stage(both.select("doc_id", "h").distinct(), "candidates")
-    n_left = left.count()
-    left = bounded_broadcast(left, n_left)
+    left = small_broadcast(left)
     there = postings.join(left, [postings["doc_id"].eqNullSafe(left["doc_id"]), postings["h"] == left["h"]], "left_semi")
-    rest = ranked.filter("size > 2").select("wid", "size", F.explode(F.slice("plan", 3, 1000)).alias("p"))
-    wanted = both.join(bounded_broadcast(rest, n_windows * WINDOW, 2_000_000), "wid").select(
+    rest = ranked.filter("size > 2").select("wid", "size", F.explode(F.slice("plan", 3, F.col("size"))).alias("p"))
+    wanted = both.join(small_broadcast(rest), "wid").select(
         *place, "size", F.col("p.off").alias("off"), (F.col("start") + F.col("p.off")).alias("at"), F.col("p.term").alias("want"))
     met = near(wanted, there).select(*place, "size", "off")
     met = (met.distinct() if slack else met).groupBy(*place, "size").agg(F.count(F.lit(1)).alias("n")).filter("n = size - 2").select(*place)
@@ -122,7 +121,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     vocabulary = windows.select(F.explode("window").alias("word")).distinct().withColumn("term", F.monotonically_increasing_id())
     end = docs.sparkSession.range(1).select(F.lit(_END).alias("word"), F.lit(-1).cast("long").alias("term"))
     vocabulary = stage(vocabulary.unionByName(end), "vocabulary")
-    index = build_index(docs, vocabulary, vocabulary.count(), text, key)
+    index = build_index(docs, vocabulary, text, key)
     ranked = stage(ranked_windows(windows, vocabulary, index), "ranked")
     exact = stage(intersect(index, ranked, n_windows).join(bounded_broadcast(ranked.select("wid", "size"), n_windows), "wid"), "exact")
     doc = ["doc_id", "h"]
@@ -130,7 +129,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     before = Window.partitionBy(*doc).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), "start")))
     hits = spans.select(*doc, covered.alias("n")).groupBy(*doc).agg(F.sum("n").alias("n_hit"))
-    names = (exact.join(bounded_broadcast(windows, n_windows), "wid").join(of, "window").filter("item_id is not null")
+    names = (exact.join(small_broadcast(windows), "wid").join(of, "window").filter("item_id is not null")
              .select(*doc, F.col("item_id").cast("string").alias("item")).distinct()
              .groupBy(*doc).agg(F.array_sort(F.collect_list("item")).alias("items")))
     found = hits.withColumn("items", F.lit(None).cast("array<string>")).unionByName(
@@ -155,8 +154,9 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", key: str =
     """The rows of ``docs`` that no test window occurs in, with all their
     columns."""
     judged = decontaminate(docs, items, text, key, slack=0, **options)
-    hit = stage(judged.filter("contaminated").select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h")).distinct(), "contaminated")
-    return docs.join(bounded_broadcast(hit, hit.count()), F.col(key).eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_of(text)) == F.col("__hit_h")), "left_anti")
+    one, two = free_names(docs, "hit_id", "hit_h")
+    hit = stage(judged.filter("contaminated").select(F.col("doc_id").alias(one), F.col("h").alias(two)).distinct(), "contaminated")
+    return docs.join(small_broadcast(hit), F.col(key).eqNullSafe(F.col(one)) & (F.xxhash64(text_of(text)) == F.col(two)), "left_anti")
 
 
 def _sql_words(table: str) -> str:

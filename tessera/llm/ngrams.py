@@ -3,10 +3,11 @@
 A text is lower-cased and cut at white space; character n-grams keep to one
 word with a space before and after it. Word n-grams follow one another across
 white space; from two words on, a word said twice running also falls into one
-bucket of its own, whatever the word. Texts are worked off in passes of at
-most ``PASS_CHARS`` characters, cut at white space, so memory does not follow
-a text's length (a run of more than ``PASS_CHARS`` characters without white
-space counts as several words)."""
+bucket of its own, whatever the word. Texts are worked off in passes of about
+``PASS_CHARS`` characters, cut at white space only, so memory does not follow a
+text's length (but its longest run without white space); the last words of a
+pass are carried over to the next of the same text, so that no n-gram of words
+is lost at a seam."""
 
 from __future__ import annotations
 
@@ -27,6 +28,23 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _cut(text: str, at: int) -> int:
+    """Where the piece that begins at ``at`` ends: at the last white space
+    within ``PASS_CHARS``, else at the first after it."""
+    end = at + PASS_CHARS
+    if end >= len(text):
+        return len(text)
+    gaps = np.flatnonzero(_SPACE[_codes(text[at:end])])
+    if len(gaps) and gaps[-1]:
+        return at + int(gaps[-1])
+    while end < len(text):
+        gaps = np.flatnonzero(_SPACE[_codes(text[end:end + PASS_CHARS])])
+        if len(gaps):
+            return end + int(gaps[0])
+        end += PASS_CHARS
+    return len(text)
+
+
 @dataclass(frozen=True)
 class Ngrams:
     """Which n-grams are hashed, and to how many buckets (2 ** bits)."""
@@ -48,26 +66,25 @@ class Ngrams:
         """``(row, bucket)`` arrays, pass by pass; rows count from 0 in the
         order of ``texts``."""
         rows, parts, held = [], [], 0
+        carry = (-1, np.zeros(0, np.uint32))
         for row, text in enumerate(texts):
             text = text.lower()
             at = 0
             while at < len(text):
-                piece = text[at:at + PASS_CHARS]
-                if at + len(piece) < len(text):
-                    gaps = np.flatnonzero(_SPACE[_codes(piece)])
-                    if len(gaps) and gaps[-1]:
-                        piece = piece[:gaps[-1]]
+                piece = text[at:_cut(text, at)]
                 at += len(piece)
                 if held + len(piece) > PASS_CHARS and parts:
-                    yield self._pass(rows, parts)
+                    who, what, carry = self._pass(rows, parts, carry)
+                    yield who, what
                     rows, parts, held = [], [], 0
                 rows.append(row)
                 parts.append(piece)
                 held += len(piece) + 1
         if parts:
-            yield self._pass(rows, parts)
+            yield self._pass(rows, parts, carry)[:2]
 
-    def _pass(self, rows: list[int], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _pass(self, rows: list[int], parts: list[str], carry: tuple[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[int, np.ndarray]]:
+        """``carry``: the row that the last pass ended in, and its last words."""
         codes = _codes(" " + " ".join(parts) + " ")
         owner = np.repeat(np.asarray(rows, dtype=np.int64), [len(p) + 1 for p in parts])
         owner = np.concatenate((owner[:1], owner))
@@ -105,21 +122,28 @@ class Ngrams:
                 of = owner[starts]
                 who.append(of)
                 what.append(self._bucket(word, 101))
+                # the row's words before this pass take part in pairs only
+                old = carry[1] if carry[0] == of[0] else carry[1][:0]
+                word, of = np.concatenate((old, word)), np.concatenate((np.full(len(old), of[0], of.dtype), of))
                 h = word
                 for k in range(2, self.words + 1):
                     if len(word) < k:
                         break
                     h = h[:-1] * np.uint32(0x27D4EB2F) + word[k - 1:]
                     same = of[:len(h)] == of[k - 1:]
+                    same[:max(0, len(old) - k + 1)] = False  # counted in the last pass
                     who.append(of[:len(h)][same])
                     what.append(self._bucket(h[same], 100 + k))
                 if self.words > 1 and len(word) > 1:
                     again = (of[1:] == of[:-1]) & (word[1:] == word[:-1])
+                    again[:max(0, len(old) - 1)] = False
                     who.append(of[1:][again])
                     what.append(self._bucket(np.zeros(int(again.sum()), np.uint32), 100))
+                mine = word[of == of[-1]]
+                carry = (int(of[-1]), mine[max(0, len(mine) - self.words + 1):] if self.words > 1 else mine[:0])
         if not who:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        return np.concatenate(who), np.concatenate(what)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint32), carry
+        return np.concatenate(who), np.concatenate(what), carry
 
     def of(self, text: str) -> np.ndarray:
         """All buckets of one text, repeats included."""

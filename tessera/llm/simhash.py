@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_broadcast, prepare, stage, text_of, text_udf
+from tessera.llm.common import bounded_broadcast, free_names, prepare, stage, text_of, text_udf
 from tessera.llm.components import connected_components
 
 SHINGLE = 4
@@ -272,13 +272,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     stays: that of the smallest id (null ids last; of rows with one id the
     smallest text hash)."""
     rows = assign_groups(docs, text, key, shingle, radius)
+    one, two, many, mark = free_names(docs, "chosen_id", "chosen_h", "chosen_n", "text_h")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n")
     chosen = stage(rows.groupBy("root", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
                    .groupBy("root").agg(F.min(order).alias("o"))
-                   .select(F.col("o.doc_id").alias("__chosen_id"), F.col("o.h").alias("__chosen_h"), F.col("o.n").alias("__chosen_n")), "chosen")
-    kept = docs.withColumn("__text_h", F.xxhash64(text_of(text))).join(
-        chosen, F.col(key).eqNullSafe(F.col("__chosen_id")) & (F.col("__text_h") == F.col("__chosen_h")))
-    if not chosen.filter("__chosen_n > 1").isEmpty():  # rows that repeat a group's first row
-        once = kept.filter("__chosen_n = 1")
-        kept = once.unionByName(kept.filter("__chosen_n > 1").dropDuplicates(["__chosen_id", "__chosen_h"]))
-    return kept.select(*docs.columns)
+                   .select(F.col("o.doc_id").alias(one), F.col("o.h").alias(two), F.col("o.n").alias(many)), "chosen")
+    kept = docs.withColumn(mark, F.xxhash64(text_of(text))).join(
+        chosen, F.col(key).eqNullSafe(F.col(one)) & (F.col(mark) == F.col(two)))
+    if not chosen.filter(F.col(many) > 1).isEmpty():  # rows that repeat a group's first row
+        once = kept.filter(F.col(many) == 1)
+        kept = once.unionByName(kept.filter(F.col(many) > 1).dropDuplicates([one, two]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

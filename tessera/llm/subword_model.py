@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_broadcast, prepare, text_of
+from tessera.llm.common import prepare, small_broadcast, text_of
 from tessera.llm.ngrams import Ngrams
 
 
@@ -25,15 +26,15 @@ from tessera.llm.ngrams import Ngrams
 class Settings:
     ngrams: Ngrams = field(default_factory=Ngrams)
     #: rows of each class that gradient descent sees at most (in expectation)
-    sample: int = 2000
+    sample: int = 6000
     #: n-grams kept, by chi-square; each must occur in ``min_docs`` documents
     vocabulary: int = 8192
     min_docs: int = 5
     min_chi2: float = 25.0
     dim: int = 8
-    epochs: int = 16
+    epochs: int = 8
     batch: int = 64
-    rate: float = 0.6
+    rate: float = 0.5
     decay: float = 1e-5
     seed: int = 7
 
@@ -87,19 +88,19 @@ def _presence(ngrams: Ngrams):
 
 
 def _features(ngrams: Ngrams, kept: np.ndarray):
-    """One row a document: its class, the kept n-grams' numbers and counts."""
+    """One row a document: its class and keys, the kept n-grams' numbers and
+    counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.cumsum(kept) - 1
         for batch in batches:
-            ys, ids, ns = [], [], []
-            for text, y in zip(batch.column(0), batch.column(1)):
+            ids, ns = [], []
+            for text in batch.column(0):
                 what = ngrams.of(text.as_py())
                 i, n = np.unique(number[what[kept[what]]], return_counts=True)
-                ys.append(y.as_py())
                 ids.append(i.astype(np.int32))
                 ns.append(n.astype(np.float32))
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.float32()))], ["y", "ids", "ns"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.float32()))], ["y", "k", "h", "ids", "ns"])
 
     return run
 
@@ -110,8 +111,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, text
     marks = (labels.filter(learn & F.col(key).isNotNull() & F.col(label).isin(0, 1))
              .groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y")))
     rows = docs.filter(learn & F.col(key).isNotNull()).select(F.col(key).alias("k"), text_of(text).alias("x"))
-    # ids and marks of two numbers a row: sent to all executors while they are few
-    return rows.join(bounded_broadcast(marks, marks.count(), 1_000_000), "k")
+    # sent to all executors while they are few
+    return rows.join(small_broadcast(marks), "k")
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> SubwordModel:
@@ -141,21 +142,40 @@ def fit(rows: DataFrame, settings: Settings = Settings()) -> SubwordModel:
     share = [min(1.0, settings.sample / x) for x in n]
     drawn = rows.filter(F.pmod(F.xxhash64(F.col("k").cast("string"), F.lit(settings.seed)), F.lit(scale))
                         < F.when(F.col("y") == 1, F.lit(int(share[1] * scale))).otherwise(F.lit(int(share[0] * scale))))
-    table = drawn.select("x", "y").mapInArrow(_features(ng, kept), "y int, ids array<int>, ns array<float>").toArrow()
-    table = table.combine_chunks()
-    y = table["y"].to_numpy().astype(np.int64)
-    ids, ns = _lists(table["ids"]), _lists(table["ns"])
-    order = sorted(range(len(y)), key=lambda i: (int(y[i]), ids[i].tobytes(), ns[i].tobytes()))  # the same order every run
-    ids, ns, y = [ids[i] for i in order], [ns[i] for i in order], y[order]
+    keyed = drawn.select("x", "y", F.xxhash64(F.col("k").cast("string")).alias("k"), F.xxhash64("x").alias("h"))
+    table = keyed.mapInArrow(_features(ng, kept), "y int, k long, h long, ids array<int>, ns array<float>").toArrow()
+    y, lens = table["y"].to_numpy().astype(np.int64), pc.list_value_length(table["ids"]).to_numpy().astype(np.int64)
+    ids, ns = (np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[n].chunks] or [np.zeros(0)]) for n in ("ids", "ns"))
+    order = np.lexsort((table["h"].to_numpy(), table["k"].to_numpy(), y))  # the same order every run
+    del table
     # the sample's classes weigh as they do among all rows
     seen = np.maximum(np.bincount(y, minlength=2), 1)
     cost = (n / n.sum()) / (seen / seen.sum())
-    weight, bias = _descend(ids, ns, y, cost, int(kept.sum()), settings)
+    weight, bias = _descend(Sample(ids, ns, np.concatenate(([0], np.cumsum(lens)))), y, order, cost, int(kept.sum()), settings)
     full = np.zeros(ng.buckets, np.float32)
     full[kept] = weight
     return SubwordModel(ng, full, kept, bias)
 
 
+@dataclass
+class Sample:
+    """All documents' n-gram numbers and counts, end to end."""
+
+    ids: np.ndarray
+    ns: np.ndarray
+    ends: np.ndarray
+
+    def batch(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of some documents, their share of the document, and the
+        document's place in the batch; made when it is asked for."""
+        at = [slice(self.ends[i], self.ends[i + 1]) for i in rows]
+        lens = np.array([s.stop - s.start for s in at])
+        doc = np.repeat(np.arange(len(rows)), lens)
+        count = np.concatenate([self.ns[s] for s in at]).astype(np.float64)
+        total = np.bincount(doc, weights=count, minlength=len(rows))
+        return np.concatenate([self.ids[s] for s in at]), count / np.maximum(total, 1)[doc], doc
+
+
 def _lists(column) -> list:
     out = []
     for chunk in column.chunks:
@@ -164,47 +184,48 @@ def _lists(column) -> list:
     return out
 
 
-def _descend(ids, ns, y, cost, size: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Minibatch gradient descent (per-parameter step sizes) on vectors
-    ``E`` and softmax layer ``W``; returns the log-odds weight of each n-gram
-    and the bias."""
+def gradients(E: np.ndarray, W: np.ndarray, b: np.ndarray, flat, part, doc, y, cost):
+    """Of one minibatch's weighted mean log-loss: by the softmax layer, its
+    bias, and the vectors of the n-grams met (with their numbers)."""
+    m, met = len(y), np.zeros(len(E), dtype=bool)
+    met[flat] = True
+    at = np.flatnonzero(met)
+    place = np.zeros(len(E), dtype=np.int64)
+    place[at] = np.arange(len(at))
+    place = place[flat]
+    hidden = np.stack([np.bincount(doc, weights=part * E[flat, j], minlength=m) for j in range(E.shape[1])], axis=1)
+    logits = hidden @ W + b
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(m), y] -= 1
+    p *= cost[y][:, None] / m
+    back = p @ W.T
+    dE = np.stack([np.bincount(place, weights=part * back[doc, j], minlength=len(at)) for j in range(E.shape[1])], axis=1)
+    return hidden.T @ p, p.sum(0), at, dE
+
+
+def _descend(sample: Sample, y, order, cost, size: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Minibatch gradient descent (per-parameter step sizes) on vectors ``E``
+    and softmax layer ``W``; returns the log-odds weight of each n-gram and
+    the bias. Minibatches are made one at a time."""
     rng = np.random.default_rng(s.seed)
     E = rng.normal(0, 0.1, (size, s.dim))
     W = rng.normal(0, 0.1, (s.dim, 2))
     b = np.zeros(2)
     gE, gW, gb = np.full(size, 1e-8), np.full(W.shape, 1e-8), np.full(2, 1e-8)
-    batches = []
-    shuffled = rng.permutation(len(y))
-    for lo in range(0, len(y), s.batch):
-        rows = shuffled[lo:lo + s.batch]
-        lens = np.array([len(ids[i]) for i in rows])
-        flat = np.concatenate([ids[i] for i in rows])
-        part = np.concatenate([ns[i] / max(ns[i].sum(), 1) for i in rows])
-        doc = np.repeat(np.arange(len(rows), dtype=np.int32), lens)
-        by = np.argsort(flat, kind="stable").astype(np.int32)
-        uniq, first = np.unique(flat[by], return_index=True)
-        batches.append((flat, part, doc, by, uniq, first, y[rows], len(rows)))
     for epoch in range(s.epochs):
         rate = s.rate * (1 - epoch / s.epochs) + 0.02
-        for k in rng.permutation(len(batches)):
-            flat, part, doc, by, uniq, first, yy, m = batches[k]
-            hidden = np.stack([np.bincount(doc, weights=part * E[flat, j], minlength=m) for j in range(s.dim)], axis=1)
-            logits = hidden @ W + b
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            g = p
-            g[np.arange(m), yy] -= 1
-            g *= cost[yy][:, None] / m
-            dW, db, dH = hidden.T @ g, g.sum(0), g @ W.T
+        shuffled = order[rng.permutation(len(order))]
+        for lo in range(0, len(shuffled), s.batch):
+            rows = shuffled[lo:lo + s.batch]
+            dW, db, at, dE = gradients(E, W, b, *sample.batch(rows), y[rows], cost)
             gW += dW ** 2
             gb += db ** 2
             W -= rate * dW / np.sqrt(gW)
             b -= rate * db / np.sqrt(gb)
-            if len(flat):
-                dE = np.add.reduceat((part[:, None] * dH[doc])[by], first, axis=0) + s.decay * E[uniq]
-                gE[uniq] += (dE ** 2).mean(1)
-                E[uniq] -= rate * dE / np.sqrt(gE[uniq])[:, None]
+            dE += s.decay * E[at]
+            gE[at] += (dE ** 2).mean(1)
+            E[at] -= rate * dE / np.sqrt(gE[at])[:, None]
     return E @ (W[:, 1] - W[:, 0]), float(b[1] - b[0])
 
 

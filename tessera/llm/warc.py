@@ -5,21 +5,30 @@ record id and keep its target URI, date, HTTP headers and digests.
 The records are columns (named fields and the block) and whole serialised
 records; ``write_records`` writes them as WARC files. Text is taken from HTML
 by pattern: comments, scripts, styles and the head go, block elements end a
-line, other tags go, the named references amp, lt, gt, quot, nbsp and ``&#39;``
-are resolved, white space is folded.
+line, other tags go, white space is folded. Character references, numeric and
+of the whole HTML set of names, are resolved in the text, the title and the
+outlinks; in outlinks only those that end in a semicolon, so that a query
+string keeps its ``&copy=``. No-break spaces count as spaces.
 
 Defined results: a null URL gives records without a target URI; null or empty
 HTML gives an empty payload and an empty conversion block; repeated rows give
-repeated records of the same ids; a null page id counts as an empty one in the
-record id; an empty table gives none. Columns besides the named ones are not
+repeated records of the same ids, rows of one id and URL but other payloads
+records of their own; a null page id counts as an empty one in the record id;
+a reference that names nothing stays as it is; an empty table gives none. Columns besides the named ones are not
 read."""
 
 from __future__ import annotations
 
+import html as markup
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import prepare
+from tessera.llm.common import array_udf, prepare
 
 VERSION = "WARC/1.1"
 #: capture date of pages that carry none
@@ -29,7 +38,7 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: patterns taken out or replaced, in this order (they read alike in both engines)
 STEPS = [(r"(?is)<!--.*?-->", ""), (r"(?is)<head\b.*?</head\s*>", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""),
          (r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre)\b|br\b)[^>]*>", "\n"), (r"(?s)<[^>]*>", "")]
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+_REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 FOLDS = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
@@ -48,15 +57,37 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    out = F.coalesce(html, F.lit(""))
+def resolve_text(text: str) -> str:
+    """Character references in running text, the old names without a
+    semicolon too."""
+    return markup.unescape(text) if "&" in text else text
+
+
+def resolve_attribute(text: str) -> str:
+    """Those that end in a semicolon."""
+    return _REFERENCE.sub(lambda m: markup.unescape(m[0]), text) if "&" in text else text
+
+
+def _resolved(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Arrays of a text, a title and links -> the same without references."""
+    for batch in batches:
+        rows = []
+        for text, title, *links in batch.to_pylist():
+            rows.append([resolve_text(text), resolve_text(title), *map(resolve_attribute, links)])
+        yield pa.array(rows, pa.list_(pa.string()))
+
+
+def _without_tags(html: Column) -> Column:
     for pattern, put in STEPS:
-        out = F.regexp_replace(out, pattern, put)
-    for name, put in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(put))
+        html = F.regexp_replace(html, pattern, put)
+    return html
+
+
+def _folded(text: Column) -> Column:
+    text = F.replace(text, F.lit("\u00a0"), F.lit(" "))
     for pattern, put in FOLDS:
-        out = F.regexp_replace(out, pattern, put)
-    return out
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
@@ -65,8 +96,9 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     http = F.concat(F.lit(HTTP + "Content-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n"))
     base = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("target_uri"), payload.alias("payload"), http.alias("http"))
-    return base.select("page_id", record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("target_uri", F.lit(""))).alias("record_id"),
-                       "target_uri", F.lit(date).alias("date"), "http", "payload", sha1_digest(F.col("payload")).alias("payload_digest"),
+    base = base.withColumn("payload_digest", sha1_digest(F.col("payload")))
+    name = record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("target_uri", F.lit("")), F.col("payload_digest"))
+    return base.select("page_id", name.alias("record_id"), "target_uri", F.lit(date).alias("date"), "http", "payload", "payload_digest",
                        sha1_digest(F.concat("http", F.lit("\r\n"), "payload")).alias("block_digest"))
 
 
@@ -82,14 +114,18 @@ def derivatives(response: DataFrame) -> DataFrame:
     prepare(response.sparkSession)
     title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
     language = F.regexp_extract("payload", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
-    links = F.array_distinct(F.regexp_extract_all("payload", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1)))
+    links = F.regexp_extract_all("payload", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    read = array_udf(_resolved, T.ArrayType(T.StringType()))
+    response = response.withColumn("__read", read(F.concat(F.array(_without_tags(F.col("payload")), title), links)))
+    title = F.replace(F.col("__read")[1], F.lit("\u00a0"), F.lit(" "))
+    links = F.array_distinct(F.transform(F.slice("__read", 3, F.size("__read")), lambda x: F.regexp_replace(x, r"[\x00-\x20]+", "")))
     outlinks = F.concat_ws("", F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))))
     source = F.concat_ws("", F.transform(F.filter(F.split("http", "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))))
     fields = F.concat(_named("title", F.when(title != "", F.regexp_replace(title, r"[\r\n]+", " "))), _named("language", F.when(language != "", language)), source,
                       _named("source-payload-digest", F.col("payload_digest")), _named("source-block-digest", F.col("block_digest")),
                       _named("source-length", F.octet_length("payload").cast("string")), outlinks)
     kinds = F.array(F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-                    F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")))
+                    F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), _folded(F.col("__read")[0]).alias("block")))
     made = response.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", F.inline(kinds))
     made = made.select("page_id", "warc_type", record_id("warc_type", "refers_to").alias("record_id"), "refers_to", "target_uri", "date", "content_type", "block",
                        sha1_digest(F.col("block")).alias("block_digest"), F.col("payload_digest").alias("source_payload_digest"))
@@ -133,11 +169,31 @@ def _sql_id(*parts: str) -> str:
     return f"'<urn:uuid:' || {cut} || '>'"
 
 
+# fixed values: the names of the characters 160 to 255, in order, and some others; SQL has no
+# function for references, so its names are stated here apart from those the operator uses
+_LATIN = ("nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo "
+          "frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve "
+          "Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute "
+          "ecirc euml igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml").split()
+_OTHERS = {"amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "ldquo": 8220, "rdquo": 8221,
+           "bull": 8226, "hellip": 8230, "euro": 8364, "trade": 8482}
+
+
+def _sql_resolved(column: str) -> str:
+    """Cut at ampersands; each piece begins with a reference or with none."""
+    names = {n: 160 + i for i, n in enumerate(_LATIN)} | _OTHERS
+    known = "MAP {" + ", ".join(f"'{n}': {c}" for n, c in names.items()) + "}"
+    name, rest = "regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)", "substr(p, instr(p, ';') + 1)"
+    piece = (f"CASE WHEN regexp_matches(p, '^#[0-9]+;') THEN chr(regexp_extract(p, '^#([0-9]+);', 1)::INT) || {rest} "
+             f"WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+;') THEN chr(('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]+);', 1))::INT) || {rest} "
+             f"WHEN {known}[{name}] IS NOT NULL THEN chr({known}[{name}]) || {rest} ELSE '&' || p END")
+    return f"(string_split({column}, '&')[1] || coalesce(list_aggregate([{piece} for p in string_split({column}, '&')[2:]], 'string_agg', ''), ''))"
+
+
 def _sql_text(column: str) -> str:
     for pattern, put in STEPS:
         column = f"regexp_replace({column}, {_quoted(pattern)}, {_crlf(put)}, 'g')"
-    for name, put in REFERENCES:
-        column = f"replace({column}, {_quoted(name)}, {_quoted(put)})"
+    column = f"replace({_sql_resolved(column)}, chr(160), ' ')"
     for pattern, put in FOLDS:
         column = f"regexp_replace({column}, {_quoted(pattern)}, {_crlf(put)}, 'g')"
     return column
@@ -151,11 +207,11 @@ def _line(name: str, value: str) -> str:
 ORACLE_SQL = f"""
 WITH r AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS payload,
     {_crlf(HTTP + 'Content-Length: ')} || strlen(coalesce(html, '')) || e'\\r\\n' AS http FROM pages),
-d AS MATERIALIZED (SELECT *, {_sql_id("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(target_uri, '')")} AS refers_to,
+d AS MATERIALIZED (SELECT *, {_sql_id("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(target_uri, '')", _sql_digest('payload'))} AS refers_to,
     {_sql_digest('payload')} AS payload_digest, {_sql_digest("(http || e'" + chr(92) + "r" + chr(92) + "n' || payload)")} AS source_block,
-    regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '[\\r\\n]+', ' ', 'g') AS title,
+    regexp_replace(replace({_sql_resolved("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title" + chr(92) + "s*>', 1)")}, chr(160), ' '), '[\\r\\n]+', ' ', 'g') AS title,
     regexp_extract(payload, '(?is)<html\\b[^>]*\\blang\\s*=\\s*["'']?([A-Za-z-]+)', 1) AS lang,
-    regexp_extract_all(payload, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS hrefs FROM r),
+    [regexp_replace({_sql_resolved('h')}, '[\\x00-\\x20]+', '', 'g') for h in regexp_extract_all(payload, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)] AS hrefs FROM r),
 k AS (SELECT page_id, target_uri, refers_to, payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
     CASE WHEN title <> '' THEN 'title: ' || title || e'\\r\\n' ELSE '' END || CASE WHEN lang <> '' THEN 'language: ' || lang || e'\\r\\n' ELSE '' END
     || list_aggregate(list_transform(list_filter(string_split(http, e'\\r\\n'), lambda x: x <> ''), lambda x: 'source-header: ' || x || e'\\r\\n'), 'string_agg', '')

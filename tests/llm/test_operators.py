@@ -264,6 +264,25 @@ def test_op5_records_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_op5_references_long_texts_and_ids(spark):
+    rows = [(1, "http://a.org", "<title>A &amp; B&nbsp;&#233;</title><p>&lt;p&gt; &#xE9;&eacute;&mdash;&copy 2020 &unknown; &amp;lt; &#8217;</p><a href='/x?a=1&amp;b=2&copy=3'>l</a><a href=\"/x?a=1&b=2&copy=3\">m</a>"),
+            (1, "http://a.org", "<p>other</p>"), (2, "http://b.org", "<p>" + "word &amp; " * 200_000 + "</p>"), (3, "http://c.org", "& &; &# &#x;")]
+    made = {(r.page_id, r.warc_type, r.block) for r in warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    texts = {(i, b) for i, t, b in made if t == "conversion"}
+    assert (1, "A & B é\n<p> éé—© 2020 &unknown; &lt; ’\nlm") in texts and (1, "other") in texts and (3, "& &; &# &#x;") in texts
+    assert (2, ("word & " * 200_000).strip()) in texts
+    fields = next(b for i, t, b in made if t == "metadata" and "title" in b)
+    assert "title: A & B é\r\n" in fields and fields.count("outlink: ") == 1 and "outlink: /x?a=1&b=2&copy=3\r\n" in fields
+    ids = [r.record_id for r in warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(set(ids)) == 4
+    import html.entities
+    left = re.compile("&(?:" + "|".join(n[:-1] for n in html.entities.html5 if n.endswith(";")) + ");")
+    pages = queries.table(spark, SF_SMALL.replace("0.001", "0.01"), "pages")
+    double = re.compile("&amp;[A-Za-z#]")
+    for r in warc.derivatives(warc.responses(pages)).filter("warc_type = 'conversion'").join(pages, "page_id").select("block", "html").collect():
+        assert double.search(r.html) or not left.search(r.block)
+
+
 def _crc(i, n):
     return zlib.crc32(str(i).encode()) % n
 
@@ -289,6 +308,47 @@ def test_op6_and_op10_odd_rows(spark, odd_docs, odd_labels):
         assert fn(odd_docs.limit(0), odd_labels).count() == 0 and keep(odd_docs.limit(0), odd_labels).count() == 0
 
 
+def test_op6_and_op10_keep_the_ngrams_that_a_linear_scan_keeps(spark):
+    from tessera.llm import subword_model as S
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" nasty" if i % 3 == 0 and i % 7 else ""), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x string, y int")
+    settings = S.Settings(ngrams=S.Ngrams(chars=(3,), words=1, bits=14), vocabulary=60, min_docs=5, min_chi2=2.0, epochs=1)
+    kept = set(np.flatnonzero(S.fit(df, settings).kept).tolist())
+    seen = collections.defaultdict(lambda: [0, 0])
+    for _, x, y in rows:
+        for b in set(settings.ngrams.of(x).tolist()):
+            seen[b][y] += 1
+    n = [sum(y == c for _, _, y in rows) for c in (0, 1)]
+    score = {}
+    for b, (zero, one) in seen.items():
+        c, d = n[1] - one, n[0] - zero
+        chi2 = sum(n) * (one * d - zero * c) ** 2 / max((one + zero) * (c + d) * n[0] * n[1], 1)
+        if one + zero >= 5 and chi2 >= 2.0:
+            score[b] = chi2
+    assert kept == {b for b, _ in sorted(score.items(), key=lambda t: (-t[1], t[0]))[:60]}
+
+
+def test_op10_unseen_misspellings_share_vectors(spark):
+    rng = np.random.default_rng(8)
+    calm = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "tu", "re") for b in ("ran", "sel", "ton") for c in ("da", "ko", "mer")]
+    harsh = ["grumblefrotz", "snarkwobble", "blithergoon"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        w = list(rng.choice(calm, 15)) + (list(rng.choice(harsh, 2)) if toxic else [])
+        rows.append((i, " ".join(rng.permutation(w))))
+        labels.append((i, int(toxic)))
+    bad = ["grumblefrotzz", "grumbelfrotz", "snarkwoble", "blithergooon", "snark-wobble"]
+    held = [i for i in range(900, 1200) if _crc(i, 3) == 1][:2 * len(bad)]
+    tests = [" ".join([*rng.choice(calm, 15), w, w]) for w in bad] + [" ".join(rng.choice(calm, 17)) for _ in bad]
+    docs = spark.createDataFrame(rows + list(zip(held, tests)), "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, marks).collect()}
+    assert [got[i].predicted for i in held] == [1] * len(bad) + [0] * len(bad)
+
+
 def test_op7_on_held_out_rows(spark):
     docs = queries.table(spark, SF_SMALL.replace("0.001", "0.01"), "documents")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
@@ -371,6 +431,24 @@ def test_op9_against_brute_force(spark, odd_docs):
     assert not any(r.contaminated for r in decontaminate.decontaminate(odd_docs, odd_items.limit(0)).collect())
 
 
+def test_op9_long_windows_and_clashing_names(spark):
+    long = " ".join(f"t{i}" for i in range(1200))
+    docs = spark.createDataFrame([(1, "x " + long + " y", 5, "a"), (2, long.replace("t1100 ", ""), 6, "b"), (3, None, 7, "c")], "doc_id long, text string, hit_id long, hit_h string")
+    items = spark.createDataFrame([(9, long)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items, size=1200).collect()}
+    assert got == {1: (1200, 1), 2: (0, 0), 3: (0, 0)}
+    kept = decontaminate.keep_clean(docs, items, size=1200)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.filter("doc_id > 1").collect()))
+
+
+def test_op2_keeps_columns_of_any_name(spark):
+    names = "text_h long, chosen_id string, chosen_h string, chosen_n string, root string, `a.b` int"
+    rows = [(1, "one two three four five", 7, "p", "q", "r", "s", 1), (2, "one two three four five", 8, "p", "q", "r", "s", 2), (2, "one two three four five", 8, "p", "q", "r", "s", 2), (3, "six", 9, "p", "q", "r", "s", 3)]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, " + names)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
+
+
 def test_op9_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha extra beta gamma delta"), (3, "alpha x y z w beta gamma delta"), (4, "delta gamma beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")

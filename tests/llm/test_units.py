@@ -30,9 +30,151 @@ def test_ngrams_do_not_depend_on_passes():
             found.setdefault(a, []).append(b)
     for i, t in enumerate(texts[:-1]):
         assert sorted(found.get(i, [])) == sorted(g.of(t).tolist())
-    # words keep together over passes; only word pairs at a seam are lost
-    one = Ngrams(chars=(2, 3), words=1)
-    assert len(one.of(texts[-1])) == len(texts[-1].split()) // 2 * len(one.of("word é"))
+    # nothing is lost at a seam: words, and pairs of words
+    one = texts[-1]
+    n = len(one.split())
+    assert len(g.of(one)) == n + (n - 1) + n // 2 * (len(Ngrams(chars=(2, 3), words=0).of("word é")))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab é\n", max_size=120), max_size=6), st.integers(1, 3))
+def test_ngrams_are_alike_however_short_the_passes(texts, words):
+    from tessera.llm import ngrams
+    g, kept = Ngrams(chars=(1, 2, 3), words=words), ngrams.PASS_CHARS
+    want = [sorted(g.of(t).tolist()) for t in texts]
+    try:
+        ngrams.PASS_CHARS = 7
+        found = {}
+        for who, what in g.passes(texts):
+            for a, b in zip(who.tolist(), what.tolist()):
+                found.setdefault(a, []).append(b)
+    finally:
+        ngrams.PASS_CHARS = kept
+    assert [sorted(found.get(i, [])) for i in range(len(texts))] == want
+
+
+M = 1 << 32
+
+
+def _naive_buckets(g, text):
+    """The n-grams of a text one by one, hashed in plain integers."""
+    def bucket(h, salt):
+        h = (h ^ (salt * 0x85EBCA6B % M)) * 0x9E3779B1 % M
+        h ^= h >> 15
+        return (h * 0x2C1B3C6D % M) >> (32 - g.bits)
+
+    out, hashes = [], []
+    for w in text.lower().split():
+        s = f" {w} "
+        for size in g.chars:
+            for i in range(len(s) - size + 1):
+                part = s[i:i + size]
+                if part.strip() and (size > 1 or part != " "):
+                    h = 0
+                    for c in part:
+                        h = (h * 0x01000193 + ord(c)) % M
+                    out.append(bucket(h, size))
+        hashes.append(sum(ord(c) * pow(0x01000193, i, M) for i, c in enumerate(w)) % M)
+    for k in range(1, g.words + 1):
+        for i in range(len(hashes) - k + 1):
+            h = hashes[i]
+            for x in hashes[i + 1:i + k]:
+                h = (h * 0x27D4EB2F + x) % M
+            out.append(bucket(h, 100 + k))
+    if g.words > 1:
+        out += [bucket(0, 100) for a, b in zip(hashes, hashes[1:]) if a == b]
+    return out
+
+
+TEXTS = ["", "a", "one two two three", "Ünï cödé İ x", "the quick brown fox " * 30, "!!! ??? 12 12 12"]
+
+
+@pytest.mark.parametrize("g", [Ngrams(chars=(2, 3, 4), words=2), Ngrams(chars=(3, 4, 5), words=1), Ngrams(chars=(1, 2, 3), words=0, bits=16)])
+def test_ngrams_against_plain_integers(g):
+    for t in TEXTS:
+        assert sorted(g.of(t).tolist()) == sorted(_naive_buckets(g, t))
+
+
+def test_scores_against_a_dictionary():
+    from tessera.llm.langid import LanguageModel
+    from tessera.llm.subword_model import SubwordModel
+    rng = np.random.default_rng(3)
+    g = Ngrams(chars=(2, 3), words=2, bits=12)
+    kept = rng.random(g.buckets) < 0.5
+    model = SubwordModel(g, np.where(kept, rng.normal(size=g.buckets), 0).astype(np.float32), kept, -0.3)
+    for t, got in zip(TEXTS, model.scores(TEXTS)):
+        used = [b for b in _naive_buckets(g, t) if kept[b]]
+        odds = sum(float(model.weight[b]) for b in used) / max(len(used), 1) - 0.3
+        assert abs(got - 1 / (1 + np.exp(-odds))) < 1e-6
+    c = Ngrams(chars=(1, 2), words=0, bits=10)
+    lang = LanguageModel(c, ["a", "b", "c"], rng.normal(size=(3, c.buckets)).astype(np.float32), rng.normal(size=3), 0.7)
+    for t, (name, p) in zip(TEXTS, lang.predict(TEXTS)):
+        if not any(ch.isalpha() for ch in t):
+            assert (name, p) == ("und", 0.0)
+            continue
+        used = _naive_buckets(c, t)
+        z = [(sum(float(lang.weight[j][b]) for b in used) / len(used) + lang.bias[j]) / 0.7 for j in range(3)]
+        e = np.exp(np.array(z) - max(z))
+        assert name == "abc"[int(e.argmax())] and abs(p - e.max() / e.sum()) < 1e-6
+
+
+def test_gradients_of_the_subword_model_by_differences():
+    from tessera.llm.subword_model import gradients
+    rng = np.random.default_rng(4)
+    E, W, b = rng.normal(size=(9, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    flat, doc, y, cost = np.array([0, 4, 4, 7, 8, 1]), np.array([0, 0, 1, 1, 1, 3]), np.array([1, 0, 1, 0]), np.array([0.7, 1.6])
+    part = np.array([0.5, 0.5, 0.25, 0.25, 0.5, 1.0])
+
+    def loss():
+        total = 0
+        for d in range(4):
+            h = sum((part[i] * E[flat[i]] for i in range(6) if doc[i] == d), np.zeros(3))
+            z = h @ W + b
+            total += cost[y[d]] * (np.log(np.exp(z).sum()) - z[y[d]]) / 4
+        return total
+
+    dW, db, at, dE = gradients(E, W, b, flat, part, doc, y, cost)
+    full = np.zeros_like(E)
+    full[at] = dE
+    for array, grad in ((W, dW), (b, db), (E, full)):
+        for i in np.ndindex(array.shape):
+            array[i] += 1e-6
+            up = loss()
+            array[i] -= 2e-6
+            assert abs((up - loss()) / 2e-6 - grad[i]) < 1e-6
+            array[i] += 1e-6
+
+
+def test_ftrl_against_single_coordinates():
+    from tessera.llm import langid
+    s = langid.Settings(epochs=2, batch=2, alpha=0.3, l1=0.2, l2=0.01)
+    ids, tf, y = [np.array([0, 2]), np.array([1]), np.array([2, 3]), np.array([0, 1, 3]), np.array([4])], [np.array([1.0, 2.0]), np.array([3.0]), np.array([0.5, 1.5]), np.ones(3), np.array([2.0])], np.array([0, 1, 2, 0, 1])
+    W, b = langid._ftrl(ids, tf, y, 3, 5, s, np.random.default_rng(1))
+    z, n, rng = {}, {}, np.random.default_rng(1)
+
+    def weight(j, i):
+        v, l1 = z.get((j, i), 0.0), 0 if i == 5 else s.l1
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((s.beta + n.get((j, i), 0.0) ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        order = rng.permutation(5)
+        for lo in range(0, 5, 2):
+            g, w = {}, {}
+            for r in order[lo:lo + 2]:
+                x = dict(zip(ids[r].tolist(), tf[r].tolist())) | {5: 1.0}
+                logit = np.array([sum(v * weight(j, i) for i, v in x.items()) for j in range(3)])
+                p = np.exp(logit - logit.max())
+                p /= p.sum()
+                for j in range(3):
+                    for i, v in x.items():
+                        g[j, i] = g.get((j, i), 0.0) + (p[j] - (y[r] == j)) * v
+                        w[j, i] = weight(j, i)
+            for at, d in g.items():
+                old = n.get(at, 0.0)
+                z[at] = z.get(at, 0.0) + d - ((old + d * d) ** 0.5 - old ** 0.5) / s.alpha * w[at]
+                n[at] = old + d * d
+    for j in range(3):
+        assert np.allclose([weight(j, i) for i in range(6)], [*W[j], b[j]])
 
 
 @pytest.fixture(scope="module")
