@@ -32,9 +32,9 @@ class Settings:
     min_docs: int = 5
     min_chi2: float = 25.0
     dim: int = 8
-    epochs: int = 8
+    epochs: int = 12
     batch: int = 64
-    rate: float = 0.5
+    rate: float = 0.25
     decay: float = 1e-5
     seed: int = 7
 
