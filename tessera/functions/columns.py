@@ -143,6 +143,50 @@ def dec0(c: ColumnOrName, scale: int = 2) -> Column:
     return F.coalesce(_c(c).try_cast(typ), F.lit(0).cast(typ))
 
 
+def _grouped(c: Column, digits: int) -> Column:
+    """A number as written in Brazil: dots between thousands, a decimal comma."""
+    return F.translate(F.format_number(c, digits), ",.", ".,")
+
+
+def money_text(c: ColumnOrName) -> Column:
+    """FN-36: whole reais ('R$ 1.235'; half away from zero, missing as 0)."""
+    v = F.coalesce(_c(c).try_cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
+    text = _grouped(F.abs(F.round(v, 0)), 0)
+    return F.concat(F.when(F.round(v, 0) < 0, F.lit("-")).otherwise(F.lit("")), F.lit("R$\u00a0"), text)
+
+
+# fixed values: thousand steps of the compact form
+COMPACT = [(1_000_000_000_000, "tri"), (1_000_000_000, "bi"), (1_000_000, "mi"), (1_000, "mil")]
+
+
+def compact_money(c: ColumnOrName) -> Column:
+    """FN-36: reais in thousands, millions and so on, one decimal at most
+    ('R$ 1,2 mi')."""
+    v = F.coalesce(_c(c).try_cast("decimal(38,2)"), F.lit(0).cast("decimal(38,2)"))
+    a = F.abs(v)
+
+    def short(x):
+        one = F.round(x, 1)
+        return F.when(one == F.floor(one), _grouped(one, 0)).otherwise(_grouped(one, 1))
+
+    out = None
+    for size, name in COMPACT:
+        part = F.concat(short((a / size).cast("double")), F.lit(f"\u00a0{name}"))
+        out = F.when(a >= size, part) if out is None else out.when(a >= size, part)
+    out = out.otherwise(short(a.cast("double")))
+    return F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.lit("R$\u00a0"), out)
+
+
+def three_places(c: ColumnOrName) -> Column:
+    """FN-36: three decimals, a decimal comma, missing as 0."""
+    return _grouped(F.coalesce(_c(c).try_cast("double"), F.lit(0.0)), 3)
+
+
+def date_only(c: ColumnOrName) -> Column:
+    """FN-29: the day of a timestamp cell."""
+    return F.to_date(_c(c))
+
+
 def funding_num(c: ColumnOrName) -> Column:
     """FN-29: numeric cell -> DECIMAL(15,2) or NULL."""
     return _c(c).try_cast("decimal(15,2)")

@@ -30,8 +30,10 @@ def page(df: DataFrame, order: Sequence[Column], page_no: int = 1, size: int = 2
 
 
 def with_total(df: DataFrame, name: str = "total") -> DataFrame:
-    """WIN-5: ``COUNT(*) OVER ()`` done as an aggregate + one-row cross join
-    (no unpartitioned window)."""
+    """WIN-5: ``COUNT(*) OVER ()`` as an aggregate attached to every row (no
+    unpartitioned window), over rows that are made once."""
+    from tessera.session import stage_table
+    df = stage_table(df, "counted")
     total = df.agg(F.count(F.lit(1)).alias(name))
     return attach_scalars(df, total)
 

@@ -337,6 +337,13 @@ def patent_link_edges(links: DataFrame, patents: DataFrame) -> DataFrame:
                   "codigo_interno_vinculado", "left_semi")
 
 
+def project_nodes(projects: DataFrame) -> DataFrame:
+    """GRA-14: one node a project: id, title, instrument, status, approved
+    value; of equal ids the first row of the sheet."""
+    first = first_by(projects, ["id"], [F.col("row_no").asc_nulls_last(), F.col("contrato")])
+    return first.select("id", "titulo", "instrumento", "status", F.col("valor_finep").alias("valor_aprovado"))
+
+
 def project_edges(projects: DataFrame, company_nodes_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """GRA-14: proposed-by and executed-by edges (executor only when it
     differs from the proposer); the company root must be a node."""

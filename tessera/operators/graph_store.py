@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import adjacency, node_table, search_nodes
-from tessera.sources.stored import KEEP, StoredTable, drop_folder, finished
+from tessera.sources.stored import StoredTable
 
 BUCKETS = 64
 _EDGES = "node string, nbr string, type string, src string, dst string, reference_month string, bucket int"
@@ -19,17 +19,9 @@ _NODES = "node string, kind string, key string, label string, degree long, bucke
 
 class GraphStore(StoredTable):
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        super().__init__(spark, root)
+        super().__init__(spark, root, ("edges", "nodes"))
         self.buckets = buckets
 
-    def versions(self) -> list[str]:
-        from tessera.sources.stored import folder_names
-        return [v for v in folder_names(self.spark, self.root) if all(finished(self.spark, f"{self.root}/{v}/{t}") for t in ("edges", "nodes"))]
-
-    def tidy(self) -> None:
-        for old in self.versions()[:-KEEP]:
-            drop_folder(self.spark, f"{self.root}/{old}")
-
     def ready(self) -> bool:
         return self.path() is not None
 

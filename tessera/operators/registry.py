@@ -251,21 +251,20 @@ def establishment_detail(establishments: DataFrame, cnaes: DataFrame, motivos: D
 
 
 def company_profile(companies: DataFrame, establishments: DataFrame) -> DataFrame:
-    """PRJ-29: company header + sorted array of establishment structs.
-
-    ``collect_list`` runs per company after the shuffle on ``cnpj_basico``;
-    the largest company in the registry has tens of thousands of branches,
-    which fits comfortably in one row."""
+    """PRJ-29: company header + sorted array of establishment structs, in
+    numbered chunks by the first digit of the branch number: a chunk holds at
+    most a thousand branches, so a company of any size is several rows and
+    keys. A company without branches is chunk 0 with none."""
     est = establishments.select(
         "cnpj_basico",
         F.struct("cnpj_ordem", "cnpj_dv", "identificador_matriz_filial", "nome_fantasia",
                  "situacao_cadastral",
                  F.struct("logradouro", "numero", "bairro", "cep", "uf", "codigo_municipio").alias("endereco"),
                  F.struct("ddd_1", "telefone_1", "correio_eletronico").alias("contato")).alias("e"))
-    grouped = est.groupBy("cnpj_basico").agg(
-        F.array_sort(F.collect_list("e")).alias("estabelecimentos"))
+    chunk = F.coalesce(F.left(F.col("e.cnpj_ordem"), F.lit(1)).try_cast("int"), F.lit(0)).alias("chunk")
+    grouped = est.groupBy("cnpj_basico", chunk).agg(F.array_sort(F.collect_list("e")).alias("estabelecimentos"))
     return companies.select("cnpj_basico", "razao_social", "capital_social", "porte_empresa") \
-        .join(grouped, "cnpj_basico", "left")
+        .join(grouped, "cnpj_basico", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
 
 
 def with_full_id(df: DataFrame) -> DataFrame:

@@ -272,3 +272,34 @@ SELECT source_id, CAST(total_liberado AS DECIMAL(15,2)) AS v FROM f_records
 register("fn_nonneg", """
 SELECT c_custkey, GREATEST(COALESCE(TRY_CAST(c_acctbal AS DOUBLE), 0.0), 0.0) AS v FROM customer
 """)(lambda I: I.table("customer").select("c_custkey", C.nonneg(F.col("c_acctbal")).alias("v")))
+
+
+register("fn_money_text", """
+SELECT l_orderkey, l_linenumber, v, CASE WHEN r < 0 THEN '-' ELSE '' END || 'R$' || chr(160) || replace(format('{:,}', abs(r)), ',', '.') AS text
+FROM (SELECT *, round(v)::BIGINT AS r FROM (SELECT l_orderkey, l_linenumber, (l_extendedprice::DECIMAL(15,2) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END)::DECIMAL(15,2) AS v FROM lineitem))
+""")(lambda I: I.table("lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("decimal(15,2)") * F.when(
+    F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).cast("decimal(15,2)").alias("v")).withColumn("text", C.money_text("v")))
+register("fn_compact_money", """
+SELECT o_orderkey, v, CASE WHEN v < 1000 THEN 'R$' || chr(160) || one(v) WHEN v < 1000000 THEN 'R$' || chr(160) || one(v / 1000) || chr(160) || 'mil'
+  ELSE 'R$' || chr(160) || one(v / 1000000) || chr(160) || 'mi' END AS text
+FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT * [1, 100, 10000][(o_orderkey % 3 + 1)::INT] / 100.0 AS v FROM orders)
+""".replace("one(v / 1000000)", "replace(rtrim(rtrim(printf('%.1f', round(v / 1000000, 1)), '0'), '.'), '.', ',')")
+   .replace("one(v / 1000)", "replace(rtrim(rtrim(printf('%.1f', round(v / 1000, 1)), '0'), '.'), '.', ',')")
+   .replace("one(v)", "replace(rtrim(rtrim(printf('%.1f', round(v, 1)), '0'), '.'), '.', ',')"))(
+    lambda I: I.table("orders").select("o_orderkey", (F.floor("o_totalprice") * F.element_at(F.array(F.lit(1), F.lit(100), F.lit(10000)), (
+        F.col("o_orderkey") % 3 + 1).cast("int")) / 100.0).alias("v")).withColumn("text", C.compact_money("v")))
+register("fn_three_places", """
+SELECT c_custkey, replace(printf('%.3f', c_custkey / 8.0 - floor(c_custkey / 8.0)), '.', ',') AS text FROM customer
+""")(lambda I: I.table("customer").select("c_custkey", C.three_places(F.col("c_custkey") / 8.0 - F.floor(F.col("c_custkey") / 8.0)).alias("text")))
+register("fn_dec0", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN round(o_totalprice, 2)::DECIMAL(18,2) ELSE 0::DECIMAL(18,2) END AS v FROM orders
+""")(lambda I: I.table("orders").select("o_orderkey", C.dec0(F.when(F.col("o_orderkey") % 3 > 0, F.round("o_totalprice", 2).cast("string")).when(
+    F.col("o_orderkey") % 2 == 0, F.lit("x"))).alias("v")))
+_CELL = "[n::VARCHAR, ' ' || n || ' ', n || '.7', 'x', NULL][(n % 5 + 1)::INT]"
+for _key, _fn, _sql in (("fn_int0", C.int0, "CASE WHEN n % 5 < 3 THEN n::INT ELSE 0 END"), ("fn_smallint", C.smallint, "CASE WHEN n % 5 < 3 AND n < 32768 THEN n::SMALLINT END"),
+                        ("fn_to_int", C.to_int, "CASE WHEN n % 5 < 2 THEN n::INT END"), ("fn_norm", C.norm, f"nullif(trim({_CELL}), '')")):
+    register(_key, f"SELECT n, {_sql} AS v FROM (SELECT DISTINCT l_partkey * 7 AS n FROM lineitem)")((lambda fn: lambda I: I.table("lineitem").select(
+        (F.col("l_partkey") * 7).alias("n")).distinct().withColumn("cell", F.element_at(F.array(
+            F.col("n").cast("string"), F.concat(F.lit(" "), "n", F.lit(" ")), F.concat("n", F.lit(".7")), F.lit("x"), F.lit(None).cast("string")),
+            (F.col("n") % 5 + 1).cast("int"))).select("n", fn(F.col("cell")).alias("v")))(_fn))
+register("fn_date_only", "SELECT event_id, ts::DATE AS v FROM events")(lambda I: I.table("events").select("event_id", C.date_only("ts").alias("v")))

@@ -183,6 +183,11 @@ FROM f_direct
 WHERE length(left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8)) = 8
   AND left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) IN (SELECT cnpj_basico FROM g_company_nodes)
 """)(lambda I: G.project_edges(I.funding("direct"), G.company_nodes(I.companies, I.partners))[0])
+register("project_nodes", """
+SELECT 'direct-' || f_contract || '-' || f_ref AS id, f_title AS titulo, f_instrument AS instrumento, f_status AS status, f_approved AS valor_aprovado FROM fbase
+WHERE l_returnflag = 'R' AND f_instrument IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f_contract, f_ref ORDER BY l_partkey) = 1
+""")(lambda I: G.project_nodes(I.funding("direct")))
+
 # every third project is executed by the company of another one of its contract
 _EXECUTED = """
 WITH p AS (SELECT id, left(regexp_replace(COALESCE(cnpj_proponente, ''), '[^0-9]', '', 'g'), 8) AS prop, contrato::BIGINT AS c FROM f_direct),
@@ -251,6 +256,11 @@ UNION ALL SELECT 'P:' || pessoa_id, 'Pessoa' FROM g_person_nodes
                                                                 F.lit("Estabelecimento").alias("label"))),
     G.ownership_edges(I.partners), "Estabelecimento")[0])
 
+register("drop_label_edges", "SELECT * FROM g_edges WHERE starts_with(src, 'C:') AND starts_with(dst, 'C:')")(lambda I: G.drop_label(
+    G.company_nodes(I.companies, I.partners).select(F.concat(F.lit("C:"), "cnpj_basico").alias("id"), F.lit("Empresa").alias("label"))
+    .unionByName(G.person_nodes(I.partners).select(F.concat(F.lit("P:"), "pessoa_id").alias("id"), F.lit("Pessoa").alias("label"))),
+    G.ownership_edges(I.partners), "Pessoa")[1].select("type", "src", "dst", "reference_month"))
+
 # documented graph queries --------------------------------------------------------
 
 AGE_BAND_SQL = """

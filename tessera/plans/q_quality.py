@@ -288,3 +288,46 @@ def _replace_manifest(I):
 
 register("upsert_orgs", UPSERT_ORGS_SQL)(_upsert_orgs)
 register("replace_manifest", REPLACE_MANIFEST_SQL)(_replace_manifest)
+
+
+# manifests of the other domains ------------------------------------------------------
+
+_HTTP = """CASE WHEN event_id % 4 > 0 THEN date_trunc('day', ts)::TIMESTAMP END AS http_last_modified, CASE WHEN event_id % 3 > 0 THEN 'W/' || (user_id % 9) END AS http_etag"""
+_STATUS = "CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE '{good}' END AS processing_status, CASE WHEN event_id % 7 = 0 THEN 'timeout' END AS error_message"
+_SIZE, _SHA = "floor(value * 1000)::BIGINT", "sha256(floor(value)::BIGINT::VARCHAR)"
+
+
+def _domain(I, domain: str):
+    from tessera.plans.q_io import scratch
+    from tessera.sources.manifests import read_manifest
+    path = scratch(I.spark, f"manifest-{domain}")
+    PQ.domain_manifest(I.spark, I.sf_dir, domain).write.parquet(path)
+    return read_manifest(I.spark, path, domain)
+
+
+register("manifest_funding", f"""
+SELECT event_id AS id, event_type || '.csv' AS file_name, 'https://x/' || event_type AS source_url, CASE WHEN event_id % 2 = 0 THEN 'contratacao' ELSE 'liberacao' END AS dataset_type,
+  ts AS download_date, {_SIZE} AS file_size_bytes, {_SHA} AS file_checksum_sha256, '/d' AS local_path, {_HTTP}, {_SIZE} AS http_content_length, event_id % 7 > 0 AS is_valid,
+  (user_id % 50)::INT AS rows_count, ['a', event_type] AS sheet_names, {_STATUS.format(good='validated')}, ts AS created_at, ts AS updated_at FROM events
+""")(lambda I: _domain(I, "funding"))
+register("manifest_patents", f"""
+SELECT event_id AS id, event_type || '.csv' AS file_name, 'https://x/' || event_type AS source_url, 'patentes_' || event_type AS dataset_name, 'inpi/' || event_id AS minio_key,
+  'raw' AS minio_bucket, ts::DATE AS snapshot_date, ts AS download_date, {_SIZE} AS file_size_bytes, {_SHA} AS file_checksum_sha256, {_HTTP}, {_SIZE} AS http_content_length,
+  event_id % 7 > 0 AS is_valid, user_id % 50 AS row_count, ['c', event_type] AS column_names, {_STATUS.format(good='downloaded')}, ts AS created_at, ts AS updated_at FROM events
+""")(lambda I: _domain(I, "patents"))
+register("manifest_organizations", f"""
+SELECT event_id AS id, 'inovalink' AS source_name, NULL::VARCHAR AS component_id, ts AS collected_at, NULL::DATE AS snapshot_date, 200 AS response_status_code, {_SIZE} AS response_size_bytes,
+  {_HTTP}, event_type AS collection, user_id % 50 AS n, user_id % 50 AS records_total, {_STATUS.format(good='loaded')} FROM events
+""")(lambda I: _domain(I, "organizations").select(
+    "id", "source_name", "component_id", "collected_at", "snapshot_date", "response_status_code", "response_size_bytes", "http_last_modified", "http_etag",
+    F.map_keys("collection_counts")[0].alias("collection"), F.map_values("collection_counts")[0].alias("n"), "records_total", "processing_status", "error_message"))
+register("latest_downloads_patents", f"""
+SELECT 'patentes_' || event_type AS dataset, event_id AS id, ts AS downloaded_at, {_SHA} AS checksum, CASE WHEN event_id % 3 > 0 THEN 'W/' || (user_id % 9) END AS etag,
+  CASE WHEN event_id % 4 > 0 THEN date_trunc('day', ts)::TIMESTAMP END AS last_modified, 'success' AS status
+FROM events WHERE event_id % 7 > 0 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) = 1
+""")(lambda I: Q.latest_downloads(_downloads_of(I, "patents"), "success"))
+
+
+def _downloads_of(I, domain: str):
+    from tessera.sources.manifests import as_downloads
+    return as_downloads(_domain(I, domain), domain)

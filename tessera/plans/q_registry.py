@@ -109,11 +109,11 @@ LEFT JOIN lk_municipio m ON m.codigo = e.codigo_municipio
 
 register("company_profile", """
 SELECT e.cnpj_basico, e.razao_social, e.capital_social, e.porte_empresa,
-       s.n AS n_estabelecimentos, s.first_ordem
-FROM empresa e LEFT JOIN (SELECT cnpj_basico, COUNT(*) AS n, MIN(cnpj_ordem) AS first_ordem
-                          FROM estab GROUP BY cnpj_basico) s ON s.cnpj_basico = e.cnpj_basico
+       coalesce(s.chunk, 0) AS chunk, s.n AS n_estabelecimentos, s.first_ordem
+FROM empresa e LEFT JOIN (SELECT cnpj_basico, cnpj_ordem[1]::INT AS chunk, COUNT(*) AS n, MIN(cnpj_ordem) AS first_ordem
+                          FROM estab GROUP BY ALL) s ON s.cnpj_basico = e.cnpj_basico
 """)(lambda I: R.company_profile(I.companies, I.establishments).select(
-    "cnpj_basico", "razao_social", "capital_social", "porte_empresa",
+    "cnpj_basico", "chunk", "razao_social", "capital_social", "porte_empresa",
     F.when(F.col("estabelecimentos").isNotNull(), F.size("estabelecimentos")).cast("bigint")
     .alias("n_estabelecimentos"),
     F.col("estabelecimentos")[0]["cnpj_ordem"].alias("first_ordem")))

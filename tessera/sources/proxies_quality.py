@@ -59,3 +59,32 @@ def remote_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("view", "click"), F.lit("W/new")).alias("etag"),
         F.when(F.col("event_type") == "signup", F.col("lm") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("lm"))
          .alias("last_modified"))
+
+
+def domain_manifest(spark: SparkSession, sf_dir: str, domain: str) -> DataFrame:
+    """Manifest rows of the funding, patent or organization domain: an event is
+    one download or collection."""
+    ev = table(spark, sf_dir, "events")
+    e, u, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
+    size = F.floor(F.col("value") * 1000).cast("bigint")
+    mark = F.sha2(_s(F.floor(F.col("value"))), 256)
+    etag, modified = F.when(e % 3 > 0, F.concat(F.lit("W/"), _s(u % 9))), F.when(e % 4 > 0, F.date_trunc("day", "ts"))
+    error = F.when(e % 7 == 0, F.lit("timeout"))
+
+    def state(good: str):
+        return [F.when(e % 7 == 0, F.lit("failed")).otherwise(F.lit(good)).alias("processing_status"), error.alias("error_message"), ts.alias("created_at"), ts.alias("updated_at")]
+
+    http = [modified.alias("http_last_modified"), etag.alias("http_etag"), size.alias("http_content_length"), (e % 7 > 0).alias("is_valid")]
+    file = [e.alias("id"), F.concat("event_type", F.lit(".csv")).alias("file_name"), F.concat(F.lit("https://x/"), "event_type").alias("source_url")]
+    if domain == "funding":
+        return ev.select(*file, F.when(e % 2 == 0, F.lit("contratacao")).otherwise(F.lit("liberacao")).alias("dataset_type"), ts.alias("download_date"), size.alias("file_size_bytes"),
+                         mark.alias("file_checksum_sha256"), F.lit("/d").alias("local_path"), *http, (u % 50).cast("int").alias("rows_count"),
+                         F.array(F.lit("a"), F.col("event_type")).alias("sheet_names"), *state("validated"))
+    if domain == "patents":
+        return ev.select(*file, F.concat(F.lit("patentes_"), "event_type").alias("dataset_name"), F.concat(F.lit("inpi/"), _s(e)).alias("minio_key"), F.lit("raw").alias("minio_bucket"),
+                         F.to_date("ts").alias("snapshot_date"), ts.alias("download_date"), size.alias("file_size_bytes"), mark.alias("file_checksum_sha256"), *http,
+                         (u % 50).alias("row_count"), F.array(F.lit("c"), F.col("event_type")).alias("column_names"), *state("downloaded"))
+    return ev.select(e.alias("id"), F.lit("inovalink").alias("source_name"), F.lit("https://x/").alias("entrypoint_url"), F.lit("https://x/u").alias("request_url"),
+                     F.lit("POST").alias("request_method"), ts.alias("collected_at"), F.lit(200).alias("response_status_code"), size.alias("response_size_bytes"),
+                     mark.alias("response_checksum_sha256"), etag.alias("http_etag"), modified.alias("http_last_modified"),
+                     F.create_map(F.col("event_type"), u % 50).alias("collection_counts"), (u % 50).alias("records_total"), *state("loaded"))

@@ -54,11 +54,15 @@ def input_version(spark: SparkSession, paths: list[str]) -> str:
 
 
 class StoredTable:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``tables``: names of the tables that a version consists of, all of
+    which must be written to their end (none: the version is one table)."""
+
+    def __init__(self, spark: SparkSession, root: str, tables: tuple[str, ...] = ()):
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables
 
     def versions(self) -> list[str]:
-        return [v for v in folder_names(self.spark, self.root) if finished(self.spark, f"{self.root}/{v}")]
+        parts = [f"/{t}" for t in self.tables] or [""]
+        return [v for v in folder_names(self.spark, self.root) if all(finished(self.spark, f"{self.root}/{v}{t}") for t in parts)]
 
     def path(self) -> str | None:
         """The folder that is served now."""

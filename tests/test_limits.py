@@ -277,3 +277,56 @@ def test_a_chain_takes_a_link_once(spark):
 def test_dates_of_eight_digits(spark, raw, want):
     got = spark.createDataFrame([(raw,)], "c string").select(C.clean_date("c").cast("string").alias("v")).first()["v"]
     assert got == want
+
+
+@pytest.mark.parametrize("v, money, compact", [(None, "R$ 0", "R$ 0"), (0.5, "R$ 1", "R$ 0,5"), (-1234.5, "-R$ 1.235", "-R$ 1,2 mil"), (1500000, "R$ 1.500.000", "R$ 1,5 mi"),
+                                               (2e9, "R$ 2.000.000.000", "R$ 2 bi"), (999, "R$ 999", "R$ 999")])
+def test_money_as_it_is_shown(spark, v, money, compact):
+    got = spark.createDataFrame([(v,)], "v double").select(C.money_text("v").alias("m"), C.compact_money("v").alias("c")).first()
+    assert (got.m.replace("\u00a0", " "), got.c.replace("\u00a0", " ")) == (money, compact)
+
+
+def test_neighbours_equal_brute_force_and_blocks_are_pruned(spark):
+    import numpy as np
+    from tessera.operators.vectors import knn
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 24))
+    x = np.concatenate([m + 0.1 * rng.normal(size=(60, 24)) for m in middles] + [middles[:1].repeat(4, 0), np.zeros((1, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None), (9998, [float("nan")] * 24)], "vec_id long, embedding array<double>")
+    figures = {}
+    got = {}
+    for r in knn(df, 5, tile=25, figures=figures).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.cosine)
+    u = x[:-1] / np.linalg.norm(x[:-1], axis=1)[:, None]
+    cos = u @ u.T
+    np.fill_diagonal(cos, -2)
+    assert sorted(got) == list(range(len(u)))
+    for i in got:
+        want = np.sort(cos[i])[::-1][:5]
+        assert [got[i][k][1] for k in range(1, 6)] == [round(float(c), 6) for c in want]
+        assert len({n for n, _ in got[i].values()}) == 5
+    assert figures["asked"] < 0.5 * figures["possible"]
+    assert knn(df.limit(1)).count() == 0
+    assert [(r.id, r.neighbour) for r in knn(df.filter("vec_id < 2")).orderBy("id").collect()] == [(0, 1), (1, 0)]
+
+
+def test_a_run_is_replaced_as_a_whole(spark, tmp_path):
+    from tessera.operators.topics import TopicRuns
+    corpus = spark.createDataFrame([(i, f"apple pear {'plum' if i % 2 else 'fig'} word{i % 3}") for i in range(30)], "id long, text string")
+    assign = corpus.select("id", F.concat(F.lit("t"), (F.col("id") % 2)).alias("topic"))
+    runs = TopicRuns(spark, str(tmp_path / "runs"))
+    runs.replace("a", corpus, assign, min_df=2)
+    runs.replace("b", corpus, assign.filter("id < 10"), min_df=2)
+    # a rerun that dies after its first table changes nothing
+    class Broken(TopicRuns):
+        def _run(self, run_id):
+            run = super()._run(run_id)
+            run.tidy = lambda: None
+            return run
+    broken = Broken(spark, str(tmp_path / "runs"))
+    path = broken._run("a").next_path()
+    assign.limit(1).write.parquet(f"{path}/topics")
+    assert runs.read("assignments").groupBy("run_id").count().orderBy("run_id").collect() == [("a", 30), ("b", 10)]
+    runs.replace("a", corpus, assign.filter("topic = 't1'"), min_df=2)
+    assert {(r.run_id, r.topic) for r in runs.read("topics").collect()} == {("a", "t1"), ("b", "t0"), ("b", "t1")}
+    assert runs.read("assignments").filter("run_id = 'a'").count() == 15
