@@ -39,7 +39,7 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 STEPS = [(r"(?is)<!--.*?-->", ""), (r"(?is)<head\b.*?</head\s*>", ""), (r"(?is)<script\b.*?</script\s*>", ""), (r"(?is)<style\b.*?</style\s*>", ""),
          (r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|blockquote|pre)\b|br\b)[^>]*>", "\n"), (r"(?s)<[^>]*>", "")]
 _REFERENCE = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
-FOLDS = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+_FOLDS = [(r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
 def sha1_digest(data: Column) -> Column:
@@ -68,12 +68,21 @@ def resolve_attribute(text: str) -> str:
     return _REFERENCE.sub(lambda m: markup.unescape(m[0]), text) if "&" in text else text
 
 
+def fold(text: str) -> str:
+    """A run of blanks to one, lines without end blanks, blank lines gone."""
+    for blank in "\t\r\f\u00a0":
+        text = text.replace(blank, " ")
+    lines = (" ".join(filter(None, line.split(" "))) for line in text.split("\n"))
+    return "\n".join(filter(None, lines))
+
+
 def _resolved(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Arrays of a text, a title and links -> the same without references."""
+    """Arrays of a text, a title and links -> the same without references, the
+    text folded, the title without no-break spaces."""
     for batch in batches:
         rows = []
         for text, title, *links in batch.to_pylist():
-            rows.append([resolve_text(text), resolve_text(title), *map(resolve_attribute, links)])
+            rows.append([fold(resolve_text(text)), resolve_text(title).replace("\u00a0", " "), *map(resolve_attribute, links)])
         yield pa.array(rows, pa.list_(pa.string()))
 
 
@@ -83,13 +92,6 @@ def _without_tags(html: Column) -> Column:
     return html
 
 
-def _folded(text: Column) -> Column:
-    text = F.replace(text, F.lit("\u00a0"), F.lit(" "))
-    for pattern, put in FOLDS:
-        text = F.regexp_replace(text, pattern, put)
-    return text
-
-
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = DATE) -> DataFrame:
     """Response records of raw pages: ``page_id, record_id, target_uri, date,
     http, payload, payload_digest, block_digest``."""
@@ -117,7 +119,7 @@ def derivatives(response: DataFrame) -> DataFrame:
     links = F.regexp_extract_all("payload", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
     read = array_udf(_resolved, T.ArrayType(T.StringType()))
     response = response.withColumn("__read", read(F.concat(F.array(_without_tags(F.col("payload")), title), links)))
-    title = F.replace(F.col("__read")[1], F.lit("\u00a0"), F.lit(" "))
+    title = F.col("__read")[1]
     links = F.array_distinct(F.transform(F.slice("__read", 3, F.size("__read")), lambda x: F.regexp_replace(x, r"[\x00-\x20]+", "")))
     outlinks = F.concat_ws("", F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))))
     source = F.concat_ws("", F.transform(F.filter(F.split("http", "\r\n"), lambda x: x != ""), lambda x: F.concat(F.lit("source-header: "), x, F.lit("\r\n"))))
@@ -125,7 +127,7 @@ def derivatives(response: DataFrame) -> DataFrame:
                       _named("source-payload-digest", F.col("payload_digest")), _named("source-block-digest", F.col("block_digest")),
                       _named("source-length", F.octet_length("payload").cast("string")), outlinks)
     kinds = F.array(F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-                    F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), _folded(F.col("__read")[0]).alias("block")))
+                    F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("__read")[0].alias("block")))
     made = response.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "payload_digest", F.inline(kinds))
     made = made.select("page_id", "warc_type", record_id("warc_type", "refers_to").alias("record_id"), "refers_to", "target_uri", "date", "content_type", "block",
                        sha1_digest(F.col("block")).alias("block_digest"), F.col("payload_digest").alias("source_payload_digest"))
@@ -194,7 +196,7 @@ def _sql_text(column: str) -> str:
     for pattern, put in STEPS:
         column = f"regexp_replace({column}, {_quoted(pattern)}, {_crlf(put)}, 'g')"
     column = f"replace({_sql_resolved(column)}, chr(160), ' ')"
-    for pattern, put in FOLDS:
+    for pattern, put in _FOLDS:
         column = f"regexp_replace({column}, {_quoted(pattern)}, {_crlf(put)}, 'g')"
     return column
 
