@@ -31,3 +31,31 @@ def test_neighbours_write_no_row_a_question(spark, monkeypatch):
     assert got == {(i, k + 1): int(want[i, k]) for i in range(400) for k in range(3)}
     # nearly every query asks nearly every tile: that alone is more than is written
     assert figures["asked"] > 10 * 400 and sum(n for _, n in seen) <= 3 * 400
+
+
+def test_keywords_stage_no_row_a_document_and_term(spark, monkeypatch):
+    """300 texts of 6 words: their terms are few, the rows staged are too."""
+    from tessera.operators import topics as T
+    seen = staged(monkeypatch, T)
+    corpus = spark.createDataFrame([(i, f"alfa beta gama alfa beta {'um' if i % 2 else 'rho'}") for i in range(300)], "id long, text string")
+    assign = corpus.select("id", F.concat(F.lit("t"), F.col("id") % 2).alias("topic"))
+    got = {(r.topic, r.term): r["rank"] for r in T.topic_keywords(corpus, assign).collect()}
+    assert {t for _, t in got} == {"alfa", "beta", "gama", "rho", "alfa beta", "beta gama", "gama alfa", "beta rho"}
+    assert seen and sum(n for _, n in seen) < 2 * 300
+
+
+def test_keywords_of_repeated_and_missing_ids(spark):
+    """Rows of one id are one document, rows without an id are too; a document
+    without a topic counts for the frequency, one of two topics only once."""
+    import math
+    from tessera.operators.topics import topic_keywords
+    rows = [(1, "aa bb"), (1, "aa cc"), (2, "aa dd"), (None, "aa ee"), (None, "ee ee"), (3, "ee ff"), (4, "ff ff gg"), (5, "")]
+    corpus = spark.createDataFrame(rows, "id long, text string")
+    topics = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (4, "x"), (4, "z"), (9, "w")], "id long, topic string")
+    got = {(r.topic, r.term): r.score for r in topic_keywords(corpus, topics, min_df=2).collect()}
+    # documents: aa in 1, 2 and the one without an id; ee in that and 3; ff in 3 and 4
+    tf = {("x", "aa"): 4, ("y", "aa"): 1, ("x", "ff"): 2, ("z", "ff"): 2}
+    per_topic = {t: sum(n for (u, _), n in tf.items() if u == t) for t, _ in tf}
+    per_term = {w: sum(n for (_, u), n in tf.items() if u == w) for _, w in tf}
+    mean = sum(per_topic.values()) / len(per_topic)
+    assert got == {(t, w): round(math.sqrt(n / per_topic[t]) * math.log(1 + mean / per_term[w]), 6) for (t, w), n in tf.items()}
