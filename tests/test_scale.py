@@ -59,3 +59,11 @@ def test_keywords_of_repeated_and_missing_ids(spark):
     per_term = {w: sum(n for (_, u), n in tf.items() if u == w) for _, w in tf}
     mean = sum(per_topic.values()) / len(per_topic)
     assert got == {(t, w): round(math.sqrt(n / per_topic[t]) * math.log(1 + mean / per_term[w]), 6) for (t, w), n in tf.items()}
+
+
+def test_company_nodes_group_no_edges(spark, inputs):
+    """The ends of edges are taken from the rows: only roots are shuffled."""
+    from tessera.operators import graph as G
+    plan = G.company_nodes(inputs.companies, inputs.partners)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cnpj_basico" in plan
+    assert "hashpartitioning(pessoa_id" not in plan and "hashpartitioning(cnpj_socio_basico" not in plan
