@@ -67,3 +67,23 @@ def test_company_nodes_group_no_edges(spark, inputs):
     plan = G.company_nodes(inputs.companies, inputs.partners)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(cnpj_basico" in plan
     assert "hashpartitioning(pessoa_id" not in plan and "hashpartitioning(cnpj_socio_basico" not in plan
+
+
+def reads(df, table):
+    return any(f"/{table}.parquet" in f for f in df.inputFiles())
+
+
+def fresh(spark, month):
+    """Inputs of a month of their own: nothing of theirs is stored yet."""
+    from tests.conftest import SF_SMALL
+    from tessera.plans.context import Inputs
+    return Inputs(spark, SF_SMALL, month)
+
+
+def test_graph_tables_share_one_reading_of_the_partners(spark, monkeypatch):
+    from tessera.operators.graph_store import GraphStore
+    seen = []
+    monkeypatch.setattr(GraphStore, "ready", lambda self: False)
+    monkeypatch.setattr(GraphStore, "write", lambda self, *tables: seen.extend(tables))
+    fresh(spark, "2031-01").graph
+    assert len(seen) == 3 and not any(reads(df, "lineitem") for df in seen)
