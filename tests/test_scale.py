@@ -87,3 +87,40 @@ def test_graph_tables_share_one_reading_of_the_partners(spark, monkeypatch):
     monkeypatch.setattr(GraphStore, "write", lambda self, *tables: seen.extend(tables))
     fresh(spark, "2031-01").graph
     assert len(seen) == 3 and not any(reads(df, "lineitem") for df in seen)
+
+
+def test_records_are_enriched_from_rows_made_once(spark, monkeypatch):
+    from tessera.operators import funding as FU
+    from tessera.operators import registry as R
+    seen, enrich, view = [], FU.enrich_records, R.search_view_active
+    monkeypatch.setattr(FU, "enrich_records", lambda records, *views: seen.append(records) or enrich(records, *views))
+    monkeypatch.setattr(R, "search_view_active", lambda c, establishments, *rest: seen.append(establishments) or view(c, establishments, *rest))
+    assert fresh(spark, "2031-02").records.count() > 0
+    assert len(seen) == 2 and not any(reads(df, t) for df in seen for t in ("lineitem", "orders"))
+
+
+def test_summaries_count_distinct_over_sums(spark):
+    """Equal ids, sources and keys are summed before the sets and distinct
+    counts; missing ids and values count as they did."""
+    from decimal import Decimal as D
+    from tessera.operators import funding as FU
+    rows = [("SP", "1", "a", D("1.50"), D("1.00"))] * 200 + [("SP", "1", "b", D("2.00"), None), ("", None, "a", None, D("3.00")), (None, "", "a", D("4.00"), D("0.00")), ("SP", "2", "a", D("5.00"), D("5.00"))]
+    df = spark.createDataFrame(rows, "uf string, cnpj_14 string, source string, total_aprovado_finep decimal(15,2), total_liberado decimal(15,2)")
+    out = FU.funding_by_state(df)
+    got = {r.uf: tuple(r)[1:] for r in out.collect()}
+    assert got == {"SP": (2, 202, D("307.00"), D("205.00"), ["a", "b"]), "NA": (0, 2, D("4.00"), D("3.00"), ["a"])}
+    assert dict(out.dtypes)["total_aprovado_finep"] == "decimal(20,2)" and dict(out.dtypes)["total_projetos"] == "bigint"
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    first = [line for line in plan.splitlines() if "Aggregate(" in line][-1]
+    assert " HashAggregate(" in first and "collect_set" not in first
+
+
+def test_towns_are_resolved_once_a_company(spark, monkeypatch):
+    from tessera.operators import funding as FU
+    seen, resolve = [], FU.resolve_geo
+    monkeypatch.setattr(FU, "resolve_geo", lambda rows, geo: seen.append(rows.count()) or resolve(rows, geo))
+    df = spark.sql("SELECT 'SP' AS uf, 'São  Paulo' AS municipio_nome, cast(id % 3 AS string) AS cnpj_14, 'a' AS source, 1.00bd AS total_aprovado_finep, 2.00bd AS total_liberado FROM range(300)")
+    geo = spark.sql("SELECT 'SP' AS uf, 'Sao Paulo' AS nome, '35' AS codigo, 1.0d AS latitude, 2.0d AS longitude")
+    (r,) = FU.funding_by_municipality(df, geo).collect()
+    assert (r.municipio_nome, r.municipality_ibge_code, r.total_empresas, r.total_projetos, int(r.total_aprovado_finep), int(r.total_liberado)) == ("Sao Paulo", "35", 3, 300, 300, 600)
+    assert seen == [3]
