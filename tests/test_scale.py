@@ -124,3 +124,12 @@ def test_towns_are_resolved_once_a_company(spark, monkeypatch):
     (r,) = FU.funding_by_municipality(df, geo).collect()
     assert (r.municipio_nome, r.municipality_ibge_code, r.total_empresas, r.total_projetos, int(r.total_aprovado_finep), int(r.total_liberado)) == ("Sao Paulo", "35", 3, 300, 300, 600)
     assert seen == [3]
+
+
+def test_person_is_picked_from_people_made_once(spark, monkeypatch):
+    from tessera.operators import graph as G
+    from tessera.plans import q_graph
+    seen, pick = [], G.pick_person
+    monkeypatch.setattr(G, "pick_person", lambda people, mask: seen.append(people) or pick(people, mask))
+    assert q_graph._picked(fresh(spark, "2031-03")).count() == 1
+    assert len(seen) == 1 and not reads(seen[0], "lineitem")
