@@ -133,3 +133,13 @@ def test_person_is_picked_from_people_made_once(spark, monkeypatch):
     monkeypatch.setattr(G, "pick_person", lambda people, mask: seen.append(people) or pick(people, mask))
     assert q_graph._picked(fresh(spark, "2031-03")).count() == 1
     assert len(seen) == 1 and not reads(seen[0], "lineitem")
+
+
+def test_searches_share_nodes_and_edges(spark, monkeypatch):
+    from tessera.operators import graph as G
+    from tessera.plans import catalog
+    catalog.load_all()
+    seen, search = [], G.graph_search
+    monkeypatch.setattr(G, "graph_search", lambda *a: seen.append(a[:3]) or search(*a))
+    assert catalog.QUERIES["graph_search_digits14"](fresh(spark, "2031-04")).count() == 1
+    assert len(seen) == 2 and not any(reads(df, t) for tables in seen for df in tables for t in ("lineitem", "customer"))
