@@ -126,6 +126,14 @@ def test_towns_are_resolved_once_a_company(spark, monkeypatch):
     assert seen == [3]
 
 
+def test_check_digits_evaluate_their_base_once(spark):
+    from tessera.functions.columns import check_digits
+    df = spark.createDataFrame([("112223330001",), ("000000000001",), ("11444777x001",), ("1",), (None,)], "b string").select(check_digits(F.concat("b", F.lit(""))).alias("dv"))
+    assert [r.dv for r in df.collect()] == ["81", "91", None, None, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(b") == 1 and plan.count("substring(") <= 24
+
+
 def test_person_is_picked_from_people_made_once(spark, monkeypatch):
     from tessera.operators import graph as G
     from tessera.plans import q_graph
