@@ -151,3 +151,24 @@ def test_searches_share_nodes_and_edges(spark, monkeypatch):
     monkeypatch.setattr(G, "graph_search", lambda *a: seen.append(a[:3]) or search(*a))
     assert catalog.QUERIES["graph_search_digits14"](fresh(spark, "2031-04")).count() == 1
     assert len(seen) == 2 and not any(reads(df, t) for tables in seen for df in tables for t in ("lineitem", "customer"))
+
+
+def test_vectors_stage_one_row_a_document(spark, monkeypatch):
+    """Rows of one id are one document in ``df`` and the vector, and come out
+    as often as they went in; a row without an id counts but has no vector."""
+    import hashlib
+    import math
+    from tessera.operators import vectors
+    rows = [(1, "alfa beta alfa"), (1, "beta gama"), (2, "gama"), (3, ""), (4, None), (None, "alfa rho")]
+    seen = staged(monkeypatch, vectors)
+    got = vectors.doc_vectors(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert sum(n for _, n in seen) == 5
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % vectors.BUCKETS
+    tf = {1: {"alfa": 2, "beta": 2, "alfa beta": 1, "beta alfa": 1, "gama": 1, "beta gama": 1}, 2: {"gama": 1}, None: {"alfa": 1, "rho": 1, "alfa rho": 1}}
+    idf = {t: math.log(7 / (1 + sum(t in d for d in tf.values()))) + 1 for d in tf.values() for t in d}
+    assert sorted((r.id or 0) for r in got) == [0, 1, 1, 2, 3, 4]
+    for r in got:
+        w = {bucket(t): n * idf[t] for t, n in tf.get(r.id, {}).items()} if r.id else {}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        assert r.n_terms == (sum(tf.get(r.id, {}).values()) if r.id else 0) and r.indices == sorted(w) and abs(r.norm - norm) < 1e-9
+        assert all(abs(v - w[b] / norm) < 1e-9 for b, v in zip(r.indices, r["values"]))
