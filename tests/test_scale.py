@@ -172,3 +172,56 @@ def test_vectors_stage_one_row_a_document(spark, monkeypatch):
         norm = math.sqrt(sum(x * x for x in w.values()))
         assert r.n_terms == (sum(tf.get(r.id, {}).values()) if r.id else 0) and r.indices == sorted(w) and abs(r.norm - norm) < 1e-9
         assert all(abs(v - w[b] / norm) < 1e-9 for b, v in zip(r.indices, r["values"]))
+
+
+def test_runs_of_one_corpus_cut_its_texts_once(spark, tmp_path):
+    from tessera.operators.topics import TopicRuns
+    cut = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        cut.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, f"alfa beta gama word{i % 3}") for i in range(60)], "id long, text string")
+    corpus = texts.select("id", F.udf(seen, "string")("text").alias("text"))
+    assign = texts.select("id", F.concat(F.lit("t"), F.col("id") % 2).alias("topic"))
+    runs = TopicRuns(spark, str(tmp_path / "runs"))
+    runs.replace("a", corpus, assign)
+    runs.replace("b", corpus, assign.filter("id < 30"))
+    runs.replace("a", corpus, assign.filter("id % 7 > 0"))
+    assert cut.value < 2 * 60
+    got = {(r.run_id, r.topic): (r.n_docs, r.label) for r in runs.read("topics").collect()}
+    assert {k: n for k, (n, _) in got.items()} == {("a", "t0"): 25, ("a", "t1"): 26, ("b", "t0"): 15, ("b", "t1"): 15}
+    # another corpus, or another frequency, is another count
+    runs.replace("b", texts.select("id", F.lit("rho rho sigma").alias("text")), assign)
+    runs.replace("c", corpus, assign, min_df=61)
+    got = {(r.run_id, r.topic): r.label for r in runs.read("topics").collect()}
+    assert got["b", "t0"] == "rho rho, rho sigma, sigma" and got["c", "t0"] == ""
+
+
+def test_terms_are_counted_alike_in_chunks_of_any_size(spark, monkeypatch):
+    """Ids that repeat or are missing, texts without a word, longer than a
+    chunk or missing, rare words, topics that are missing, double or of no text."""
+    import random
+    from collections import Counter
+
+    from tessera.operators import term_counts as C
+    from tessera.operators.topics import count_corpus
+    rnd = random.Random(3)
+    some = [f"w{i}" for i in range(8)] + ["de", "x"]
+    rows = [(i, " ".join(rnd.choice([*some, f"rare{i}"]) for _ in range(rnd.choice([0, 1, 2, 5, 40])))) for i in [*range(40), 3, 3, 9]]
+    rows += [(None, "w1 w2 w3"), (None, "w1 w2"), (50, None), (51, "...")]
+    given = [(i, rnd.choice(["p", "q", None])) for i in range(45)] + [(3, "p"), (4, "q"), (4, "q"), (4, "p"), (None, "p"), (99, "z")]
+    words = lambda text: [w for w in (text or "").split() if len(w) > 1 and w not in ("de", "...")]
+    terms = lambda text: (w := words(text)) + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    df = Counter(t for _, t in {(i, t) for i, text in rows for t in terms(text)})
+    want = Counter((topic, t) for i, text in rows for j, topic in given if i == j and i is not None for t in terms(text) if df[t] >= 3)
+    corpus, topics = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(given, "id long, topic string")
+    for most in ((7, 1 << 20), (1 << 21, 2), (1 << 21, 1 << 20)):
+        monkeypatch.setattr(C, "CHUNK_WORDS", most[0])
+        monkeypatch.setattr(C, "CHUNK_TEXTS", most[1])
+        counted = count_corpus(corpus, 3)
+        got = {(r.topic, r.term): r.tf for r in counted.spelled(counted.by_topic(topics)).collect()}
+        assert got == dict(want)
+        # a text of n words has 2 n - 1 terms
+        assert all(r.texts <= most[1] and (r.n < 2 * most[0] or r.texts == 1) for r in counted.chunks.select(F.size("at").alias("n"), F.size("ids").alias("texts")).collect())
